@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.brown import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op2_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.bitpack import round_trip
 
@@ -22,14 +29,68 @@ def op3_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=2048, end_id=0)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.decontaminate import report
+
+    return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.chat import canonical, digest, template
+
+    own = _table(spark, sf_dir, "conversations")
+    hard = "</s>[INST] ok [/INST]"
+    planted = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(hard).alias("text")) for k, r in enumerate(("user", "assistant"))))).alias("t")).select("conv_id", "t.*")
+    return digest(template(canonical(own).unionByName(canonical(planted))))
+
+
+def op6_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.ann import search
+
+    own = _table(spark, sf_dir, "embeddings")
+    return search(own, own.where("vec_id % 50 = 0"), k=5)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.token_count import token_counts
 
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.simhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+#: Labelled URLs (1: junk) that the trees are fitted on, as many of either kind under each suffix.
+_JUNK = "cheap-pills spam-farm casino-win free-bets best-loans4u win-cash-now hot-deals-24 xxx-cams buy-followers poker-bonus pills-online lucky-slots".split()
+_FINE = "library gazette school garden history museum weather recipes physics travel letters reader".split()
+LABELLED = [(f"http{'s' * (k % 2)}://{sub}{name}.example.{tld}/{lang}/{37 * k + 11 * j}{tail}", label)
+            for label, names in ((1, _JUNK), (0, _FINE)) for k, name in enumerate(names)
+            for j, (sub, tld, lang, tail) in enumerate((("", "com", "en", ""), ("www.", "net", "de", ".html"), ("blog.", "org", "fr", "?page=2&ref=x"), ("m.", "com", "es", "/"), ("", "net", "en", "?utm_source=feed"), ("www.", "org", "es", "#top")))]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.urlfilter import fit, judge
+
+    labelled = spark.createDataFrame(LABELLED, "url string, label int")
+    return judge(_table(spark, sf_dir, "pages"), RULES, fit(labelled))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm.langid import fit, held_out, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    model = fit(docs.where(~held_out(docs)))
+    flags = docs.select("doc_id", "text", held_out(docs).alias("held_out"))
+    return identify(flags, model, keep=["held_out"])
+
+
 def queries() -> dict:
-    return {n: f for n, f in sorted(globals().items(), key=lambda x: int(x[0][2:].split("_")[0]) if x[0][:2] == "op" else 0) if n.startswith("op") and n[2].isdigit()}
+    own = [n for n in globals() if n.startswith("op") and n[2].isdigit()]
+    return {n: globals()[n] for n in sorted(own, key=lambda n: int(n[2:].split("_")[0]))}
 
 
 def oracle_sql() -> dict[str, str]:

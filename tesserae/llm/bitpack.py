@@ -147,13 +147,14 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int, id_col: str
 
     def write(batches):
         uri, shard = f"{out}/shard-{uuid.uuid4().hex}.bits", None
-        coder, end = ChunkEncoder.of(path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
-                found = [np.frombuffer(b + end, "<u4") for b in coder.encode(part.column(1).to_pylist())]
-                shard = shard or ShardWriter(uri, bits)
-                shard.add(part.column(0).to_pylist(), found)
+        end = np.array([end_id], "<u4").tobytes()
+        with ChunkEncoder.task(path) as coder:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 500):
+                    part = batch.slice(i, 500)
+                    found = [np.frombuffer(b + end, "<u4") for b in coder.encode(part.column(1).to_pylist())]
+                    shard = shard or ShardWriter(uri, bits)
+                    shard.add(part.column(0).to_pylist(), found)
         if shard:
             shard.close()
             yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "uri": uri, "n_docs": len(shard.docs), "n_tokens": shard.total}])

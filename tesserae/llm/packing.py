@@ -97,23 +97,24 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int,
 
 def _pieces(path: str, end_id: int, size: int):
     def run(batches):
-        coder, end, part, ranks = ChunkEncoder.of(path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), {}
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                sub = batch.slice(i, 2000)
-                out: tuple[list, ...] = ([], [], [], [], [], [])
-                for doc, data in zip(sub.column(0).to_pylist(), coder.encode(sub.column(1).to_pylist())):
-                    data += end
-                    n = len(data) // 4
-                    cuts = [0, *range(n - (-(-n // size) - 1) * size, n + 1, size)]
-                    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                        rank = ranks[b - a] = ranks.get(b - a, -1) + 1
-                        for column, value in zip(out, (doc, k, a, b - a, zlib.crc32(data[4 * a : 4 * b]), rank)):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], batch.column(0).type), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:]), pa.array([part] * len(out[0]), pa.int64())],
-                    ["doc_id", "piece", "start", "length", "ids_crc32", "rank", "part"],
-                )
+        end, part, ranks = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), {}
+        with ChunkEncoder.task(path) as coder:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 2000):
+                    sub = batch.slice(i, 2000)
+                    out: tuple[list, ...] = ([], [], [], [], [], [])
+                    for doc, data in zip(sub.column(0).to_pylist(), coder.encode(sub.column(1).to_pylist())):
+                        data += end
+                        n = len(data) // 4
+                        cuts = [0, *range(n - (-(-n // size) - 1) * size, n + 1, size)]
+                        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                            rank = ranks[b - a] = ranks.get(b - a, -1) + 1
+                            for column, value in zip(out, (doc, k, a, b - a, zlib.crc32(data[4 * a : 4 * b]), rank)):
+                                column.append(value)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(out[0], batch.column(0).type), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:]), pa.array([part] * len(out[0]), pa.int64())],
+                        ["doc_id", "piece", "start", "length", "ids_crc32", "rank", "part"],
+                    )
 
     return run
 

@@ -53,11 +53,13 @@ def _rows(seen: Counter):
 
 def _pieces(path: str):
     def run(batches):
-        coder = ChunkEncoder.of(path)
-        for batch in batches:
-            keys = batch.column(0).to_pylist()
-            found = coder.bulk([k[1:] if k[:1] == "\0" else " " + k for k in keys])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(b) // 4 for b in found], pa.int32())], ["chunk", "uses", "pieces"])
+        with ChunkEncoder.task(path) as coder:
+            for batch in batches:
+                keys = batch.column(0).to_pylist()
+                heads = [k[1:] for k in keys if k[:1] == "\0"]
+                head, rest = iter(coder.bulk(heads)), iter(coder.chunks([k for k in keys if k[:1] != "\0"]))
+                found = [next(head if k[:1] == "\0" else rest) for k in keys]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(b) // 4 for b in found], pa.int32())], ["chunk", "uses", "pieces"])
 
     return run
 

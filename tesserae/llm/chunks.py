@@ -70,8 +70,9 @@ class ChunkEncoder:
     def chunks(self, pieces: list[str]) -> list[bytes]:
         """Ids of chunks, each led by a blank.  Those of plain signs are normalized and cut into pre-tokens together, by the
         library's own parts, and its model then gets each distinct pre-token: the same ids as by bulk(), at less cost."""
-        plain = [c for c in pieces if c and not _ODD.search(c)]
-        out = dict(zip(odd := [c for c in pieces if not c or _ODD.search(c)], self.bulk([f" {c}" for c in odd])))
+        odd = [c for c in pieces if not c or _ODD.search(c)]
+        out = dict(zip(odd, self.bulk([f" {c}" for c in odd])))
+        plain = [c for c in pieces if c not in out]
         memo: dict[str, bytes] = {}
         split_, model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
         for i in range(0, len(plain), 2000):
@@ -79,7 +80,7 @@ class ChunkEncoder:
             text = " " + " ".join(part)
             if self.tokenizer.normalizer:
                 text = self.tokenizer.normalizer.normalize_str(text)
-            blanks = [k for k, c in enumerate(text) if c == " "]
+            blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 32).tolist()
             if len(blanks) != len(part):
                 out.update(zip(part, self.bulk([f" {c}" for c in part])))
                 continue

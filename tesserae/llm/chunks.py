@@ -11,6 +11,7 @@ from __future__ import annotations
 import itertools
 import os
 import re
+from array import array
 from contextlib import contextmanager
 
 import numpy as np
@@ -19,8 +20,8 @@ import numpy as np
 STABLE, KEEP, LONGEST, TEXTS = 120_000, 600_000, 256, 500
 
 _CUT = re.compile(r" (?=\S)")
-#: Signs with which a chunk goes through the library's whole pipeline: white space, and those of special tokens.
-_ODD = re.compile(r"[\s\x1c-\x1f]|<\|")
+#: White space to Python, but not to the library.
+_SEPARATORS = re.compile(r"[\x1c-\x1f]")
 _UNSAFE = re.compile(r" (?:\s|$)")
 
 
@@ -39,6 +40,9 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        #: Whether white space is nothing but a cut, so that texts may be cut at any.
+        self.drops = ids(" a\n, b\t") == ids("a") + ids(",") + ids("b")
         self.stable: dict[str, bytes] = {"": b""}  # the first chunks that came again
         self.known = self.stable
 
@@ -67,34 +71,39 @@ class ChunkEncoder:
             out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
         return out
 
+    def cut(self, text: str) -> list[str]:
+        """Chunks of a text, the first without a blank before it."""
+        if self.drops and not _SEPARATORS.search(text):
+            return ["", *text.split()]
+        return split(text)
+
     def chunks(self, pieces: list[str]) -> list[bytes]:
-        """Ids of chunks, each led by a blank.  Those of plain signs are normalized and cut into pre-tokens together, by the
-        library's own parts, and its model then gets each distinct pre-token: the same ids as by bulk(), at less cost."""
-        odd = [c for c in pieces if not c or _ODD.search(c)]
-        out = dict(zip(odd, self.bulk([f" {c}" for c in odd])))
-        plain = [c for c in pieces if c not in out]
+        """Ids of chunks, each led by a blank.  They are normalized and cut into pre-tokens together, by the library's own
+        parts, and its model then gets each distinct pre-token: the same ids as by bulk(), at less cost.  Where the blanks
+        don't tell the chunks apart again, or special tokens may be in them, the whole pipeline does it."""
+        out: list[bytes] = []
         memo: dict[str, bytes] = {}
         split_, model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
+        for i in range(0, len(pieces), 2000):
+            part = pieces[i : i + 2000]
             text = " " + " ".join(part)
+            special = "<|" in text
             if self.tokenizer.normalizer:
                 text = self.tokenizer.normalizer.normalize_str(text)
-            blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 32).tolist()
-            if len(blanks) != len(part):
-                out.update(zip(part, self.bulk([f" {c}" for c in part])))
+            blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 32)
+            if special or len(blanks) != len(part) or "" in part:
+                out += self.bulk([f" {c}" for c in part])
                 continue
-            found: list[list[bytes]] = [[] for _ in part]
-            at, ends = 0, [*blanks[1:], len(text)]
-            for token, (start, _) in split_(text):
-                while start >= ends[at]:
-                    at += 1
-                ids = memo.get(token)
-                if ids is None:
-                    ids = memo[token] = b"".join([x.id.to_bytes(4, "little") for x in model(token)])
-                found[at].append(ids)
-            out.update(zip(part, map(b"".join, found)))
-        return [out[c] for c in pieces]
+            found = split_(text)
+            names = [t for t, _ in found]
+            for t in set(names).difference(memo):
+                memo[t] = array("I", [x.id for x in model(t)]).tobytes()
+            ids = list(map(memo.__getitem__, names))
+            ends = np.concatenate([[0], np.fromiter(map(len, ids), np.int64, len(ids)).cumsum()])
+            at = np.searchsorted(np.fromiter([p[0] for _, p in found], np.int64, len(ids)), blanks)
+            data, cuts = b"".join(ids), [*ends[at].tolist(), int(ends[-1])]
+            out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        return out
 
     def encode(self, batch: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -103,7 +112,7 @@ class ChunkEncoder:
         return out
 
     def _encode(self, batch: list[str]) -> list[bytes]:
-        cut = [split(t) for t in batch]
+        cut = [self.cut(t) for t in batch]
         heads = [c[0] for c in cut]
         for c in cut:
             c[0] = ""

@@ -235,7 +235,7 @@ def graph_reach_all(spark, sf_dir):
 
 
 def graph_shortest_path(spark, sf_dir):
-    path = _graph(spark, sf_dir).shortest_path("c/1", "s/1")
+    path = _graph(spark, sf_dir).shortest_path("c/1", "n/4")
     return spark.createDataFrame([(len(path) - 1 if path else None, path[0] if path else None, path[-1] if path else None)], "hops bigint, first string, last string")
 
 
@@ -291,7 +291,7 @@ ORACLES = {
     "vector_join_label": f"select label, count(*) as n from embeddings join ({_NEAR.format(_DISTANCE['l2'])}) h using (vec_id) group by label",
     "graph_neighbors_depth2": f"with recursive {_EDGES}, walk(key, depth) as (select 'r/2', 0 union all select b.dst, w.depth + 1 from walk w join both_ways b on b.src = w.key where w.depth < 2) select key, min(depth) as depth from walk group by key having min(depth) > 0",
     "graph_reach_all": f"with recursive {_EDGES}, walk(key, depth) as (select 'c/7', 0 union all select e.dst, w.depth + 1 from walk w join edges e on e.src = w.key) select key, depth from walk where depth > 0",
-    "graph_shortest_path": f"with recursive {_EDGES}, walk(key, depth) as (select 'c/1', 0 union select b.dst, w.depth + 1 from walk w join both_ways b on b.src = w.key where w.depth < 4) select cast(min(depth) as bigint) as hops, 'c/1' as first, 's/1' as last from walk where key = 's/1'",
+    "graph_shortest_path": f"with recursive {_EDGES}, walk(key, depth) as (select 'c/1', 0 union select b.dst, w.depth + 1 from walk w join both_ways b on b.src = w.key where w.depth < 4) select cast(min(depth) as bigint) as hops, 'c/1' as first, 'n/4' as last from walk where key = 'n/4'",
     "graph_two_hop": "select 'c/' || c_custkey as customer, n_name as nation from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where c_mktsegment = 'BUILDING' and r_name = 'ASIA'",
     "cypher_agg": "select n_name as nation, count(*) as n, round(max(c_acctbal), 2) as top from customer join nation on c_nationkey = n_nationkey where c_acctbal > 5000 and not starts_with(c_mktsegment, 'A') group by n_name order by n desc, nation limit 12",
     "cypher_paths": "select r_name as region, count(*) as n from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by r_name",

@@ -113,12 +113,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but the least id of each component; rows that repeat an id keep one; of null ids alone, none is kept apart: all stay."""
+    """docs without all but the least id of each component; of rows that repeat an id one stays; rows with a null id can't be told apart and all stay."""
     found = save(near_duplicates(docs, id_col, text_col), "components")
     keep = save(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "survivors")
     out = docs.join(keep.select(F.col("doc_id").alias(id_col)).hint("shuffle_hash"), id_col, "left_semi")
     if keep.where("n > 1").limit(1).count():
         out = out.dropDuplicates([id_col])
-    if found.where("doc_id is null and component_id is null").limit(1).count():
+    if found.where("doc_id is null").limit(1).count():
         out = out.unionByName(docs.where(F.col(id_col).isNull()))
     return out.select(docs.columns)

@@ -153,7 +153,8 @@ def pack_documents(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0
     slots = np.array(sorted(plan(histogram, size)) or np.empty((0, 6)), dtype=np.int64).T
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    ranked = pieces.join(first, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("first")).alias("rank"))
+    ranked = pieces.join(first.hint("merge"), ["length", "part"])  # grows with the parts: never broadcast
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("first")).alias("rank"))
     return ranked.mapInArrow(
         _place(spark.sparkContext.broadcast(slots), size),
         f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long",

@@ -97,4 +97,30 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_STUFFED = r"regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\])', '\1\2\\\3', 'g')"
+
+#: The other operators use tokenizers, XXH64 or models, which SQL doesn't have; tests/llm compares them with brute force.
+ORACLES: dict[str, str] = {
+    "op4_decontaminate": f"""
+with d as (select doc_id, row_number() over () as rid, {_WORDS} as w from documents),
+i as (select item_id, row_number() over () as iid, {_WORDS} as w from benchmark),
+iw as (select distinct iid, item_id, m, array_to_string(w[p:p + m - 1], ' ') as k
+       from (select iid, item_id, w, least(len(w), 10) as m, unnest(range(1, len(w) - least(len(w), 10) + 2)) as p from i where len(w) > 0) t),
+dw as (select rid, p, m, array_to_string(w[p:p + m - 1], ' ') as k
+       from (select rid, w, m, unnest(range(1, len(w) - m + 2)) as p from d, (select distinct m from iw) s where len(w) >= m) t),
+hits as (select rid, p, dw.m, iid, item_id from dw join iw on dw.m = iw.m and dw.k = iw.k),
+pos as (select rid, count(distinct x) as n from (select rid, unnest(range(p, p + m)) as x from (select distinct rid, p, m from hits) t) t group by rid),
+its as (select rid, count(*) as n, string_agg(cast(item_id as varchar), ',' order by cast(item_id as varchar)) as names from (select distinct rid, iid, item_id from hits) t group by rid)
+select doc_id, len(w) as n_words, coalesce(pos.n, 0) as n_hit, coalesce(its.n, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(pos.n, 0) > 0 as contaminated
+from d left join pos on d.rid = pos.rid left join its on d.rid = its.rid""",
+    "op5_chat_format": f"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f as (select *, case when role = 'assistant' then length({_STUFFED}) + 4 else 14 + length(url_encode(role)) + length({_STUFFED}) end as n from t)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       cast(3 + sum(n) as bigint) as formatted_chars
+from f group by conv_id""",
+}

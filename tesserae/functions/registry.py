@@ -28,5 +28,8 @@ RENAMED = {
 
 
 def register(spark: SparkSession) -> None:
+    """Once a session."""
+    if spark.catalog.functionExists("tesserae_shard"):
+        return
     for head, body in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import id_crc, save, ship, texts
+from tesserae.llm.common import id_crc, most_frequent, save, ship, texts
 
 TOP, PLACED, KNOWN = 2_048, 32_768, 100_000
 CLASSES, RARE = 64, 64
@@ -256,7 +256,7 @@ def score(docs: DataFrame, modulus: int = 5, rest: int = 1, id_col: str = "doc_i
     kind = own.schema["doc_id"].dataType.simpleString()
     counts = save(own.where("not held_out").select("text").mapInArrow(_count, "word binary, ending int, n long").groupBy("word", "ending").agg(F.sum("n").alias("n")), "words")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.length("word") > 0).orderBy(F.desc("n"), "word").limit(KNOWN - 1).select("word", "n").toArrow()
+    top = most_frequent(counts.where(F.length("word") > 0), KNOWN - 1, "n", "word").select("word", "n").toArrow()
     known = [END, *top.column(0).to_pylist()]
     ends = (counts.where(F.length("word") == 0).select("n").first() or [0])[0]
     number = np.zeros(KNOWN, np.int64)

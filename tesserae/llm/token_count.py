@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.chunks import ChunkEncoder, split
-from tesserae.llm.common import save, ship, texts
+from tesserae.llm.common import most_frequent, save, ship, texts
 
 #: Chunks whose counts every task holds: at most some 20 MB, whatever the input.
 HOT_CHUNKS = 150_000
@@ -121,7 +121,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
         .mapInArrow(_pieces(path), "chunk string, uses long, pieces int")
     )
     table = save(chunks, "chunk-pieces")
-    top = table.orderBy(F.desc("uses"), "chunk").limit(HOT_CHUNKS).select("chunk", "pieces").toArrow()
+    top = most_frequent(table, HOT_CHUNKS, "uses", "chunk").select("chunk", "pieces").toArrow()
     hot = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist())))
     rows = own.mapInArrow(_sums(hot), f"row long, doc_id {id_type}, n_bytes long, sure long, chunk string, n long")
     return (

@@ -63,6 +63,14 @@ def test_token_counts(docs, empty, monkeypatch):
     assert token_count.token_counts(empty, BYTES).count() == 0
 
 
+@pytest.mark.parametrize("k", [1, 5, 40, 1000])
+def test_most_frequent(spark, k):
+    rows = [(f"w{i:03d}", 1 + 3000 // (i + 1) ** 2) for i in range(200)]
+    found = common.most_frequent(spark.createDataFrame(rows, "word string, n long"), k, "n", "word").collect()
+    assert [tuple(r) for r in found] == sorted(rows, key=lambda r: (-r[1], r[0]))[:k]
+    assert common.most_frequent(spark.createDataFrame([], "word string, n long"), k, "n", "word").count() == 0
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 13, 16, 17, 24, 32])
 def test_bits_round_trip(bits):
     rng = np.random.default_rng(bits)

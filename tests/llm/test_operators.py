@@ -240,7 +240,9 @@ def test_chat_layouts(spark):
         chat.canonical(spark.sql("select 1L as conv_id, 'x' as output"))
 
 
-def test_ann(spark, monkeypatch):
+@pytest.mark.parametrize("sample", [40_000, 250])  # the small one is thinned by hash first
+def test_ann(spark, monkeypatch, sample):
+    monkeypatch.setattr(ann, "SAMPLE", sample)
     monkeypatch.setattr(ann, "LEAF", 40)
     monkeypatch.setattr(ann, "BLOCK", 50)  # lists are cut into several blocks
     rng = np.random.default_rng(1)

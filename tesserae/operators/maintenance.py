@@ -7,6 +7,7 @@ by a part.  Parts that statistics exclude are not read at all.
 from __future__ import annotations
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
 from pyspark.sql import Column as Expression
@@ -20,6 +21,8 @@ from tesserae.sources.catalog import Column, Store, Table
 from tesserae.sources.parts import Part, parts_of, remove, scan, write_part
 
 MERGE_ROWS, AUTO_MERGE = 4_194_304, 8
+#: Parts that a statement rewrites at a time.
+REWRITES = 4
 
 
 def pick(parts: list[Part], budget: int) -> list[Part]:
@@ -68,39 +71,45 @@ def _rewrite(spark: SparkSession, store: Store, table: Table, part: Part, rows:
         store.delete(claim)
 
 
+def _each(rewrite, parts: list[Part]) -> int:
+    """Rewrite parts REWRITES at a time, as jobs of their own; the sum of the rows that changed."""
+    if len(parts) < 2:
+        return sum(map(rewrite, parts))
+    with ThreadPoolExecutor(REWRITES) as pool:
+        return sum(pool.map(rewrite, parts))
+
+
 def delete_rows(spark: SparkSession, store: Store, table: Table, condition: Expression | None, predicate=None) -> int:
     """Remove the rows for which condition is true; rows for which it is null stay."""
-    n = 0
-    for part in prune(parts_of(store, table.name), predicate):
-        if condition is None:
-            n += part.rows
-            remove(store, table.name, part)
-            continue
+    hit = F.coalesce(condition, F.lit(False)) if condition is not None else F.lit(True)
+
+    def one(part: Part) -> int:
         rows = scan(spark, table, [part])
-        hit = F.coalesce(condition, F.lit(False))
-        found = rows.where(hit).count()
-        n += found
+        found = part.rows if condition is None else rows.where(hit).count()
         if found == part.rows:
             remove(store, table.name, part)
         elif found:
             _rewrite(spark, store, table, part, rows.where(~hit))
-    return n
+        return found
+
+    return _each(one, prune(parts_of(store, table.name), predicate))
 
 
 def update_rows(spark: SparkSession, store: Store, table: Table, values: dict[str, Expression], condition: Expression | None, predicate=None) -> int:
     """Assign values, cast to their columns' types, in the rows for which condition is true, and only in those."""
     for c in values:
         table.column(c)
-    n = 0
     hit = F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))
-    for part in prune(parts_of(store, table.name), predicate):
+
+    def one(part: Part) -> int:
         rows = scan(spark, table, [part])
         found = part.rows if condition is None else rows.where(hit).count()
-        n += found
         if found:
             new = [F.when(hit, values[c.name].cast(c.type.spark)).otherwise(F.col(f"`{c.name}`")).alias(c.name) if c.name in values else F.col(f"`{c.name}`") for c in table.columns]
             _rewrite(spark, store, table, part, rows.select(*new))
-    return n
+        return found
+
+    return _each(one, prune(parts_of(store, table.name), predicate))
 
 
 def expire(spark: SparkSession, store: Store, table: Table, now: dt.datetime | None = None) -> int:

@@ -20,6 +20,8 @@ from tesserae.errors import EngineError
 METRICS = ("l2", "cosine", "dot")
 #: Vectors that centroids and codebooks are trained on at most.
 TRAIN_ROWS = 65_536
+#: Tasks that a list is written by, however many vectors it has.
+LIST_FILES = 8
 
 
 def unit(v: Column) -> Column:
@@ -150,7 +152,10 @@ class VectorRegistry:
         if not meta["batches"]:
             return
         every = self.frame(name)
-        sample = every.select("id", "embedding").orderBy(F.xxhash64("id")).limit(TRAIN_ROWS).select("embedding").toArrow().column(0).combine_chunks()
+        place, n = F.xxhash64("id"), every.count()
+        # A range of hashes first, so that no task ranks TRAIN_ROWS rows of every other task's.
+        thin = every.where(place < F.lit((5 * TRAIN_ROWS << 62) // n - (1 << 63))) if n > 2 * TRAIN_ROWS else every
+        sample = thin.select("id", "embedding").orderBy(place).limit(TRAIN_ROWS).select("embedding").toArrow().column(0).combine_chunks()
         x = np.asarray(sample.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(sample), -1)
         centers = kmeans(x, meta["nlist"], meta["niter"])
         books = None
@@ -160,7 +165,7 @@ class VectorRegistry:
             books = np.stack([_padded(kmeans(rest[:, j * width : (j + 1) * width], 2 ** meta["nbits"], min(4, meta["niter"])), 2 ** meta["nbits"]) for j in range(meta["m"])])
         shared = self.spark.sparkContext.broadcast((centers, books))
         folder = f"vectors/{name}/lists-{uuid.uuid4().hex[:8]}"
-        every.mapInArrow(_assign(shared, meta["metric"]), "id long, embedding array<float>, payload string, codes binary, list int").repartition("list").write.partitionBy("list").parquet(f"{self.store.url}/{folder}")
+        every.mapInArrow(_assign(shared, meta["metric"]), "id long, embedding array<float>, payload string, codes binary, list int").repartition("list", F.pmod(F.xxhash64("id"), F.lit(LIST_FILES))).write.partitionBy("list").parquet(f"{self.store.url}/{folder}")
         self.store.put(f"{folder}.npy", json.dumps({"centers": centers.tolist(), "books": None if books is None else books.tolist()}).encode())
         old = meta["lists"]
         meta |= {"lists": folder, "indexed": len(meta["batches"])}

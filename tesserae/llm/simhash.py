@@ -114,7 +114,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but the least id of each component; of rows that repeat an id one stays; rows with a null id can't be told apart and all stay."""
-    found = save(near_duplicates(docs, id_col, text_col), "components")
+    return keep_least(docs, near_duplicates(docs, id_col, text_col), id_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """deduplicate by the components that were found: (doc_id, component_id) of every row."""
+    found = save(found, "components")
     keep = save(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "survivors")
     out = docs.join(keep.select(F.col("doc_id").alias(id_col)).hint("shuffle_hash"), id_col, "left_semi")
     if keep.where("n > 1").limit(1).count():

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from tesserae.llm import ann, bitpack, brown, chat, chunks, common, decontaminate, langid, packing, queries, simhash, token_count, urlfilter
+from tesserae.llm import ann, bitpack, brown, chat, chunks, common, decontaminate, langid, neardup, packing, queries, simhash, token_count, urlfilter
 
 DIR = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -325,6 +325,40 @@ def test_links_lose_nothing(spark, monkeypatch, bucket):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def brute_shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+
+@pytest.mark.parametrize("bucket", [32, 4])
+def test_planted_near_copies(spark, monkeypatch, bucket):
+    """The stage links exactly what a similarity of 0.8 on five words links; with a bucket of 4, mostly by centres and blocks."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(neardup, "BUCKET", bucket)
+    monkeypatch.setattr(neardup, "CENTRES", 1 if bucket == 4 else neardup.CENTRES)
+    r = random.Random(bucket)
+    own = []
+    for _ in range(12):
+        base = [f"w{r.randrange(5000)}" for _ in range(120)]
+        for k in range(12):
+            words = list(base)
+            for _ in range(k % 5):
+                words[r.randrange(120)] = f"x{r.randrange(5000)}"
+            own.append(" ".join(words))
+    r.shuffle(own)
+    sets, root = [brute_shingles(t) for t in own], list(range(len(own)))
+    for i in range(len(own)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [root[j] if x == root[i] else x for x in root]
+    least = {x: root.index(x) for x in root}
+    table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(own)], SCHEMA)
+    same([tuple(x) for x in neardup.near_duplicates(table).collect()], [(i, least[x]) for i, x in enumerate(root)])
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, table, DIR).collect()) == sorted(least.values())
+    assert neardup.near_duplicates(table.limit(0)).count() == 0
+
+
 def test_components_of_a_chain_and_a_star(spark):
     from tesserae.llm.components import components
 

@@ -87,12 +87,14 @@ class Model:
         self.weights = np.stack(columns, axis=1) if columns else np.zeros((DIMENSIONS + 1, 0), np.float32)
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
-        """A language and a score for each row: the family's chance times the language's mean chance against its relatives."""
+        """A language and a score for each row: the family's chance times the language's mean chance against its relatives.
+
+        Neither shrinks as languages or families are added, so one bound on the score serves any number of them.
+        """
         margins = x @ self.weights[:-1] + self.weights[-1]
         n = len(self.families) if len(self.families) > 1 else 0
         chance = lambda m: 1 / (1 + np.exp(np.clip(-4 * m, -50, 50)))
         by_family = chance(margins[:, :n]) if n else np.ones((len(x), 1))
-        by_family = by_family / np.maximum(by_family.sum(axis=1, keepdims=True), 1e-9)
         score = np.zeros((len(x), len(self.langs)))
         at = {g: k for k, g in enumerate(self.langs)}
         for k, (a, b) in enumerate(self.pairs):
@@ -104,8 +106,7 @@ class Model:
             own = [at[g] for g in self.members[f]]
             if len(own) == 1:
                 score[:, own[0]] = 1
-            score[:, own] /= np.maximum(score[:, own].sum(axis=1, keepdims=True), 1e-9)
-            score[:, own] *= by_family[:, [k]]
+            score[:, own] *= by_family[:, [k]] / max(1, len(own) - 1)
             others = np.flatnonzero(chosen != k)
             score[np.ix_(others, own)] -= 2  # the family is decided first
         best = score.argmax(axis=1)

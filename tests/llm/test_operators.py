@@ -383,6 +383,18 @@ def test_language_id(spark, docs, empty):
     assert kept.columns == docs.columns and {0, 1, 3, 13}.isdisjoint({r.doc_id for r in kept.collect()})
 
 
+@pytest.mark.parametrize("codes", [langid.FAMILIES["slavic"].split(), [f"x{c}" for c in "abcdefghijkl"]])
+def test_clear_texts_of_a_dozen_languages_are_kept(spark, codes):
+    """Languages of one family, and of a family each: the score of a clear text doesn't shrink with their number."""
+    import corpus_pipeline
+
+    r = random.Random(4)
+    words = {c: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(40)] for c in codes}
+    own = [(i, " ".join(r.choices(words[c], k=40)), c, "s", 1) for i, c in enumerate(codes * 30)]
+    kept = corpus_pipeline.language_id(spark, spark.createDataFrame(own, SCHEMA), DIR)
+    assert len(codes) == 12 and kept.count() == len(own)
+
+
 def test_url_filter(spark):
     urls = ["http://A.Example.COM/en/7x?a#b", "https://example.net/de/81", "http://x.net/de/1", "http://xnet/de/1", "ftp://net/de/?q", "http://a.org/es/", "http://a.org/es", None, "", "no scheme", "http://", "http://h#f", "x://y://z/en/", "http://www.cheap-pills.example.com/fr/1?x=2"]
     table = spark.createDataFrame([(k, u, "<p>", "r", "h") for k, u in enumerate([*urls, urls[0]])] + [(None, urls[0], "", "", "")], "page_id long, url string, html string, rule string, host string")

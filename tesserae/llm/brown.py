@@ -4,13 +4,14 @@
 
 All words of the training rows are counted.  Exchange clustering gives words classes: the TOP most frequent ones
 by exchange proper (each word moves to the class with the largest gain of the class bigrams' likelihood, sweep after
-sweep), the next ones up to PLACED by one such move each, given their class contexts in the whole corpus.  Words
-beyond those, and words never seen, belong to RARE classes by their endings, so that any word has a class.  Class
-transitions are counted over the whole corpus.  Each rare class keeps half a count for one unseen word, and all
+sweep), the next ones up to PLACED by one such move each, given their contexts beside the TOP.  Then every
+word beyond TOP that occurs ENOUGH times, however far down, gets its class from its contexts beside words of any class so
+far, in a shuffle by word.  Words that occur less often, or never, or beside no such word, belong to RARE classes by
+their endings, so that any word has a class.  Class transitions are counted over the whole corpus.  Each rare class keeps half a count for one unseen word, and all
 distributions sum to one.
 
-What the driver and tasks hold is bounded by these parameters, not by the corpus: words beyond KNOWN are looked up
-by a shuffled join, which is exact since P(w | v) is the word's count plus a half, times a factor of classes alone.
+What the driver and tasks hold is bounded by these parameters, not by the corpus: the classes and counts of
+words beyond KNOWN are looked up by a shuffled join, once, and stay beside the texts.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from tesserae.llm.common import id_crc, most_frequent, save, ship, texts
 
 TOP, PLACED, KNOWN = 2_048, 32_768, 100_000
 CLASSES, RARE = 64, 64
+#: Occurrences from which on a word is placed by its contexts.
+ENOUGH = 3
 ALL = CLASSES + RARE
 #: Weight of the class model; pseudo-counts of a class among another's followers; sweeps of the exchange.
 MIX, PRIOR, SWEEPS = 0.95, 40.0, 8
@@ -63,7 +66,7 @@ def _rows(seen: Counter):
 
 
 def _encode(hot):
-    """Ids of the known words, KNOWN plus the ending for others, which are listed with their counts; the end token is 0."""
+    """Ids of the known words, KNOWN plus the place in the text's own list for others; the end token is 0."""
 
     def run(batches):
         ids_of, number = hot.value, TaskContext.get().partitionId() << 36
@@ -76,9 +79,9 @@ def _encode(hot):
                     words = words_of(text)
                     ids = list(map(ids_of.get, words))
                     if None in ids:
-                        others = Counter(w for w, x in zip(words, ids) if x is None)
-                        ids = [KNOWN + ending(w) if x is None else x for w, x in zip(words, ids)]
-                        rare.append([{"word": w, "n": n} for w, n in others.items()])
+                        others: dict[bytes, int] = {}
+                        ids = [KNOWN + others.setdefault(w, len(others)) if x is None else x for w, x in zip(words, ids)]
+                        rare.append([{"word": w, "ending": ending(w)} for w in others])
                     else:
                         rare.append([])
                     ids.append(0)
@@ -86,7 +89,7 @@ def _encode(hot):
                     lengths.append(len(ids))
                     coded.append(np.array(ids, dtype="<u4").tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows, pa.int64()), part.column(0), part.column(2), pa.array(lengths, pa.int64()), pa.array(coded, pa.binary()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
+                    [pa.array(rows, pa.int64()), part.column(0), part.column(2), pa.array(lengths, pa.int64()), pa.array(coded, pa.binary()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("ending", pa.int32())])))],
                     ["row", "doc_id", "held_out", "n_tokens", "ids", "rare"],
                 )
 
@@ -140,12 +143,62 @@ def _contexts(classes: np.ndarray):
     return of
 
 
-def _transitions(classes: np.ndarray):
-    def of(ids: np.ndarray) -> np.ndarray:
-        c = classes[ids]
-        return c[:-1] * ALL + c[1:]
+def _far_contexts(classes: np.ndarray, known: list[bytes]):
+    """(word, at, n): how often words beyond TOP stand beside words that have a class; at is as in _contexts."""
+
+    def run(batches):
+        names = pa.array(known, pa.binary())
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                part = batch.slice(i, 2000)
+                rare = part.column(1).combine_chunks() if isinstance(part.column(1), pa.ChunkedArray) else part.column(1)
+                own = pa.concat_arrays([names, rare.flatten().field("word")])
+                runs, at = [np.zeros(1, np.int64)], len(known) - KNOWN
+                for data, n in zip(part.column(0).to_pylist(), rare.value_lengths().to_pylist()):
+                    ids = np.frombuffer(data, "<u4").astype(np.int64)
+                    ids[ids >= KNOWN] += at
+                    at += n
+                    runs.append(ids)
+                ids = np.concatenate(runs)
+                c = np.full(len(own), -1)
+                c[: min(PLACED, len(known))] = classes[: min(PLACED, len(known))]
+                a, b = ids[:-1], ids[1:]
+                after, before = (a >= TOP) & (c[b] >= 0), (b >= TOP) & (c[a] >= 0)
+                keys, n = np.unique(np.concatenate([a[after] * 2 * CLASSES + c[b[after]], b[before] * 2 * CLASSES + CLASSES + c[a[before]]]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([own.take(pa.array(keys // (2 * CLASSES))), pa.array(keys % (2 * CLASSES), pa.int64()), pa.array(n, pa.int64())], ["word", "at", "n"])
+
+    return run
+
+
+def _classes_of(classes: np.ndarray, ids: np.ndarray, size: int, far) -> np.ndarray:
+    """Classes of a text's words; those of its own list, of that size, are in far."""
+    if not size:
+        return classes[ids]
+    own = np.zeros(size, np.int64)
+    for x in far:
+        own[x["k"]] = x["class"]
+    other = ids >= KNOWN
+    out = classes[np.where(other, 0, ids)]
+    out[other] = own[ids[other] - KNOWN]
+    return out
 
-    return of
+
+def _transitions(shared):
+    def run(batches):
+        classes, total = shared.value, np.zeros(ALL * ALL, np.int64)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                part = batch.slice(i, 2000)
+                runs = [classes[:1]]
+                for data, size, far in zip(*(c.to_pylist() for c in part.columns)):
+                    ids = np.frombuffer(data, "<u4")
+                    runs.append(_classes_of(classes, ids, size, far))
+                c = np.concatenate(runs)
+                total += np.bincount(c[:-1] * ALL + c[1:], minlength=ALL * ALL)
+        keys = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(total[keys], pa.int64())], ["key", "n"])
+
+    return run
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -220,24 +273,25 @@ def _dense(rows: pa.Table, size: int) -> np.ndarray:
 
 
 def _score(shared):
-    """A row for each text, and one for each of its words that is looked up elsewhere."""
+    """A row for each text."""
 
     def run(batches):
         classes, table, logs, sure = shared.value
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [], [], [], [])
-            for row, doc, held, n, data, rare in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.frombuffer(b"\0\0\0\0" + data, "<u4")
-                c = classes[ids]
-                known = ids[1:]
-                known = known[known < KNOWN]
-                for column, value in zip(out, (row, doc, held, n, float(table[c[:-1], c[1:]].sum()), float(logs[known].sum()), int(sure[known].sum()), b"\0 %d" % row, 0)):
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            for doc, held, n, data, size, far in zip(*(c.to_pylist() for c in batch.columns)):
+                ids = np.frombuffer(data, "<u4")
+                c = np.concatenate([classes[:1], _classes_of(classes, ids, size, far)])
+                known = ids[ids < KNOWN]
+                seen = np.zeros(size)
+                for x in far or []:
+                    seen[x["k"]] = x["n"]
+                seen = seen[ids[ids >= KNOWN] - KNOWN]
+                words = float(logs[known].sum()) + float(np.log10(seen + 0.5).sum())
+                for column, value in zip(out, (doc, held, n, int(sure[known].sum()) + int((seen > 0).sum()), words, float(table[c[:-1], c[1:]].sum()))):
                     column.append(value)
-                for item in rare:
-                    for column, value in zip(out, (row, doc, held, 0, 0.0, 0.0, 0, item["word"], item["n"])):
-                        column.append(value)
-            types = (pa.int64(), batch.column(1).type, pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["row", "doc_id", "held_out", "n_tokens", "classes", "logs", "sure", "word", "times"])
+            types = (batch.column(0).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["doc_id", "held_out", "n_tokens", "n_known", "logs", "classes"])
 
     return run
 
@@ -262,10 +316,10 @@ def score(docs: DataFrame, modulus: int = 5, rest: int = 1, id_col: str = "doc_i
     number = np.zeros(KNOWN, np.int64)
     number[: len(known)] = [ends, *top.column(1).to_pylist()]
     hot = spark.sparkContext.broadcast({w: k for k, w in enumerate(known)})
-    coded = save(own.mapInArrow(_encode(hot), f"row long, doc_id {kind}, held_out boolean, n_tokens long, ids binary, rare array<struct<word: binary, n: long>>"), "coded")
+    coded = save(own.mapInArrow(_encode(hot), f"row long, doc_id {kind}, held_out boolean, n_tokens long, ids binary, rare array<struct<word: binary, ending: int>>"), "coded")
 
     pairs = _dense(_summed(coded, TOP * TOP, _top_pairs).toArrow(), TOP * TOP).reshape(TOP, TOP)  # TOP * TOP rows at most
-    classes = np.empty(KNOWN + RARE, np.int64)
+    classes = np.empty(KNOWN, np.int64)
     classes[:TOP] = exchange(pairs)
     member = np.eye(CLASSES)[classes[:TOP]]
     placed = (
@@ -275,19 +329,41 @@ def score(docs: DataFrame, modulus: int = 5, rest: int = 1, id_col: str = "doc_i
         .mapInArrow(_place(member.T @ pairs @ member), "word long, class int")
         .toArrow()
     )  # PLACED rows at most
-    classes[TOP:KNOWN] = [CLASSES + ending(w) for w in known[TOP:]] + [CLASSES] * (KNOWN - max(TOP, len(known)))
-    classes[placed.column(0).to_numpy()] = placed.column(1).to_numpy()
-    classes[KNOWN:] = CLASSES + np.arange(RARE)
+    endings = [CLASSES + ending(w) for w in known[TOP:]] + [CLASSES] * (KNOWN - max(TOP, len(known)))
+    first = classes.copy()
+    first[TOP:] = -1
+    first[placed.column(0).to_numpy()] = placed.column(1).to_numpy()
+    contexts = coded.where("not held_out").select("ids", "rare").mapInArrow(_far_contexts(first[:PLACED].copy(), known), "word binary, at long, n long")
+    enough = counts.where((F.col("n") >= ENOUGH) & (F.length("word") > 0)).select("word")
+    found = save(
+        contexts.groupBy("word", "at").agg(F.sum("n").alias("n"))
+        .groupBy("word").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
+        .join(enough, "word").select("word", "at", "n")
+        .mapInArrow(_place(member.T @ pairs @ member), "word binary, class int"), "placed",
+    )
+    table_ = save(counts.where(F.length("word") > 0).join(found, "word", "left").withColumn("class", F.coalesce("class", F.col("ending") + CLASSES)), "word-classes")
+    classes[TOP:] = endings
+    number_of = {w: k for k, w in enumerate(known)}
+    for r in table_.join(F.broadcast(spark.createDataFrame([(w,) for w in known[TOP:]], "word binary")), "word").select("word", "class").toLocalIterator():  # KNOWN rows at most
+        classes[number_of[r["word"]]] = r["class"]
+    # The words of each text's own list with their classes and counts; those that never teach have the class of their ending.
+    listed = coded.select("row", F.posexplode("rare").alias("k", "item")).select("row", "k", F.col("item.word").alias("word"), F.col("item.ending").alias("at"))
+    far = (
+        listed.join(table_.select("word", "class", "n"), "word", "left")
+        .groupBy("row").agg(F.collect_list(F.struct("k", F.coalesce("class", F.col("at") + CLASSES).alias("class"), F.coalesce("n", F.lit(0)).alias("n"))).alias("far"))
+    )
+    whole = save(coded.select("row", "doc_id", "held_out", "n_tokens", "ids", F.size("rare").alias("size")).join(far, "row", "left"), "coded-far")
 
-    moves = _dense(_summed(coded, ALL * ALL, _transitions(classes)).toArrow(), ALL * ALL).reshape(ALL, ALL)
+    shown = spark.sparkContext.broadcast(classes)
+    moves = whole.where("not held_out").select("ids", "size", "far").mapInArrow(_transitions(shown), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    moves = _dense(moves.toArrow(), ALL * ALL).reshape(ALL, ALL)
     words, types = np.zeros(ALL), np.zeros(ALL)
-    for r in counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():  # RARE rows
-        words[CLASSES + r["ending"]], types[CLASSES + r["ending"]] = r["n"], r["types"]
-    size = len(known)
-    in_class = classes[:size] < CLASSES
-    for sign, where in ((-1, np.array([CLASSES + ending(w) for w in known])[in_class]), (1, classes[:size][in_class])):
-        words += sign * np.bincount(where, number[:size][in_class], ALL)
-        types += sign * np.bincount(where, number[:size][in_class] > 0, ALL)
+    top_words = F.broadcast(spark.createDataFrame([(w,) for w in known[1:TOP]], "word binary"))
+    for r in table_.join(top_words, "word", "left_anti").groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():  # ALL rows
+        words[r["class"]], types[r["class"]] = r["n"], r["types"]
+    size = min(TOP, len(known))
+    words += np.bincount(classes[:size], number[:size], ALL)
+    types += np.bincount(classes[:size], number[:size] > 0, ALL)
     types[CLASSES:] += 1  # an unseen word's
     inside = words + 0.5 * np.maximum(types, 1)
     share = (words + 0.5) / (words + 0.5).sum()
@@ -296,18 +372,9 @@ def score(docs: DataFrame, modulus: int = 5, rest: int = 1, id_col: str = "doc_i
     base = float(np.log10(total + 0.5 * (kinds + 1)))
 
     shared = spark.sparkContext.broadcast((classes, table, np.log10(number + 0.5), number > 0))
-    rows = coded.select("row", "doc_id", "held_out", "n_tokens", "ids", "rare").mapInArrow(
-        _score(shared), f"row long, doc_id {kind}, held_out boolean, n_tokens long, classes double, logs double, sure long, word binary, times long"
-    )
-    each = F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5)) * F.col("times")
+    rows = whole.select("doc_id", "held_out", "n_tokens", "ids", "size", "far").mapInArrow(_score(shared), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, classes double")
     return (
-        rows.join(counts.select("word", "n"), "word", "left")
-        .groupBy("row", "doc_id", "held_out")
-        .agg(
-            F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("sure") + F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
-            F.sum(F.col("logs") + each).alias("logs"), F.sum("classes").alias("classes"),
-        )
-        .select(
+        rows.select(
             "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"),
             (F.col("logs") - F.col("n_tokens") * F.lit(base)).alias("base_score"), (F.col("logs") + F.col("classes")).alias("score"),
         )

@@ -427,6 +427,24 @@ def test_brown(spark, docs, empty):
     assert brown.score(empty).count() == 0
 
 
+def test_brown_places_words_beyond_every_rank(spark):
+    """Two halves whose words only follow their own, and 101,000 words more frequent than some that occur three times in one half: those score better beside it."""
+    r = random.Random(2)
+    halves = [[f"{h}{k}" for k in range(10)] for h in "ab"]
+    teach = [r.choices(halves[k % 2], k=60) for k in range(240)]
+    for k, text in enumerate(teach):
+        text[30] = f"{'ab'[k % 2]}q{k // 2 % 40}zzz"
+    others = [f"o{k}" for k in range(brown.KNOWN + 1000)] * 4
+    r.shuffle(others)
+    texts = [" ".join(t) for t in teach] + [" ".join(others[i : i + 1000]) for i in range(0, len(others), 1000)]
+    held = [f"{a}1 {b}q{k}zzz {a}2" for k in range(40) for a, b in ("aa", "ab")]
+    ids = [[i for i in range(9000) if (zlib.crc32(str(i).encode()) % 5 == 1) == h] for h in (False, True)]
+    table = [*zip(ids[0], texts), *zip(ids[1], held)]
+    got = {x.doc_id: x.score for x in brown.score(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    tail = [got[i] for i, _ in table[len(texts) :]]
+    assert sum(x > y + 0.1 for x, y in zip(tail[::2], tail[1::2])) == 40
+
+
 def test_exchange_finds_classes():
     """Two languages whose words only follow their own."""
     rng = np.random.default_rng(0)

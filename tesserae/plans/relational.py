@@ -112,7 +112,7 @@ define("join_natural", "select k, x, y from (select n_nationkey as k, n_name as
 define("join_merge_hint", "select /*+ merge(o) */ c_mktsegment, count(*) as n from customer c join orders o on c_custkey = o_custkey group by c_mktsegment", "select c_mktsegment, count(*) as n from customer c join orders o on c_custkey = o_custkey group by c_mktsegment")
 define("join_star", "select r_name, c_mktsegment, count(*) as n, round(sum(l_extendedprice), 2) as total from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by r_name, c_mktsegment")
 define("join_composite_key", "select count(*) as n from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber and a.l_partkey = b.l_partkey")
-define("join_lateral", "select c_custkey, t.top_price from customer, lateral (select max(o_totalprice) as top_price from orders where o_custkey = c_custkey) t where c_custkey < 200")
+define("join_lateral", "select c_custkey, t.top_price from customer, lateral (select max(o_totalprice) as top_price from orders where o_custkey = c_custkey) t")
 
 # Aggregation.
 
@@ -155,7 +155,7 @@ define("win_groups_frame", "select event_id, count(*) over (partition by event_t
 
 # Sort and limit.
 
-define("sort_nulls", "select event_id, v, cast(row_number() over (order by v asc nulls last, event_id) as bigint) as place from (select event_id, nullif(event_type, 'view') as v from events where event_id < 500) t")
+define("sort_nulls", "select event_id, v, cast(row_number() over (order by v asc nulls last, event_id) as bigint) as place from (select event_id, nullif(event_type, 'view') as v from events) t")
 define("limit_offset", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 10 offset 5")
 define("topk", "select c_custkey, c_acctbal from customer order by c_acctbal desc nulls last, c_custkey limit 25")
 define("topk_per_group", "select o_custkey, o_orderkey, o_totalprice from (select o_custkey, o_orderkey, o_totalprice, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as k from orders) t where k <= 2")

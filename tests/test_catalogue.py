@@ -41,3 +41,10 @@ def test_query(spark, duck, name):
         assert got == ordered(duck.sql(ORACLES[name]).to_arrow_table())
     else:
         assert got[1]
+
+
+@pytest.mark.parametrize("name, table", [("sort_nulls", "events"), ("join_lateral", "customer")])
+def test_whole_tables(spark, duck, name, table):
+    """A row for every row of the table, not for a prefix of its ids."""
+    whole = DIR.replace("sf0.001", "sf0.01")
+    assert QUERIES[name](spark, whole).count() == duck.sql(f"select count(*) from '{whole}/{table}.parquet'").fetchall()[0][0]

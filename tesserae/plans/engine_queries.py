@@ -157,11 +157,11 @@ def show_columns(spark, sf_dir):
 
 
 def int_div_dialect(spark, sf_dir):
-    return _load(spark, sf_dir, _ORDERS, "orders").sql("SELECT o_orderkey, 10 / 4 AS two, o_custkey / 7 AS seventh, strpos(o_orderpriority, '-') AS dash, gcd(o_orderkey, 12) AS g FROM orders WHERE o_orderkey < 300")
+    return _load(spark, sf_dir, _ORDERS, "orders").sql("SELECT o_orderkey, 10 / 4 AS two, o_custkey / 7 AS seventh, strpos(o_orderpriority, '-') AS dash, gcd(o_orderkey, 12) AS g FROM orders")
 
 
 def null_order_dialect(spark, sf_dir):
-    return _load(spark, sf_dir, _EVENTS, "events").sql("SELECT event_id, nullif(event_type, 'view') AS v FROM events ORDER BY nullif(event_type, 'view') DESC, event_id LIMIT 50")
+    return _load(spark, sf_dir, _EVENTS, "events").sql("SELECT event_id, nullif(event_type, 'view') AS v FROM events ORDER BY nullif(event_type, 'view') DESC, event_id")
 
 
 def file_functions(spark, sf_dir):
@@ -284,8 +284,8 @@ ORACLES = {
     "shard_union": "select event_type, count(*) as n, min(value) as low, max(value) as high from events group by event_type",
     "insert_select": "select o_orderkey as k, o_totalprice as price from orders where o_totalprice < 20000",
     "show_columns": "select * from (values ('o_orderkey', 'Int64', true, true), ('o_custkey', 'Int64', true, false), ('o_orderstatus', 'Utf8', true, false), ('o_totalprice', 'Float64', true, false), ('o_orderdate', 'TimestampUs', true, false), ('o_orderpriority', 'Utf8', true, false)) t(column_name, column_type, is_nullable, is_in_sort_key)",
-    "int_div_dialect": "select o_orderkey, cast(2 as bigint) as two, o_custkey // 7 as seventh, strpos(o_orderpriority, '-') as dash, gcd(o_orderkey, 12) as g from orders where o_orderkey < 300",
-    "null_order_dialect": "select event_id, nullif(event_type, 'view') as v from events order by nullif(event_type, 'view') desc nulls first, event_id limit 50",
+    "int_div_dialect": "select o_orderkey, cast(2 as bigint) as two, o_custkey // 7 as seventh, strpos(o_orderpriority, '-') as dash, gcd(o_orderkey, 12) as g from orders",
+    "null_order_dialect": "select event_id, nullif(event_type, 'view') as v from events order by nullif(event_type, 'view') desc nulls first, event_id",
     "file_functions": "select n_regionkey, cast(2 * count(*) as bigint) as n from nation group by n_regionkey",
     **{f"vector_{m}": _NEAR.format(d) for m, d in _DISTANCE.items()},
     "vector_join_label": f"select label, count(*) as n from embeddings join ({_NEAR.format(_DISTANCE['l2'])}) h using (vec_id) group by label",

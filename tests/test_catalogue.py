@@ -43,8 +43,13 @@ def test_query(spark, duck, name):
         assert got[1]
 
 
-@pytest.mark.parametrize("name, table", [("sort_nulls", "events"), ("join_lateral", "customer")])
+@pytest.mark.parametrize("name, table", [("sort_nulls", "events"), ("join_lateral", "customer"), ("int_div_dialect", "orders"), ("null_order_dialect", "events")])
 def test_whole_tables(spark, duck, name, table):
     """A row for every row of the table, not for a prefix of its ids."""
     whole = DIR.replace("sf0.001", "sf0.01")
     assert QUERIES[name](spark, whole).count() == duck.sql(f"select count(*) from '{whole}/{table}.parquet'").fetchall()[0][0]
+
+
+def test_null_order_of_all_events(spark, duck):
+    got = [tuple(r) for r in QUERIES["null_order_dialect"](spark, DIR).collect()]
+    assert len(got) > 50 and got == duck.sql(ORACLES["null_order_dialect"]).fetchall()

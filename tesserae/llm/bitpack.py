@@ -20,13 +20,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.chunks import ChunkEncoder, vocabulary_size
-from tesserae.llm.common import save, scratch, ship, texts
+from tesserae.llm.chunks import ChunkEncoder, slices, vocabulary_size
+from tesserae.llm.common import filesystem, save, scratch, ship, texts
 
 MAGIC, TRAILER = b"TSBITS1\0", struct.Struct("<8sIIQQQQ")
 BLOCK = 8192
@@ -71,17 +70,17 @@ class ShardWriter:
     """Streams ids into one shard file; keeps no more than a batch of ids and the index."""
 
     def __init__(self, uri: str, bits: int) -> None:
-        self.files, self.path = fs.FileSystem.from_uri(uri)
+        self.files, self.path = filesystem(uri)
         self.files.create_dir(self.path.rsplit("/", 1)[0], recursive=True)
         self.out, self.bits = self.files.open_output_stream(self.path), bits
         self.rest, self.offsets, self.ends, self.docs, self.total = np.empty(0, "<u4"), [0], [], [], 0
 
-    def add(self, docs: list, ids: list[np.ndarray]) -> None:
-        for doc, x in zip(docs, ids):
-            self.total += len(x)
-            self.ends.append(self.total)
-            self.docs.append(doc)
-        self._put(np.concatenate([self.rest, *ids]) if ids else self.rest, False)
+    def add(self, docs: list, ids: np.ndarray, ends: np.ndarray) -> None:
+        """The ids of documents, joined, and where each one's end."""
+        self.docs += docs
+        self.ends += (self.total + ends).tolist()
+        self.total += len(ids)
+        self._put(np.concatenate([self.rest, ids]), False)
 
     def _put(self, ids: np.ndarray, last: bool) -> None:
         full = len(ids) if last else len(ids) // BLOCK * BLOCK
@@ -103,7 +102,7 @@ class ShardReader:
     """Random access to a shard: ids(a, b) reads just the blocks that hold the places a to b."""
 
     def __init__(self, uri: str) -> None:
-        files, path = fs.FileSystem.from_uri(uri)
+        files, path = filesystem(uri)
         self.file = files.open_input_file(path)
         size = self.file.size()
         magic, self.bits, self.block, self.n_docs, self.n_tokens, n_blocks, at = TRAILER.unpack(self.file.read_at(TRAILER.size, size - TRAILER.size))
@@ -138,7 +137,7 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int, id_col: str
     """Encode all texts with the tokenizers file at path, end each document with end_id, and write shards in ascending id order.
 
     Returns the manifest (part, uri, n_docs, n_tokens, start), start being the ids of all shards before.  A null
-    text is empty; null ids come first; rows with one id are in the order of their texts; no rows give no shards.
+    text is empty; null ids come first; rows with one id are in an order told by their texts; no rows give no shards.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -146,20 +145,19 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int, id_col: str
     bits, n = bits_for(max(vocabulary_size(path), end_id + 1)), parts or max(1, own.rdd.getNumPartitions())
 
     def write(batches):
-        uri, shard = f"{out}/shard-{uuid.uuid4().hex}.bits", None
-        end = np.array([end_id], "<u4").tobytes()
-        with ChunkEncoder.task(path) as coder:
-            for batch in batches:
-                for i in range(0, batch.num_rows, 500):
-                    part = batch.slice(i, 500)
-                    found = [np.frombuffer(b + end, "<u4") for b in coder.encode(part.column(1).to_pylist())]
-                    shard = shard or ShardWriter(uri, bits)
-                    shard.add(part.column(0).to_pylist(), found)
+        uri, shard, coder = f"{out}/shard-{uuid.uuid4().hex}.bits", None, ChunkEncoder.own(path)
+        for batch in batches:
+            for part in slices(batch, 1):
+                ids, ends = coder.run(part.column(1))
+                shard = shard or ShardWriter(uri, bits)
+                shard.add(part.column(0).to_pylist(), np.insert(ids, ends[1:], end_id), ends[1:] + np.arange(1, len(ends)))
         if shard:
             shard.close()
             yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "uri": uri, "n_docs": len(shard.docs), "n_tokens": shard.total}])
 
-    sorted_docs = own.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Ranges of (id, hash of the text), twice as many as input splits: rows of one id, or of none, share no task for that.
+    own = own.withColumn("_place", F.xxhash64("text"))
+    sorted_docs = own.repartitionByRange(2 * n, "doc_id", "_place").sortWithinPartitions("doc_id", "_place", "text").select("doc_id", "text")
     manifest = save(sorted_docs.mapInArrow(write, "part long, uri string, n_docs long, n_tokens long"), "shards")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard, never for each document
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))

@@ -1,138 +1,228 @@
-"""Exact tokenization by cached chunks of text.
+"""Exact tokenization by distinct chunks of text, with Arrow and numpy.
 
-A byte-level pre-tokenizer always starts a new pre-token at a blank that precedes a
-non-space character, and a word-level one drops blanks; so a text may be cut before
-such blanks, and each distinct chunk (a short run of whole pre-tokens) needs to be
-encoded by the tokenizers library once only.  The ids of a text are its chunks' ids, joined.
+A byte-level pre-tokenizer always starts a new pre-token at a blank that precedes a non-space character, and a
+word-level one drops white space; so a text may be cut there, and each distinct chunk (a short run of whole
+pre-tokens) needs the tokenizers library once only.  The numbers of a text are its chunks' numbers, joined.
+
+A worker keeps the numbers of chunks from task to task, BUDGET bytes of them at most, and texts are gone through STEP
+bytes at a time: what a task holds is bounded, but for a single text that is longer.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
-from array import array
-from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Chunks that a worker keeps from task to task, and within a task, at most; characters in a chunk that is kept; texts encoded at a time.
-STABLE, KEEP, LONGEST, TEXTS = 120_000, 600_000, 256, 500
+#: Bytes of chunks that a worker keeps, and of texts gone through at a time; a chunk of more than LONGEST bytes isn't kept for long.
+BUDGET, STEP, LONGEST = 96 << 20, 8 << 20, 256
 
 _CUT = re.compile(r" (?=\S)")
-#: White space to Python, but not to the library.
-_SEPARATORS = re.compile(r"[\x1c-\x1f]")
-_UNSAFE = re.compile(r" (?:\s|$)")
+#: A blank before white space or at the end: a text that has one isn't cut at each of its blanks.
+_UNSAFE = r" ([\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
+#: White space to Arrow, but not to the library.
+_SEPARATORS = r"[\x1c-\x1f]"
+
+
+def slices(batch, at: int, step: int | None = None):
+    """Runs of rows whose texts, in column at, have `step` bytes at most, or one row each."""
+    ends = np.cumsum(pc.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < batch.num_rows:
+        start = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, start + (step or STEP), "right")))
+        yield batch.slice(first, last - first)
+        first = last
 
 
-def split(text: str) -> list[str]:
-    """The first chunk as it is, all others without the blank that leads them.  Python's white space holds all of the library's."""
-    return _CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
+def gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of pool that begin at starts, joined."""
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
-class ChunkEncoder:
-    """Encodes whole texts with one tokenizers file to little-endian unsigned 32-bit ids."""
+class Chunks:
+    """Texts as runs of numbers: subclasses tell the numbers of chunks."""
 
-    _own: dict[str, ChunkEncoder] = {}
+    _own: dict[tuple, Chunks] = {}
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         #: Whether white space is nothing but a cut, so that texts may be cut at any.
         self.drops = ids(" a\n, b\t") == ids("a") + ids(",") + ids("b")
-        self.stable: dict[str, bytes] = {"": b""}  # the first chunks that came again
-        self.known = self.stable
+        self.clear()
 
     @classmethod
-    @contextmanager
-    def task(cls, path: str):
-        """The worker's own encoder for path; what a task has cached goes with it, but for the stable chunks."""
-        if path not in cls._own:
-            cls._own[path] = cls(path)
-        own = cls._own[path]
-        own.known = dict(own.stable)
-        try:
-            yield own
-        finally:
-            own.known = own.stable
-
-    def bulk(self, pieces: list[str]) -> list[bytes]:
-        """Each piece's ids, each encoded on its own, by the library's whole pipeline."""
-        out: list[bytes] = []
-        for i in range(0, len(pieces), 2000):
-            part = pieces[i : i + 2000]
-            found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            words = np.array([-1 if w is None else w for w in found.word_ids], dtype=np.int64)
-            data = np.array(found.ids, dtype="<u4").tobytes()
-            cuts = (np.searchsorted(words, np.arange(len(part) + 1)) * 4).tolist()
-            out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
-        return out
-
-    def cut(self, text: str) -> list[str]:
-        """Chunks of a text, the first without a blank before it."""
-        if self.drops and not _SEPARATORS.search(text):
-            return ["", *text.split()]
-        return split(text)
-
-    def chunks(self, pieces: list[str]) -> list[bytes]:
-        """Ids of chunks, each led by a blank.  They are normalized and cut into pre-tokens together, by the library's own
-        parts, and its model then gets each distinct pre-token: the same ids as by bulk(), at less cost.  Where the blanks
-        don't tell the chunks apart again, or special tokens may be in them, the whole pipeline does it."""
-        out: list[bytes] = []
-        memo: dict[str, bytes] = {}
-        split_, model = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
-        for i in range(0, len(pieces), 2000):
-            part = pieces[i : i + 2000]
-            text = " " + " ".join(part)
-            special = "<|" in text
-            if self.tokenizer.normalizer:
-                text = self.tokenizer.normalizer.normalize_str(text)
-            blanks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 32)
-            if special or len(blanks) != len(part) or "" in part:
-                out += self.bulk([f" {c}" for c in part])
-                continue
-            found = split_(text)
-            names = [t for t, _ in found]
-            for t in set(names).difference(memo):
-                memo[t] = array("I", [x.id for x in model(t)]).tobytes()
-            ids = list(map(memo.__getitem__, names))
-            ends = np.concatenate([[0], np.fromiter(map(len, ids), np.int64, len(ids)).cumsum()])
-            at = np.searchsorted(np.fromiter([p[0] for _, p in found], np.int64, len(ids)), blanks)
-            data, cuts = b"".join(ids), [*ends[at].tolist(), int(ends[-1])]
-            out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
-        return out
-
-    def encode(self, batch: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(batch), TEXTS):
-            out += self._encode(batch[i : i + TEXTS])
-        return out
-
-    def _encode(self, batch: list[str]) -> list[bytes]:
-        cut = [self.cut(t) for t in batch]
-        heads = [c[0] for c in cut]
-        for c in cut:
-            c[0] = ""
-        new = list(set(heads))
-        first = dict(zip(new, self.bulk(new)))
-        if len(self.known) > KEEP:
-            self.known = dict(self.stable)
-        seen: set[str] = set()
-        seen.update(*cut)
-        new = list(seen.difference(self.known))  # of a dict, not of its keys: those would all be gone through
-        if (room := STABLE - len(self.stable)) > 0:
-            again = seen.difference(self.stable).difference(new)
-            self.stable.update((c, self.known[c]) for c in itertools.islice(again, room) if len(c) <= LONGEST)
-        self.known.update(zip(new, self.chunks(new)))
-        get = self.known.__getitem__
-        out = [first[h] + b"".join(map(get, c)) for h, c in zip(heads, cut)]
-        for c in new:
-            if len(c) > LONGEST:
-                del self.known[c]
-        return out
+    def own(cls, path: str):
+        """The worker's own, with all that it has kept."""
+        if (cls, path) not in cls._own:
+            cls._own[cls, path] = cls(path)
+        return cls._own[cls, path]
+
+    def clear(self) -> None:
+        self.keys, self.pool = pa.array([], pa.string()), np.empty(0, np.uint32)
+        self.starts = self.sizes = self.hits = np.empty(0, np.int64)
+
+    def _new(self, keys: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of keys, joined, and how many each has."""
+        raise NotImplementedError
+
+    def _cut(self, texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+        """Distinct chunks, the place of every text's chunks among them, and where each text's end."""
+        if self.drops:
+            odd = pc.any(pc.match_substring_regex(texts, _SEPARATORS)).as_py()
+            lists = pc.split_pattern(texts, " ") if odd else pc.utf8_split_whitespace(texts)
+            chunks = lists.flatten().dictionary_encode()
+            return chunks.dictionary, chunks.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        unsafe = pc.match_substring_regex(texts, _UNSAFE)
+        if pc.any(unsafe).as_py():
+            mask = unsafe.to_numpy(zero_copy_only=False)
+            safe = pc.split_pattern(texts.filter(pc.invert(unsafe)), " ")
+            others = pa.array([_CUT.split(t) for t in texts.filter(unsafe).to_pylist()], pa.list_(pa.string()))
+            order = np.empty(len(texts), np.int64)
+            order[np.concatenate([np.flatnonzero(~mask), np.flatnonzero(mask)])] = np.arange(len(texts))
+            lists = pa.concat_arrays([safe, others]).take(pa.array(order))
+        else:
+            lists = pc.split_pattern(texts, " ")
+        offsets, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
+        chunks, heads = flat.dictionary_encode(), flat.take(pa.array(offsets[:-1])).dictionary_encode()
+        codes = chunks.indices.to_numpy().copy()
+        codes[offsets[:-1]] = len(chunks.dictionary) + heads.indices.to_numpy()  # a text's first chunk has no blank before it
+        led = pc.binary_join_element_wise("", chunks.dictionary, " ")
+        return pa.concat_arrays([led, heads.dictionary]), codes, offsets
+
+    def run(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all texts, joined, and where each text's begin and end (one more than texts)."""
+        if not len(texts):
+            return np.empty(0, np.uint32), np.zeros(1, np.int64)
+        keys, codes, cuts = self._cut(texts)
+        at = pc.index_in(keys, value_set=self.keys).fill_null(-1).to_numpy().astype(np.int64)
+        if len(new := np.flatnonzero(at < 0)):
+            used = np.zeros(len(keys), bool)  # of what no text uses, nothing is made: a first chunk is in both lists
+            used[codes] = True
+            new = new[used[new]]
+            fresh = keys.take(pa.array(new))
+            values, sizes = self._new(fresh)
+            at[new] = np.arange(len(self.keys), len(self.keys) + len(new))
+            self.keys = pa.concat_arrays([self.keys, fresh])
+            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
+            self.pool = np.concatenate([self.pool, values])
+        self.hits[at[at >= 0]] += 1
+        own = at[codes]
+        sizes = self.sizes[own]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return gather(self.pool, self.starts[own], sizes), ends[cuts]
+
+    def full(self) -> bool:
+        return self.keys.nbytes + self.pool.nbytes + 24 * len(self.keys) > BUDGET
+
+    def compact(self) -> None:
+        """Keep what most slices have used, up to half the budget."""
+        length = pc.binary_length(self.keys).to_numpy().astype(np.int64)
+        order = np.argsort(np.where(length > LONGEST, 0, -self.hits), kind="stable")
+        kept = np.sort(order[np.cumsum((length + 28 + 4 * self.sizes)[order]) <= BUDGET // 2])
+        self.pool = gather(self.pool, self.starts[kept], self.sizes[kept])
+        self.keys, self.sizes, self.hits = self.keys.take(pa.array(kept)), self.sizes[kept], self.hits[kept] // 2
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+
+class ChunkEncoder(Chunks):
+    """The numbers are token ids, all by the library's whole pipeline."""
+
+    def run(self, texts):
+        if self.full():
+            self.compact()
+        return super().run(texts)
+
+    def _new(self, keys):
+        found: list[list[int]] = []
+        for i in range(0, len(keys), 4096):
+            part = keys[i : i + 4096].to_pylist()
+            found += self._separated(part) if self.drops else self._each(part)
+        return _joined(found)
+
+    def _each(self, part: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+
+    def _separated(self, part: list[str]) -> list[list[int]]:
+        """Chunks between special tokens, which the library takes out first and so encodes each on its own."""
+        mark, number = next(iter(self.special.items()), (None, 0))
+        if mark is None or any(s in c for c in part if "<" in c for s in self.special):
+            return self._each(part)
+        out: list[list[int]] = []
+        for x in self.tokenizer.encode_batch_fast([mark.join(part[i : i + 256]) for i in range(0, len(part), 256)], add_special_tokens=False):
+            ids = np.array(x.ids, np.uint32)
+            out += [p.tolist() for p in np.split(ids, np.flatnonzero(ids == number))]
+        first = range(0, len(part), 256)
+        return [x if k in first else x[1:] for k, x in enumerate(out)]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text."""
+        ids, ends = self.run(pa.array(texts, pa.string()))
+        return [ids[a:b].tolist() for a, b in itertools.pairwise(ends)]
+
+
+def _joined(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+
+#: The byte-level pre-tokenizer's pattern, where all characters are ASCII.
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+
+
+class PreTokens(Chunks):
+    """The numbers are places among words, the pre-tokens that the worker has met since clear(), which is left to the caller."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        own = json.loads(self.tokenizer.to_str())
+        kind = own.get("pre_tokenizer") or {}
+        #: Whether pre-tokens of ASCII texts are told by the pattern, and pre-tokens stay such when alone.
+        self.plain = not own.get("normalizer") and kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space")
+
+    def clear(self) -> None:
+        super().clear()
+        self.words = pa.array([], pa.string())
+
+    def _new(self, keys):
+        found: list[list[str]] = []
+        for key in keys.to_pylist():
+            if "<" in key and any(s in key for s in self.special) or not self.plain:
+                found.append([key])  # a special token, or another kind of tokenizer: the chunk is counted whole
+            elif key.isascii():
+                found.append(_ASCII.findall(key))
+            else:
+                found.append([key[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(key)])
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        names = pa.array(itertools.chain.from_iterable(found), pa.string()).dictionary_encode()
+        at = pc.index_in(names.dictionary, value_set=self.words).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        at[new] = np.arange(len(self.words), len(self.words) + len(new))
+        self.words = pa.concat_arrays([self.words, names.dictionary.take(pa.array(new))])
+        return at[names.indices.to_numpy()].astype(np.uint32), sizes
+
+    def full(self) -> bool:
+        return super().full() or self.words.nbytes > BUDGET
+
+    def pieces(self, names: pa.StringArray) -> np.ndarray:
+        """How many tokens the library makes of each."""
+        out = []
+        for i in range(0, len(names), 4096):
+            out += map(len, self.tokenizer.encode_batch_fast(names[i : i + 4096].to_pylist(), add_special_tokens=False))
+        return np.array(out, np.int32)
 
 
 def vocabulary_size(path: str) -> int:

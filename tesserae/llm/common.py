@@ -44,6 +44,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tesserae/{name}-{uuid.uuid4().hex}"
 
 
+def filesystem(uri: str):
+    """pyarrow's file system and path of a URI, as Spark writes it; for what isn't read or written by Spark itself."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1) if uri.startswith("s3a://") else uri)
+
+
 def save(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.chunks import ChunkEncoder
+from tesserae.llm.chunks import ChunkEncoder, slices
 from tesserae.llm.common import save, ship, texts
 
 
@@ -96,25 +96,33 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int,
 
 
 def _pieces(path: str, end_id: int, size: int):
+    """Each document's pieces, with their ranks among the task's pieces of their lengths."""
+
     def run(batches):
-        end, part, ranks = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), {}
-        with ChunkEncoder.task(path) as coder:
-            for batch in batches:
-                for i in range(0, batch.num_rows, 2000):
-                    sub = batch.slice(i, 2000)
-                    out: tuple[list, ...] = ([], [], [], [], [], [])
-                    for doc, data in zip(sub.column(0).to_pylist(), coder.encode(sub.column(1).to_pylist())):
-                        data += end
-                        n = len(data) // 4
-                        cuts = [0, *range(n - (-(-n // size) - 1) * size, n + 1, size)]
-                        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                            rank = ranks[b - a] = ranks.get(b - a, -1) + 1
-                            for column, value in zip(out, (doc, k, a, b - a, zlib.crc32(data[4 * a : 4 * b]), rank)):
-                                column.append(value)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(out[0], batch.column(0).type), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:]), pa.array([part] * len(out[0]), pa.int64())],
-                        ["doc_id", "piece", "start", "length", "ids_crc32", "rank", "part"],
-                    )
+        part, seen, coder = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64), ChunkEncoder.own(path)
+        for batch in batches:
+            for sub in slices(batch, 1):
+                ids, ends = coder.run(sub.column(1))
+                data = memoryview(np.insert(ids, ends[1:], end_id).astype("<u4").tobytes())
+                ends = ends + np.arange(len(ends))
+                total = np.diff(ends)
+                pieces = -(-total // size)
+                doc = np.repeat(np.arange(len(total)), pieces)
+                k = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                head = (total - (pieces - 1) * size)[doc]  # the first piece has what is left over
+                start = np.where(k == 0, 0, head + (k - 1) * size)
+                length = np.where(k == 0, head, size)
+                at = ends[doc] + start
+                sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist())]
+                order = np.argsort(length, kind="stable")
+                first = np.searchsorted(length[order], length[order], "left")
+                rank = np.empty(len(doc), np.int64)
+                rank[order] = np.arange(len(doc)) - first + seen[length[order]]
+                seen += np.bincount(length, minlength=size + 1)
+                yield pa.RecordBatch.from_arrays(
+                    [sub.column(0).take(pa.array(doc)), pa.array(k, pa.int32()), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), pa.array(rank), pa.array(np.full(len(doc), part))],
+                    ["doc_id", "piece", "start", "length", "ids_crc32", "rank", "part"],
+                )
 
     return run
 

@@ -1,110 +1,99 @@
-"""Token counts: pieces are counted once per distinct pre-token chunk, and documents sum these counts.
+"""Token counts: pieces are counted once per distinct pre-token, and documents sum these counts by pre-token frequency.
 
 Two passes over the texts, neither of which makes token ids of a document:
 
-1. distinct chunks with their frequencies, combined in each task before the shuffle; the
-   tokenizers library counts the pieces of each distinct chunk once; the table is kept in the shared folder.
-2. every document's chunk frequencies meet the counts.  The HOT_CHUNKS most frequent chunks are a
-   table of bounded size that every task holds, so the bulk of all occurrences is summed where the
-   document is read; the others go as (document, chunk, frequency) rows through a shuffled join.
-   Those are rare by construction, so no key of that join is hot.
+1. distinct pre-tokens with their frequencies, combined in each task before the shuffle; the tokenizers library
+   counts the pieces of each once; the table is kept in the shared folder.
+2. every document's pre-token frequencies meet the counts.  The HOT most frequent pre-tokens are a table of bounded
+   size that every task holds, so the bulk of all occurrences is summed where the document is read; the others go as
+   (document, pre-token, frequency) rows through a shuffled join.  Those are rare by construction, so no key of that
+   join is hot.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.chunks import ChunkEncoder, split
+from tesserae.llm.chunks import PreTokens, slices
 from tesserae.llm.common import most_frequent, save, ship, texts
 
-#: Chunks whose counts every task holds: at most some 20 MB, whatever the input.
-HOT_CHUNKS = 150_000
+#: Pre-tokens whose counts every task holds: at most some 5 MB, whatever the input.
+HOT = 150_000
+
+
+def _distinct(path: str):
+    """Distinct pre-tokens of the task and how often each occurs."""
 
+    def run(batches):
+        cutter, uses = PreTokens.own(path), np.zeros(0, np.int64)
+        for batch in batches:
+            for part in slices(batch, 0):
+                found = np.bincount(cutter.run(part.column(0))[0], minlength=len(cutter.words))
+                found[: len(uses)] += uses
+                uses = found
+                if cutter.full():
+                    yield from _rows(cutter.words, uses)
+                    cutter.clear()
+                    uses = np.zeros(0, np.int64)
+        yield from _rows(cutter.words, uses)
 
-def _chunk_counts(batches):
-    """Distinct chunks of the task, led by their blank but for the first of a text."""
-    seen: Counter[str] = Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            cut = split(text)
-            head = cut[0]
-            cut[0] = ""
-            seen.update(cut)
-            seen[""] -= 1
-            if head:
-                seen["\0" + head] += 1
-        if len(seen) > 1_500_000:
-            yield from _rows(seen)
-            seen = Counter()
-    yield from _rows(seen)
+    return run
 
 
-def _rows(seen: Counter):
-    seen += Counter()
-    keys, values = list(seen), list(seen.values())
-    for i in range(0, len(keys), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000], pa.string()), pa.array(values[i : i + 100_000], pa.int64())], ["chunk", "uses"])
+def _rows(words: pa.StringArray, uses: np.ndarray):
+    met = np.flatnonzero(uses)
+    for i in range(0, len(met), 100_000):
+        at = met[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([words.take(pa.array(at)), pa.array(uses[at])], ["word", "uses"])
 
 
 def _pieces(path: str):
     def run(batches):
-        with ChunkEncoder.task(path) as coder:
-            for batch in batches:
-                keys = batch.column(0).to_pylist()
-                heads = [k[1:] for k in keys if k[:1] == "\0"]
-                head, rest = iter(coder.bulk(heads)), iter(coder.chunks([k for k in keys if k[:1] != "\0"]))
-                found = [next(head if k[:1] == "\0" else rest) for k in keys]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(b) // 4 for b in found], pa.int32())], ["chunk", "uses", "pieces"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(PreTokens.own(path).pieces(batch.column(0)))], ["word", "uses", "pieces"])
 
     return run
 
 
-def _sums(hot):
-    """A row for each text with the sum over its hot chunks, and one for each of its rare chunks."""
+def _sums(hot, path: str):
+    """A row for each text with the sum over its hot pre-tokens, and one for each of its rare ones."""
 
     def run(batches):
-        known, number = hot.value, TaskContext.get().partitionId() << 36
+        cutter, number = PreTokens.own(path), TaskContext.get().partitionId() << 36
+        words, pieces = hot.value
+        known = np.zeros(0, np.int64)  # of the cutter's words; -1: rare
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                number += 1
-                cut = split(text)
-                if cut[0]:
-                    cut[0] = "\0" + cut[0]
-                else:
-                    del cut[0]
-                counts = list(map(known.get, cut))
-                out[0].append(number)
-                out[1].append(doc)
-                out[2].append(len(text.encode()))
-                out[3].append(sum(filter(None, counts)))
-                out[4].append(f"\0\0{number}")  # no chunk; spreads these rows over the join's tasks
-                out[5].append(0)
-                if None in counts:
-                    rare = Counter(c for c, n in zip(cut, counts) if n is None)
-                    k = len(rare)
-                    for column, value in zip(out, (number, doc, 0, 0)):
-                        column.extend([value] * k)
-                    out[4].extend(rare)
-                    out[5].extend(rare.values())
-                if len(out[0]) > 200_000:
-                    yield _batch(out, batch.column(0).type)
-                    out = ([], [], [], [], [], [])
-            yield _batch(out, batch.column(0).type)
+            for part in slices(batch, 1):
+                codes, ends = cutter.run(part.column(1))
+                at = pc.index_in(cutter.words[len(known) :], value_set=words).fill_null(-1).to_numpy()
+                known = np.concatenate([known, np.where(at < 0, -1, pieces[at])])
+                own = known[codes]
+                sums = np.concatenate([[0], np.cumsum(np.maximum(own, 0))])[ends]
+                rows, n = number + 1 + np.arange(part.num_rows), part.num_rows
+                number += n
+                rare = np.flatnonzero(own < 0)
+                pairs, times = np.unique((np.searchsorted(ends, rare, "right") - 1) * len(known) + codes[rare], return_counts=True)
+                doc, word = np.divmod(pairs, len(known))
+                zeros = np.zeros(len(doc), np.int64)
+                size = pc.binary_length(part.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+                # A text's own row has a key that is no pre-token, as those aren't led by anything before a blank: it spreads these rows over the join's tasks.
+                keys = pa.concat_arrays([pa.array([f"a {k}" for k in rows.tolist()], pa.string()), cutter.words.take(pa.array(word))])
+                out = [np.concatenate([rows, rows[doc]]), np.concatenate([size, zeros]), np.concatenate([np.diff(sums), zeros]), np.concatenate([np.zeros(n, np.int64), times])]
+                ids = pa.concat_arrays([part.column(0), part.column(0).take(pa.array(doc))])
+                table = pa.RecordBatch.from_arrays([pa.array(out[0]), ids, pa.array(out[1]), pa.array(out[2]), keys, pa.array(out[3])], ["row", "doc_id", "n_bytes", "sure", "word", "n"])
+                yield from (table.slice(i, 200_000) for i in range(0, table.num_rows, 200_000))
+                if cutter.full():
+                    cutter.clear()
+                    known = np.zeros(0, np.int64)
 
     return run
 
 
-def _batch(out, id_type):
-    types = (pa.int64(), id_type, pa.int64(), pa.int64(), pa.string(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["row", "doc_id", "n_bytes", "sure", "chunk", "n"])
-
-
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row of docs, as the tokenizers library has them for the file at path.
 
@@ -115,17 +104,13 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
     ship(spark)
     own = texts(docs, id_col, text_col)
     id_type = own.schema["doc_id"].dataType.simpleString()
-    chunks = (
-        own.select("text").mapInArrow(_chunk_counts, "chunk string, uses long")
-        .groupBy("chunk").agg(F.sum("uses").alias("uses"))
-        .mapInArrow(_pieces(path), "chunk string, uses long, pieces int")
-    )
-    table = save(chunks, "chunk-pieces")
-    top = most_frequent(table, HOT_CHUNKS, "uses", "chunk").select("chunk", "pieces").toArrow()
-    hot = spark.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist())))
-    rows = own.mapInArrow(_sums(hot), f"row long, doc_id {id_type}, n_bytes long, sure long, chunk string, n long")
+    found = own.select("text").mapInArrow(_distinct(path), "word string, uses long").groupBy("word").agg(F.sum("uses").alias("uses"))
+    table = save(found.mapInArrow(_pieces(path), "word string, uses long, pieces int"), "pre-tokens")
+    top = most_frequent(table, HOT, "uses", "word").select("word", "pieces").toArrow().combine_chunks()
+    hot = spark.sparkContext.broadcast((pa.concat_arrays(top.column(0).chunks), top.column(1).to_numpy().astype("int64")) if top.num_rows else (pa.array([], pa.string()), np.zeros(1, np.int64)))
+    rows = own.mapInArrow(_sums(hot, path), f"row long, doc_id {id_type}, n_bytes long, sure long, word string, n long")
     return (
-        rows.join(table.select("chunk", "pieces"), "chunk", "left")
+        rows.join(table.select("word", "pieces"), "word", "left")
         .groupBy("row", "doc_id").agg(F.sum("n_bytes").alias("n_bytes"), F.sum(F.col("sure") + F.coalesce(F.col("n") * F.col("pieces"), F.lit(0))).alias("n_tokens"))
         .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
     )

@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -46,20 +47,44 @@ def ids_of(path, texts):
     return [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
 
 
-def test_chunk_encoder_is_exact():
+SIGNS = ["a", "b", "\0", "é", "ß", " ", "  ", "\n", " \n", "\t", "1", "23", ",", ".'s", "'ll", "<|endoftext|>", "<|", "\x1c", "\x85", "\xa0", "\u2003", "İ", "\u0301", "中", "😀", "ﬁ", "Σ", " ς"]
+
+
+def odd_texts(n):
     r = random.Random(3)
-    signs = ["a", "é", "ß", " ", "  ", "\n", " \n", "\t", "1", "23", ",", ".'s", "'ll", "<|endoftext|>", "<|", "\x1c", "\x85", "\xa0", "İ", "\u0301", "中", "😀", "ﬁ", "Σ", " ς"]
-    texts = [t or "" for t in ODD] + ["".join(r.choice(signs) for _ in range(r.randint(0, 40))) for _ in range(3000)]
-    for path in (BYTES, WORDS):
-        with chunks.ChunkEncoder.task(path) as coder:
-            assert [np.frombuffer(b, "<u4").tolist() for b in coder.encode(texts)] == ids_of(path, texts)
+    return [t or "" for t in ODD] + ["".join(r.choice(SIGNS) for _ in range(r.randint(0, 40))) for _ in range(n)]
 
 
-def test_token_counts(docs, empty, monkeypatch):
-    monkeypatch.setattr(token_count, "HOT_CHUNKS", 3)  # most chunks take the shuffled join
-    own = pairs(docs)
+@pytest.mark.parametrize(("budget", "step"), [(1 << 26, 1 << 23), (20_000, 3000)])
+def test_chunk_encoder_is_exact(monkeypatch, budget, step):
+    """Also where little is kept and texts come in small slices."""
+    monkeypatch.setattr(chunks, "BUDGET", budget)
+    texts = odd_texts(3000)
+    for path in (BYTES, WORDS):
+        coder, got = chunks.ChunkEncoder(path), []
+        for part in chunks.slices(pa.RecordBatch.from_arrays([pa.array(texts)], ["t"]), 0, step):
+            got += coder.encode(part.column(0).to_pylist())
+            assert coder.keys.nbytes < 200_000 or budget > 20_000
+        assert got == ids_of(path, texts)
+
+
+def test_pre_tokens_are_the_librarys():
+    own = Tokenizer.from_file(BYTES)
+    cutter, texts = chunks.PreTokens(BYTES), [t for t in odd_texts(2000) if "<|endoftext|>" not in t]
+    codes, ends = cutter.run(pa.array(texts))
+    words = cutter.words.to_pylist()
+    assert [[words[k] for k in codes[a:b]] for a, b in zip(ends, ends[1:])] == [[t[a:b] for _, (a, b) in own.pre_tokenizer.pre_tokenize_str(t)] for t in texts]
+
+
+@pytest.mark.parametrize("hot", [3, 50])
+def test_token_counts(spark, docs, empty, monkeypatch, hot):
+    monkeypatch.setattr(token_count, "HOT", hot)  # most pre-tokens take the shuffled join
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate([*odd_texts(300), "a \0b", "b", "\0b", "\0\0", "x\0 \0y", "a 1", "a 68719476737"])], "doc_id long, text string")
+    both = docs.select("doc_id", "text").unionByName(odd)
+    own = pairs(both)
     want = [(i, len(t.encode()), len(x), len(x) > 1024) for (i, t), x in zip(own, ids_of(BYTES, [t for _, t in own]))]
-    same([tuple(r) for r in token_count.token_counts(docs, BYTES).collect()], want)
+    same([tuple(r) for r in token_count.token_counts(both, BYTES).collect()], want)
+    same([tuple(r) for r in token_count.token_counts(docs, WORDS).collect()], [(i, len(t.encode()), len(x), len(x) > 1024) for (i, t), x in zip(pairs(docs), ids_of(WORDS, [t for _, t in pairs(docs)]))])
     assert token_count.token_counts(empty, BYTES).count() == 0
 
 
@@ -84,7 +109,8 @@ def test_shards_random_access(tmp_path):
     rng = np.random.default_rng(0)
     docs = [rng.integers(0, 49408, n).astype("<u4") for n in (0, 5, 20_000, 1, 9000)]
     w = bitpack.ShardWriter(f"file://{tmp_path}/a.bits", 16)
-    w.add([1, None, 3, 4, 5], docs)
+    w.add([1, None], np.concatenate(docs[:2]), np.cumsum([len(x) for x in docs[:2]]))
+    w.add([3, 4, 5], np.concatenate(docs[2:]), np.cumsum([len(x) for x in docs[2:]]))
     w.close()
     r, whole = bitpack.ShardReader(f"file://{tmp_path}/a.bits"), np.concatenate(docs)
     assert r.n_tokens == len(whole) and r.nulls.tolist() == [False, True, False, False, False]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import save, ship
+from tesserae.llm.common import save, ship, thinned
 
 #: Vectors that the centroids are fitted on at most; leaf size there; copies of a boundary vector; vectors in a block.
 SAMPLE, LEAF, COPIES, BLOCK = 40_000, 96, 4, 4_096
@@ -197,9 +197,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
         "vectors",
     )
     place, n = F.xxhash64("v"), classes.count()
-    # The least hashes make the sample: a range of hashes that holds some 5/4 of it goes first, so that no task ranks a full sample of every other task's.
-    thin = classes.where(place < F.lit((5 * SAMPLE << 62) // n - (1 << 63))) if n > 2 * SAMPLE else classes
-    sample = thin.select("v").orderBy(place, "v").limit(SAMPLE).toArrow()
+    sample = thinned(classes, place, SAMPLE, n).select("v").orderBy(place, "v").limit(SAMPLE).toArrow()
     schema = "query_id long, rank int, vec_id long, score double"
     if not sample.num_rows:
         return spark.sql("select 1L as query_id, 1 as rank, 1L as vec_id, 1D as score").where("false")

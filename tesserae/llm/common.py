@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 HEAVY = 1000
 
 _LOCAL: list[str] = []
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where it is not installed."""
+    """Let Python workers import this package where it is not installed, and get texts in batches that are small in bytes too."""
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, "16m")
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -28,10 +31,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a folder of our own, in local mode only."""
     ship(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="tesserae-"))
             atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
@@ -56,7 +61,17 @@ def save(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.options(compression="zstd", **options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*saved: DataFrame) -> None:
+    """Delete what save() has written, once nothing reads it any more."""
+    for df in saved:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_crc(doc_id: str | Column, modulus: int) -> Column:
@@ -86,6 +101,12 @@ def most_frequent(table: DataFrame, k: int, weight: str, key: str) -> DataFrame:
     return table.where(bucket >= least).orderBy(F.desc(weight), key).limit(k)
 
 
+def thinned(rows: DataFrame, place: Column, k: int, n: int) -> DataFrame:
+    """Of n rows those in a range of hashes (place) that holds some 5/4 of k of them, or all if they are few: who then takes the k least
+    hashes doesn't get k rows from every task."""
+    return rows.where(place < F.lit((5 * k << 62) // n - (1 << 63))) if n > 2 * k else rows
+
+
 def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
     """rows left-joined with table, which has one row a key and, in weight, how many rows have that key.
 

@@ -1,7 +1,9 @@
 """Chat formatting: heterogeneous layouts to canonical turns, and turns to one training text with a loss mask.  All native.
 
-The layout of a table is told by a fingerprint: a hash of its sorted nested field paths.  Each known fingerprint
-selects a declarative mapping (SQL expressions) to canonical turns (conv_id, turn, role, text).
+The layout of a table, or of a row of JSON, is told by its nested field paths.  A mapping (SQL expressions to canonical
+turns: conv_id, turn, role, text) is declared with the fingerprint of the paths that it needs, a hash of them sorted.
+Of the mappings whose fingerprint is that of those of its paths which the layout has, the first in MAPPINGS is
+selected, so that other fields, whatever their names, don't matter.
 
 The template marks turns with control strings:
 
@@ -9,7 +11,7 @@ The template marks turns with control strings:
 
 Texts may hold anything.  A control string inside one is stuffed: a backslash is put behind its first sign, and
 one more where there are some already, so no control string is left in a text, and taking one backslash off again is exact.
-Roles are URL-encoded, as they stand before a line break.  The loss mask covers the assistant's texts and their ends.
+Roles are URL-encoded, as they stand before a line break.  The loss mask covers the assistant's texts, without their ends.
 """
 
 from __future__ import annotations
@@ -45,54 +47,74 @@ def _turns(*pairs: tuple[str, str]) -> str:
 
 
 _JOINED = "if(coalesce($input, '') = '', $instruction, concat($instruction, '\\n', $input))"
-#: (field paths, SQL of array<struct<role, text>>, $ before each field); "rows" marks a table with one turn a row.
+#: (field paths, SQL of array<struct<role, text>>, $ before each field), first come first served; "rows" marks a table with one turn a row.
 MAPPINGS: dict[str, tuple[list[str], str]] = {
     "rows": (["turn", "role", "text"], "rows"),
     "messages": (["messages[].role", "messages[].content"], "transform($messages, m -> struct(m.role as role, m.content as text))"),
     "conversations": (["conversations[].from", "conversations[].value"], "transform($conversations, m -> struct(case m.from when 'human' then 'user' when 'gpt' then 'assistant' else m.from end as role, m.value as text))"),
     "instruction_input": (["instruction", "input", "output"], _turns(("user", _JOINED), ("assistant", "$output"))),
     "instruction_output": (["instruction", "output"], _turns(("user", "$instruction"), ("assistant", "$output"))),
-    "prompt_completion": (["prompt", "completion"], _turns(("user", "$prompt"), ("assistant", "$completion"))),
-    "prompt_response": (["prompt", "response"], _turns(("user", "$prompt"), ("assistant", "$response"))),
     "system_prompt_response": (["system", "prompt", "response"], _turns(("system", "$system"), ("user", "$prompt"), ("assistant", "$response"))),
+    "prompt_response": (["prompt", "response"], _turns(("user", "$prompt"), ("assistant", "$response"))),
+    "prompt_completion": (["prompt", "completion"], _turns(("user", "$prompt"), ("assistant", "$completion"))),
     "question_answer": (["question", "answer"], _turns(("user", "$question"), ("assistant", "$answer"))),
 }
-_KNOWN = {fingerprint(p): (name, p, sql) for name, (p, sql) in MAPPINGS.items()}
-_FIELDS = {p.split("[")[0].split(".")[0] for ps, _ in MAPPINGS.values() for p in ps}
+_MARKS = {name: fingerprint(paths_) for name, (paths_, _) in MAPPINGS.items()}
 
 
 def mapping(schema: T.StructType, id_col: str = "conv_id") -> tuple[str, str]:
-    """(name, SQL) of the mapping that the schema's fingerprint selects; fields that no mapping knows don't count."""
-    known = [f for f in schema.fields if f.name != id_col and f.name in _FIELDS]
-    own = paths(T.StructType(known))
-    if (mark := fingerprint(own)) not in _KNOWN:
-        raise ValueError(f"no mapping for the layout {mark}: {sorted(own)}")
-    return _KNOWN[mark][0], _KNOWN[mark][2]
+    """(name, SQL) of the mapping that the schema's fingerprints select."""
+    own = paths(T.StructType([f for f in schema.fields if f.name != id_col]))
+    for name, (needs, sql) in MAPPINGS.items():
+        if fingerprint([p for p in own if p in needs]) == _MARKS[name]:
+            return name, sql
+    raise ValueError(f"no mapping for the layout {fingerprint(own)}: {sorted(own)}")
 
 
 def canonical(table: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """(conv_id, turn, role, text) from any known layout; conversations without turns have no rows."""
+    """(conv_id, turn, role, text) from any known layout; conversations without turns have no rows.  A null in a list of
+    turns is a turn without role and text."""
     _, sql = mapping(table.schema, id_col)
     if sql == "rows":
         return table.select(F.col(id_col).alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     return table.select(F.col(id_col).alias("conv_id"), F.posexplode(F.expr(sql.replace("$", ""))).alias("turn", "t")).select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("t.role").cast("string").alias("role"), F.col("t.text").cast("string").alias("text"))
 
 
+def _paths_of(json: Column) -> Column:
+    """Nested field paths of a JSON object, as far as a mapping may need them: its keys, and those of all objects in lists under them."""
+    lists = sorted({p.split("[]")[0] for needs, _ in MAPPINGS.values() for p in needs if "[]" in p})
+
+    def keys_under(k: str) -> Column:
+        objects = F.from_json(F.get_json_object(json, f"$.{k}"), "array<map<string, string>>")
+        return F.transform(F.array_distinct(F.flatten(F.transform(objects, F.map_keys))), lambda x: F.concat(F.lit(f"{k}[]."), x))
+
+    inner = [keys_under(k) for k in lists]
+    none = F.array().cast("array<string>")
+    return F.concat(F.coalesce(F.json_object_keys(json), none), *(F.coalesce(F.filter(x, lambda p: p.isNotNull()), none) for x in inner))
+
+
 def from_json_lines(rows: DataFrame, json_col: str = "value", id_col: str = "conv_id") -> DataFrame:
-    """Canonical turns from rows of JSON in mixed layouts: each row's own keys give its fingerprint, which selects its
-    mapping.  Rows of no known layout, nulls and broken JSON have no turns."""
+    """(conv_id, turn, role, text, layout) from rows of JSON in mixed layouts: each row's own nested paths give the
+    fingerprints that select its mapping, whose name is layout.
+
+    No row is lost: one of no known layout, a null and broken JSON give a row with a null layout, turn, role and text, and one
+    of a known layout that has no turns a row with null turn, role and text.
+    """
     own = rows.select(F.col(id_col).alias("conv_id"), F.col(json_col).cast("string").alias("json"))
-    keys = F.array_sort(F.array_intersect(F.json_object_keys("json"), F.array(*map(F.lit, sorted(_FIELDS)))))
-    own, turns = own.withColumn("mark", F.xxhash64(F.concat_ws("\n", keys))), F.lit(None).cast("array<struct<role: string, text: string>>")
-    for name, (fields, sql) in MAPPINGS.items():
+    own = own.withColumn("paths", _paths_of(F.col("json")))
+    layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role: string, text: string>>")
+    for name, (needs, sql) in reversed(MAPPINGS.items()):
         if sql == "rows":
             continue
-        nested = ", ".join(f"`{p.split('.')[1]}`: string" for p in fields if "[]" in p)
-        kinds = ", ".join(f"{k} array<struct<{nested}>>" if nested else f"{k} string" for k in dict.fromkeys(p.split("[")[0] for p in fields))
-        mark = F.xxhash64(F.lit("\n".join(sorted({p.split("[")[0] for p in fields}))))
-        own = own.withColumn(f"m_{name}", F.when(F.col("mark") == mark, F.from_json("json", kinds)))
-        turns = F.when(F.col("mark") == mark, F.expr(sql.replace("$", f"m_{name}."))).otherwise(turns)
-    return own.select("conv_id", F.posexplode(turns).alias("turn", "t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
+        nested = ", ".join(f"`{p.split('.')[1]}`: string" for p in needs if "[]" in p)
+        kinds = ", ".join(f"{k} array<struct<{nested}>>" if nested else f"{k} string" for k in dict.fromkeys(p.split("[")[0] for p in needs))
+        met = F.array_sort(F.array_intersect("paths", F.array(*map(F.lit, needs))))
+        fits = F.substr(F.sha2(F.concat_ws("\n", met), 256), F.lit(1), F.lit(16)) == _MARKS[name]
+        own = own.withColumn(f"m_{name}", F.when(fits, F.from_json("json", kinds)))
+        layout = F.when(F.col(f"m_{name}").isNotNull(), F.lit(name)).otherwise(layout)
+        turns = F.when(F.col(f"m_{name}").isNotNull(), F.expr(sql.replace("$", f"m_{name}."))).otherwise(turns)
+    found = own.select("conv_id", layout.alias("layout"), F.posexplode_outer(turns).alias("turn", "t"))
+    return found.select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text", "layout")
 
 
 def stuffed(text: Column) -> Column:
@@ -104,16 +126,28 @@ def unstuffed(text: Column) -> Column:
 
 
 def template(turns: DataFrame) -> DataFrame:
-    """(conv_id, formatted) from canonical turns, ordered by turn, then role, then text.
+    """(conv_id, formatted, loss) from canonical turns; loss has the mask's spans, (from, to) in bytes of formatted.
 
-    A null role or text is empty.  Each turn is formatted before the shuffle; a conversation is one output value, so
-    its turns do meet in one row, and only they.
+    Turns are ordered by turn, a null first, then by role, then by text, each by their UTF-8 bytes.  A null role or text is
+    empty; a null conv_id is a conversation like others.  Each turn is formatted before the shuffle; a conversation is one
+    output value, so its turns do meet in one row, and only they.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    own = F.when(role == "assistant", F.concat(stuffed(text), F.lit("</s>"))).otherwise(F.concat(F.lit("[INST]"), F.url_encode(role), F.lit("\n"), stuffed(text), F.lit("[/INST]")))
-    rows = turns.select("conv_id", F.struct(F.col("turn"), role.alias("role"), text.alias("text"), own.alias("own")).alias("t"))
+    said = role == "assistant"
+    own = F.when(said, F.concat(stuffed(text), F.lit("</s>"))).otherwise(F.concat(F.lit("[INST]"), F.url_encode(role), F.lit("\n"), stuffed(text), F.lit("[/INST]")))
+    rows = turns.select("conv_id", F.col("turn"), role.alias("role"), text.alias("text"), own.alias("own"), said.alias("said"))
+    rows = rows.select("conv_id", F.struct("turn", "role", "text", "own", F.octet_length("own").alias("size"), F.when(F.col("said"), F.octet_length("own") - 4).alias("under")).alias("t"))
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    return grouped.select("conv_id", F.concat(F.lit("<s>"), F.array_join(F.transform("ts", lambda t: t["own"]), "")).alias("formatted"))
+
+    def step(s: Column, t: Column) -> Column:
+        span = F.struct(s["at"].alias("from"), (s["at"] + t["under"]).alias("to"))
+        return F.struct((s["at"] + t["size"]).alias("at"), F.when(t["under"].isNull(), s["spans"]).otherwise(F.array_append(s["spans"], span)).alias("spans"))
+
+    start = F.struct(F.lit(3).alias("at"), F.array().cast("array<struct<from: int, to: int>>").alias("spans"))
+    return grouped.select(
+        "conv_id", F.concat(F.lit("<s>"), F.array_join(F.transform("ts", lambda t: t["own"]), "")).alias("formatted"),
+        F.aggregate("ts", start, step, lambda s: s["spans"]).alias("loss"),
+    )
 
 
 def parsed(formatted: Column) -> Column:
@@ -129,20 +163,21 @@ def parsed(formatted: Column) -> Column:
     return F.transform(marks, turn)
 
 
-def loss_spans(formatted: Column) -> Column:
-    """array<struct<from, to>> of places (from 0) in formatted under the loss mask: the assistant's texts with their end marks."""
-    marks = F.filter(F.split(F.substr(formatted, F.lit(4)), r"(?<=\[/INST\])|(?<=</s>)"), lambda x: x != "")
-    step = lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.when(x.startswith("[INST]"), s["spans"]).otherwise(F.concat(s["spans"], F.array(F.struct(s["at"].alias("from"), (s["at"] + F.length(x)).alias("to"))))).alias("spans"))
-    start = F.struct(F.lit(3).alias("at"), F.array().cast("array<struct<from: int, to: int>>").alias("spans"))
-    return F.aggregate(marks, start, step, lambda s: s["spans"])
+def under_loss(formatted: Column, loss: Column) -> Column:
+    """array<string>: what the mask's spans cover, each unstuffed on its own."""
+    cut = lambda data: F.transform(loss, lambda s: unstuffed(F.substr(data, s["from"] + 1, s["to"] - s["from"]).cast("string")))
+    return F.transform(F.array(formatted.cast("binary")), cut)[0]  # the bytes are made once, not for every span
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) read back from (conv_id, formatted)."""
-    turns = formatted.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), parsed(F.col("formatted")).alias("ts"))
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) read back from what template() returns:
+    the turns from the text, the loss columns from what lies under the mask."""
+    turns = formatted.select(
+        "conv_id", F.length("formatted").cast("long").alias("formatted_chars"), parsed(F.col("formatted")).alias("ts"),
+        F.array_join(under_loss(F.col("formatted"), F.col("loss")), "").alias("under"),
+    )
     said = F.array_join(F.transform("ts", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("ts", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
     return turns.select(
         "conv_id", F.size("ts").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars",
+        F.length("under").cast("long").alias("loss_chars"), F.sha2("under", 256).alias("loss_sha256"), "formatted_chars",
     )

@@ -38,10 +38,9 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm.chat import canonical, digest, template
 
-    own = _table(spark, sf_dir, "conversations")
     hard = "</s>[INST] ok [/INST]"
-    planted = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(hard).alias("text")) for k, r in enumerate(("user", "assistant"))))).alias("t")).select("conv_id", "t.*")
-    return digest(template(canonical(own).unionByName(canonical(planted))))
+    planted = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.array(*(F.struct(F.lit(r).alias("role"), F.lit(hard).alias("content")) for r in ("user", "assistant"))).alias("messages"))
+    return digest(template(canonical(_table(spark, sf_dir, "conversations")).unionByName(canonical(planted))))
 
 
 def op6_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,19 +63,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-#: Labelled URLs (1: junk) that the trees are fitted on, as many of either kind under each suffix.
-_JUNK = "cheap-pills spam-farm casino-win free-bets best-loans4u win-cash-now hot-deals-24 xxx-cams buy-followers poker-bonus pills-online lucky-slots".split()
-_FINE = "library gazette school garden history museum weather recipes physics travel letters reader".split()
-LABELLED = [(f"http{'s' * (k % 2)}://{sub}{name}.example.{tld}/{lang}/{37 * k + 11 * j}{tail}", label)
-            for label, names in ((1, _JUNK), (0, _FINE)) for k, name in enumerate(names)
-            for j, (sub, tld, lang, tail) in enumerate((("", "com", "en", ""), ("www.", "net", "de", ".html"), ("blog.", "org", "fr", "?page=2&ref=x"), ("m.", "com", "es", "/"), ("", "net", "en", "?utm_source=feed"), ("www.", "org", "es", "#top")))]
+#: Words in hosts by which the weak source tells junk: pharmacy, gambling, adult, advertising and spam sites.
+TERMS = "adult ads bet bets betting casino escort gambling pharmacy pills poker porn slots spam tracker viagra xxx".split()
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tesserae.llm.urlfilter import fit, judge
+    from tesserae.llm.urlfilter import fit, judge, weak_labels
 
-    labelled = spark.createDataFrame(LABELLED, "url string, label int")
-    return judge(_table(spark, sf_dir, "pages"), RULES, fit(labelled))
+    pages = _table(spark, sf_dir, "pages")
+    return judge(pages, RULES, fit(weak_labels(pages, TERMS)))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,9 +113,9 @@ from d left join pos on d.rid = pos.rid left join its on d.rid = its.rid""",
 with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
            union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 f as (select *, case when role = 'assistant' then length({_STUFFED}) + 4 else 14 + length(url_encode(role)) + length({_STUFFED}) end as n from t)
-select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
        cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
-       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
        cast(3 + sum(n) as bigint) as formatted_chars
 from f group by conv_id""",
 }

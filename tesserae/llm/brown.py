@@ -1,14 +1,19 @@
 """Scoring by a Brown class-based bigram model.
 
-    P(w | v) = m * P(class w | class v) * P(w | class w) + (1 - m) * P(w)
+    P(w | v) = MIX * P(class w | class v) * P(w | class w) + (1 - MIX) * P(w)
 
-All words of the training rows are counted.  Exchange clustering gives words classes: the TOP most frequent ones
-by exchange proper (each word moves to the class with the largest gain of the class bigrams' likelihood, sweep after
-sweep), the next ones up to PLACED by one such move each, given their contexts beside the TOP.  Then every
-word beyond TOP that occurs ENOUGH times, however far down, gets its class from its contexts beside words of any class so
-far, in a shuffle by word.  Words that occur less often, or never, or beside no such word, belong to RARE classes by
-their endings, so that any word has a class.  Class transitions are counted over the whole corpus.  Each rare class keeps half a count for one unseen word, and all
-distributions sum to one.
+All words of the training rows are counted, and exchange clustering gives every one of them a class from its contexts:
+
+1. the TOP most frequent words by exchange proper: each word moves to the class with the largest gain of the class
+   bigrams' likelihood, sweep after sweep;
+2. the PLACED most frequent ones by distributed sweeps: each counts, for all of these words, the classes of their
+   neighbours in the corpus, and moves words to their best class; after the first sweep half of them at a time, so
+   that neighbours don't change places with each other for ever;
+3. every other training word, however rare, by one such move, its contexts gathered in a shuffle by word.
+
+RARE more classes are by endings: for words that are met in scoring only, and for training words that never stand
+beside a word of the steps before.  Class transitions are counted over the whole corpus.  Each ending class keeps half a
+count for one unseen word, and all distributions sum to one.
 
 What the driver and tasks hold is bounded by these parameters, not by the corpus: the classes and counts of
 words beyond KNOWN are looked up by a shuffled join, once, and stay beside the texts.
@@ -17,88 +22,96 @@ words beyond KNOWN are looked up by a shuffled join, once, and stay beside the t
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import id_crc, most_frequent, save, ship, texts
+from tesserae.llm.chunks import Numbered, slices
+from tesserae.llm.common import discard, id_crc, most_frequent, save, ship, texts
 
 TOP, PLACED, KNOWN = 2_048, 32_768, 100_000
 CLASSES, RARE = 64, 64
-#: Occurrences from which on a word is placed by its contexts.
-ENOUGH = 3
 ALL = CLASSES + RARE
-#: Weight of the class model; pseudo-counts of a class among another's followers; sweeps of the exchange.
-MIX, PRIOR, SWEEPS = 0.95, 40.0, 8
-END = b""
+#: Weight of the class model; pseudo-counts of a class among another's followers; sweeps on the driver, and over the corpus.
+MIX, PRIOR, SWEEPS, PASSES = 0.95, 40.0, 8, 3
+#: Held-out words that training lacks, looked up without a shuffle; no other has more than a thousandth of such rows.
+HEAVY = 1000
+END = ""
+
 
+def ending(word: str) -> int:
+    return zlib.crc32(word.encode()[-3:]) % RARE
 
-def words_of(text: str) -> list[bytes]:
-    """Lower-cased (A-Z) runs without 0x20 and 0x09-0x0D; the end token isn't among them."""
-    return text.encode().lower().split()
 
+def _ending(word):
+    """The same as a column."""
+    return (F.crc32(F.substring(F.encode(word, "utf-8"), -3, 3)) % RARE).cast("int")
 
-def ending(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % RARE
+
+def split(texts_: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """Distinct words, lower-cased (A-Z) runs without 0x20 and 0x09-0x0D; the place of every text's words among them; where each text's begin and end."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts_))
+    flat, offsets = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    real = pc.not_equal(flat, "")
+    words = flat.filter(real).dictionary_encode()
+    return words.dictionary, words.indices.to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])[offsets]
 
 
 def _count(batches):
-    seen: Counter[bytes] = Counter()
+    own, n, rows = Numbered(), np.zeros(0, np.int64), 0
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            seen.update(words_of(text))
-            seen[END] += 1
-        if len(seen) > 1_500_000:
-            yield from _rows(seen)
-            seen = Counter()
-    yield from _rows(seen)
+        for part in slices(batch, 0):
+            words, codes, _ = split(part.column(0))
+            found = np.bincount(own.of(words)[0][codes], minlength=len(own))
+            found[: len(n)] += n
+            n, rows = found, rows + part.num_rows
+            if own.nbytes > 64 << 20:
+                yield from _rows(own.words, n)
+                own, n = Numbered(), np.zeros(0, np.int64)
+    yield from _rows(own.words, n)
+    yield from _rows(pa.array([END]), np.array([rows]))
 
 
-def _rows(seen: Counter):
-    keys = list(seen)
-    for i in range(0, len(keys), 100_000):
-        part = keys[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(list(map(ending, part)), pa.int32()), pa.array([seen[k] for k in part], pa.int64())], ["word", "ending", "n"])
+def _rows(words: pa.StringArray, n: np.ndarray):
+    for i in range(0, len(n), 100_000):
+        yield pa.RecordBatch.from_arrays([words[i : i + 100_000], pa.array(n[i : i + 100_000])], ["word", "n"])
 
 
-def _encode(hot):
+def _encode(known):
     """Ids of the known words, KNOWN plus the place in the text's own list for others; the end token is 0."""
 
     def run(batches):
-        ids_of, number = hot.value, TaskContext.get().partitionId() << 36
+        number = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                rows, coded, lengths, rare = [], [], [], []
-                for text in part.column(1).to_pylist():
-                    number += 1
-                    words = words_of(text)
-                    ids = list(map(ids_of.get, words))
-                    if None in ids:
-                        others: dict[bytes, int] = {}
-                        ids = [KNOWN + others.setdefault(w, len(others)) if x is None else x for w, x in zip(words, ids)]
-                        rare.append([{"word": w, "ending": ending(w)} for w in others])
-                    else:
-                        rare.append([])
-                    ids.append(0)
-                    rows.append(number)
-                    lengths.append(len(ids))
-                    coded.append(np.array(ids, dtype="<u4").tobytes())
+            for part in slices(batch, 1):
+                words, codes, ends = split(part.column(1))
+                ids, n = pc.index_in(words, value_set=known.value).fill_null(-1).to_numpy().astype(np.int64)[codes], part.num_rows
+                rare = np.flatnonzero(ids < 0)
+                text = np.searchsorted(ends, rare, "right") - 1
+                pairs, at = np.unique(text * max(1, len(words)) + codes[rare], return_inverse=True)
+                lists = np.searchsorted(pairs, np.arange(n + 1) * max(1, len(words)))
+                ids[rare] = KNOWN + at - lists[text]
+                data, bounds = np.insert(ids, ends[1:], 0).astype("<u4"), ends + np.arange(n + 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows, pa.int64()), part.column(0), part.column(2), pa.array(lengths, pa.int64()), pa.array(coded, pa.binary()), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("ending", pa.int32())])))],
+                    [
+                        pa.array(number + 1 + np.arange(n)), part.column(0), part.column(2), pa.array(np.diff(bounds)), pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((4 * bounds).astype("<i8")), pa.py_buffer(data)]).cast(pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(lists, pa.int32()), words.take(pa.array(pairs % max(1, len(words))))),
+                    ],
                     ["row", "doc_id", "held_out", "n_tokens", "ids", "rare"],
-                )
+                )
+                number += n
 
     return run
 
 
-def _ids(batch) -> np.ndarray:
+def _ids(column) -> np.ndarray:
     """The texts' ids in a row, an end token before and after each."""
-    return np.frombuffer(b"\0\0\0\0" + b"".join(batch.column(0).to_pylist()), "<u4").astype(np.int64)
+    return np.frombuffer(b"\0\0\0\0" + b"".join(column.to_pylist()), "<u4").astype(np.int64)
 
 
 def _pairs(size: int, of):
@@ -107,22 +120,20 @@ def _pairs(size: int, of):
     def run(batches):
         total = None
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                keys = of(_ids(batch.slice(i, 2000)))
-                found = np.bincount(keys, minlength=size)
+            for part in slices(batch, 0):
+                found = np.bincount(of(_ids(part.column(0))), minlength=size)
                 total = found if total is None else np.add(total, found, out=total)
         if total is not None:
             keys = np.flatnonzero(total)
             for i in range(0, len(keys), 200_000):
-                part = keys[i : i + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], ["key", "n"])
+                at = keys[i : i + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["key", "n"])
 
     return run
 
 
 def _summed(coded: DataFrame, size: int, of) -> DataFrame:
-    rows = coded.where("not held_out").select("ids")
-    return rows.mapInArrow(_pairs(size, of), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return coded.where("not held_out").select("ids").mapInArrow(_pairs(size, of), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _top_pairs(ids: np.ndarray) -> np.ndarray:
@@ -131,45 +142,56 @@ def _top_pairs(ids: np.ndarray) -> np.ndarray:
     return a[ok] * TOP + b[ok]
 
 
+def _keys(a: np.ndarray, b: np.ndarray, c: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Keys (word, class of its neighbour) of the pairs (a, b) where first holds, and with the other side's classes where second does."""
+    after, before = first & (c[b] >= 0), second & (c[a] >= 0)
+    return np.concatenate([a[after] * 2 * CLASSES + c[b[after]], b[before] * 2 * CLASSES + CLASSES + c[a[before]]])
+
+
 def _contexts(classes: np.ndarray):
-    """Keys (word, side, class of the neighbour) for the words to be placed beside words that have a class."""
+    """Contexts of the PLACED words beside those of them that have a class."""
+    c = np.append(classes[:PLACED], -1)
 
     def of(ids: np.ndarray) -> np.ndarray:
-        a, b = ids[:-1], ids[1:]
-        after = (a >= TOP) & (a < PLACED) & (b < TOP)
-        before = (b >= TOP) & (b < PLACED) & (a < TOP)
-        return np.concatenate([a[after] * 2 * CLASSES + classes[b[after]], b[before] * 2 * CLASSES + CLASSES + classes[a[before]]])
+        own = np.minimum(ids, PLACED)
+        a, b = own[:-1], own[1:]
+        return _keys(a, b, c, a < PLACED, b < PLACED)
 
     return of
 
 
-def _far_contexts(classes: np.ndarray, known: list[bytes]):
-    """(word, at, n): how often words beyond TOP stand beside words that have a class; at is as in _contexts."""
+def _far_contexts(shared, known):
+    """(word, at, n): how often words beyond PLACED stand beside words that have a class; at is as in _keys."""
 
     def run(batches):
-        names = pa.array(known, pa.binary())
+        names, c = known.value, np.append(shared.value[:PLACED], -1)
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
-                rare = part.column(1).combine_chunks() if isinstance(part.column(1), pa.ChunkedArray) else part.column(1)
-                own = pa.concat_arrays([names, rare.flatten().field("word")])
-                runs, at = [np.zeros(1, np.int64)], len(known) - KNOWN
-                for data, n in zip(part.column(0).to_pylist(), rare.value_lengths().to_pylist()):
-                    ids = np.frombuffer(data, "<u4").astype(np.int64)
-                    ids[ids >= KNOWN] += at
-                    at += n
-                    runs.append(ids)
-                ids = np.concatenate(runs)
-                c = np.full(len(own), -1)
-                c[: min(PLACED, len(known))] = classes[: min(PLACED, len(known))]
+            for part in slices(batch, 0):
+                rare = part.column(1)
+                sizes = pc.list_value_length(rare).to_numpy(zero_copy_only=False).astype(np.int64)
+                own = rare.flatten().dictionary_encode()
+                ids = _ids(part.column(0))
+                each = np.fromiter(map(len, part.column(0).to_pylist()), np.int64, part.num_rows) // 4
+                base = np.concatenate([[0], np.repeat(np.cumsum(sizes) - sizes, each)])
+                far = ids >= KNOWN
+                ids[far] = KNOWN + own.indices.to_numpy()[ids[far] - KNOWN + base[far]]  # one number for a word in all texts
                 a, b = ids[:-1], ids[1:]
-                after, before = (a >= TOP) & (c[b] >= 0), (b >= TOP) & (c[a] >= 0)
-                keys, n = np.unique(np.concatenate([a[after] * 2 * CLASSES + c[b[after]], b[before] * 2 * CLASSES + CLASSES + c[a[before]]]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([own.take(pa.array(keys // (2 * CLASSES))), pa.array(keys % (2 * CLASSES), pa.int64()), pa.array(n, pa.int64())], ["word", "at", "n"])
+                keys, n = np.unique(_keys_of_far(a, b, c), return_counts=True)
+                word, at = np.divmod(keys, 2 * CLASSES)
+                near = int(np.searchsorted(word, KNOWN))
+                strings = pa.concat_arrays([names.take(pa.array(word[:near])), own.dictionary.take(pa.array(word[near:] - KNOWN))])
+                table = pa.RecordBatch.from_arrays([strings, pa.array(at.astype(np.int16)), pa.array(n, pa.int64())], ["word", "at", "n"])
+                yield from (table.slice(i, 200_000) for i in range(0, table.num_rows, 200_000))
 
     return run
 
 
+def _keys_of_far(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    p, q = np.minimum(a, PLACED), np.minimum(b, PLACED)
+    after, before = (p == PLACED) & (c[q] >= 0), (q == PLACED) & (c[p] >= 0)
+    return np.concatenate([a[after] * 2 * CLASSES + c[q[after]], b[before] * 2 * CLASSES + CLASSES + c[p[before]]])
+
+
 def _classes_of(classes: np.ndarray, ids: np.ndarray, size: int, far) -> np.ndarray:
     """Classes of a text's words; those of its own list, of that size, are in far."""
     if not size:
@@ -248,30 +270,80 @@ def exchange(pairs: np.ndarray, k: int = CLASSES, sweeps: int = SWEEPS) -> np.nd
     return classes
 
 
-def _place(transitions: np.ndarray):
+def _place(transitions: np.ndarray, name: str):
     """The best class of each word, given how often it stands before and after each class."""
     m = transitions + 0.1
     follow = np.log(m / m.sum(axis=1, keepdims=True))  # [class, follower]
     lead = np.log(m / m.sum(axis=0, keepdims=True))  # [predecessor, class]
+    both = np.concatenate([follow, lead.T], axis=1).T  # [context, class]
 
     def run(batches):
         for batch in batches:
             found = []
-            for keys, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                x = np.zeros(2 * CLASSES)
-                x[keys] = counts
-                found.append(int((follow @ x[:CLASSES] + x[CLASSES:] @ lead).argmax()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int32())], ["word", "class"])
+            for i in range(0, batch.num_rows, 4096):
+                keys, counts = (c.slice(i, 4096) for c in batch.columns[1:3])
+                x = np.zeros((len(keys), 2 * CLASSES))
+                rows = np.repeat(np.arange(len(keys)), pc.list_value_length(keys).to_numpy(zero_copy_only=False))
+                x[rows, keys.flatten().to_numpy()] = counts.flatten().to_numpy()
+                found.append((x @ both).argmax(axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found) if found else [], pa.int32())], [name, "class"])
 
     return run
 
 
+def _moves(contexts: DataFrame, word: str, kind: str, transitions: np.ndarray) -> DataFrame:
+    """(word, class): each word's best class, from (word, at, n)."""
+    rows = contexts.groupBy(word).agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))  # 2 * CLASSES entries at most
+    return rows.mapInArrow(_place(transitions, word), f"{word} {kind}, class int")
+
+
 def _dense(rows: pa.Table, size: int) -> np.ndarray:
     out = np.zeros(size)
     out[rows.column("key").to_numpy()] = rows.column("n").to_numpy()
     return out
 
 
+def _sweep(coded: DataFrame, classes: np.ndarray, transitions: np.ndarray | None, movable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the PLACED words after one distributed sweep in which movable ones may move, and their transitions before it."""
+    spark = coded.sparkSession
+    found = save(_summed(coded, PLACED * 2 * CLASSES, _contexts(classes)).select(F.floor(F.col("key") / (2 * CLASSES)).cast("long").alias("word"), (F.col("key") % (2 * CLASSES)).cast("int").alias("at"), "n"), "contexts")
+    if transitions is None:
+        own = spark.createDataFrame([(k, c) for k, c in enumerate(classes[:PLACED].tolist()) if c >= 0], "word long, class int")
+        rows = found.where(F.col("at") < CLASSES).join(F.broadcast(own), "word").groupBy((F.col("class") * CLASSES + F.col("at")).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+        transitions = _dense(rows, CLASSES * CLASSES).reshape(CLASSES, CLASSES)
+    rows = _moves(found, "word", "long", transitions).toArrow()  # PLACED rows at most
+    discard(found)
+    out, at = classes.copy(), rows.column(0).to_numpy()
+    ok = movable[at]
+    out[at[ok]] = rows.column(1).to_numpy()[ok]
+    return out, transitions
+
+
+@dataclass
+class Model:
+    """What scoring needs beside the texts: words has (word, n, class) of all training words."""
+
+    words: DataFrame
+    total: int
+    kinds: int
+    #: Classes and counts of the known words, by their ids.
+    classes: np.ndarray
+    number: np.ndarray
+    #: P(class | class), and the counts that a class's words share among them.
+    chance: np.ndarray
+    inside: np.ndarray
+
+    @property
+    def unseen(self) -> float:
+        """P(w) of a word without a count."""
+        return 0.5 / (self.total + 0.5 * (self.kinds + RARE))
+
+    @property
+    def table(self) -> np.ndarray:
+        """log10 of P(w | v) less log10(n + 0.5), n being w's count, by the classes of v and w."""
+        return np.log10(MIX * self.chance / self.inside + (1 - MIX) * 2 * self.unseen)
+
+
 def _score(shared):
     """A row for each text."""
 
@@ -296,6 +368,75 @@ def _score(shared):
     return run
 
 
+def _cluster(coded: DataFrame, known, counts: DataFrame, names: list[str]) -> tuple[DataFrame, np.ndarray]:
+    """(word, n, class) of all training words, and the classes of the known ones by their ids."""
+    spark, classes = coded.sparkSession, np.full(KNOWN, -1, np.int64)
+    pairs = _dense(_summed(coded, TOP * TOP, _top_pairs).toArrow(), TOP * TOP).reshape(TOP, TOP)  # TOP * TOP rows at most
+    classes[:TOP] = exchange(pairs)
+    member = np.eye(CLASSES)[classes[:TOP]]
+    half = np.arange(PLACED) % 2 == 1
+    classes, _ = _sweep(coded, classes, member.T @ pairs @ member, np.arange(PLACED) >= TOP)
+    for k in range(1, PASSES):
+        classes, transitions = _sweep(coded, classes, None, half if k % 2 else ~half)
+    shared = spark.sparkContext.broadcast(classes)
+    contexts = coded.where("not held_out").select("ids", "rare").mapInArrow(_far_contexts(shared, known), "word string, at short, n long")
+    far = _moves(contexts.groupBy("word", "at").agg(F.sum("n").alias("n")), "word", "string", transitions)
+    near = spark.createDataFrame([(w, int(classes[k])) for k, w in enumerate(names[:PLACED]) if classes[k] >= 0], "word string, class int")
+    found = save(far.unionByName(near), "placed")
+    words = save(counts.join(found, "word", "left").withColumn("class", F.coalesce("class", _ending("word") + CLASSES)), "word-classes")
+    discard(found)
+    ids = F.broadcast(spark.createDataFrame(list(enumerate(names)), "id long, word string"))  # KNOWN rows at most
+    rows = words.join(ids, "word").select("id", "class").toArrow()
+    classes[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return words, np.maximum(classes, 0)  # ids without a word aren't met
+
+
+def _attach(coded: DataFrame, words: DataFrame) -> DataFrame:
+    """coded with size, of the text's own list, and far, the classes and counts of its words.
+
+    Words that never teach have the class of their ending.  Held-out words may be frequent and yet not be there to be joined: the
+    HEAVY most frequent ones are told apart first, so that no task gets all rows of one.
+    """
+    lists = coded.select("row", F.posexplode("rare").alias("k", "word"))
+    asked = save(coded.where("held_out").select(F.explode("rare").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "held-out-words")
+    heavy = most_frequent(asked, HEAVY, "n", "word").select("word")
+    told = save(heavy.join(words.select("word", "class", "n"), "word", "left").select("word", F.lit(True).alias("told"), F.col("class").alias("told_class"), F.col("n").alias("told_n")), "heavy")
+    marked = lists.join(F.broadcast(told), "word", "left")
+    # A blank is in no word: such keys meet nothing and spread the rows that need no join.
+    marked = marked.withColumn("key", F.when(F.col("told"), F.concat(F.lit(" "), F.col("row").cast("string"))).otherwise(F.col("word")))
+    joined = marked.join(words.select(F.col("word").alias("key"), "class", "n"), "key", "left")
+    item = F.struct("k", F.coalesce("told_class", "class", _ending("word") + CLASSES).alias("class"), F.coalesce("told_n", "n", F.lit(0)).alias("n"))
+    far = joined.groupBy("row").agg(F.collect_list(item).alias("far"))  # the words of one text
+    return coded.select("row", "doc_id", "held_out", "n_tokens", "ids", F.size("rare").alias("size")).join(far, "row", "left").drop("row")
+
+
+def fit(own: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of the rows (doc_id, text, held_out) that aren't held out, and all rows, encoded for scoring."""
+    spark, kind = own.sparkSession, own.schema["doc_id"].dataType.simpleString()
+    counts = save(own.where("not held_out").select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "words")
+    total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    top = most_frequent(counts.where(F.col("word") != END), KNOWN - 1, "n", "word").select("word", "n").toArrow()
+    names = [END, *top.column(0).to_pylist()]
+    number = np.zeros(KNOWN, np.int64)
+    number[: len(names)] = [(counts.where(F.col("word") == END).select("n").first() or [0])[0], *top.column(1).to_pylist()]
+    known = spark.sparkContext.broadcast(pa.array(names, pa.string()))
+    coded = save(own.mapInArrow(_encode(known), f"row long, doc_id {kind}, held_out boolean, n_tokens long, ids binary, rare array<string>"), "coded")
+    words, classes = _cluster(coded, known, counts, names)
+    whole = save(_attach(coded, words), "coded-far")
+
+    shown = spark.sparkContext.broadcast(classes)
+    rows = whole.where("not held_out").select("ids", "size", "far").mapInArrow(_transitions(shown), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    moves = _dense(rows.toArrow(), ALL * ALL).reshape(ALL, ALL)
+    said, types = np.zeros(ALL), np.zeros(ALL)
+    for r in words.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():  # ALL rows
+        said[r["class"]], types[r["class"]] = r["n"], r["types"]
+    types[CLASSES:] += 1  # an unseen word's
+    share = np.where(types > 0, said + 0.5, 0)  # a class without words says nothing, and so isn't moved to
+    chance = (moves + PRIOR * share / share.sum()) / (moves.sum(axis=1, keepdims=True) + PRIOR)
+    discard(counts, coded)
+    return Model(words, int(total), int(kinds), classes, number, chance, said + 0.5 * np.maximum(types, 1)), whole
+
+
 def score(docs: DataFrame, modulus: int = 5, rest: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of every row of docs.
 
@@ -308,74 +449,13 @@ def score(docs: DataFrame, modulus: int = 5, rest: int = 1, id_col: str = "doc_i
     ship(spark)
     own = texts(docs, id_col, text_col).withColumn("held_out", id_crc("doc_id", modulus) == rest)
     kind = own.schema["doc_id"].dataType.simpleString()
-    counts = save(own.where("not held_out").select("text").mapInArrow(_count, "word binary, ending int, n long").groupBy("word", "ending").agg(F.sum("n").alias("n")), "words")
-    total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = most_frequent(counts.where(F.length("word") > 0), KNOWN - 1, "n", "word").select("word", "n").toArrow()
-    known = [END, *top.column(0).to_pylist()]
-    ends = (counts.where(F.length("word") == 0).select("n").first() or [0])[0]
-    number = np.zeros(KNOWN, np.int64)
-    number[: len(known)] = [ends, *top.column(1).to_pylist()]
-    hot = spark.sparkContext.broadcast({w: k for k, w in enumerate(known)})
-    coded = save(own.mapInArrow(_encode(hot), f"row long, doc_id {kind}, held_out boolean, n_tokens long, ids binary, rare array<struct<word: binary, ending: int>>"), "coded")
-
-    pairs = _dense(_summed(coded, TOP * TOP, _top_pairs).toArrow(), TOP * TOP).reshape(TOP, TOP)  # TOP * TOP rows at most
-    classes = np.empty(KNOWN, np.int64)
-    classes[:TOP] = exchange(pairs)
-    member = np.eye(CLASSES)[classes[:TOP]]
-    placed = (
-        _summed(coded, PLACED * 2 * CLASSES, _contexts(classes[:TOP].copy()))
-        .select((F.col("key") / (2 * CLASSES)).cast("long").alias("word"), (F.col("key") % (2 * CLASSES)).alias("at"), "n")
-        .groupBy("word").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
-        .mapInArrow(_place(member.T @ pairs @ member), "word long, class int")
-        .toArrow()
-    )  # PLACED rows at most
-    endings = [CLASSES + ending(w) for w in known[TOP:]] + [CLASSES] * (KNOWN - max(TOP, len(known)))
-    first = classes.copy()
-    first[TOP:] = -1
-    first[placed.column(0).to_numpy()] = placed.column(1).to_numpy()
-    contexts = coded.where("not held_out").select("ids", "rare").mapInArrow(_far_contexts(first[:PLACED].copy(), known), "word binary, at long, n long")
-    enough = counts.where((F.col("n") >= ENOUGH) & (F.length("word") > 0)).select("word")
-    found = save(
-        contexts.groupBy("word", "at").agg(F.sum("n").alias("n"))
-        .groupBy("word").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
-        .join(enough, "word").select("word", "at", "n")
-        .mapInArrow(_place(member.T @ pairs @ member), "word binary, class int"), "placed",
-    )
-    table_ = save(counts.where(F.length("word") > 0).join(found, "word", "left").withColumn("class", F.coalesce("class", F.col("ending") + CLASSES)), "word-classes")
-    classes[TOP:] = endings
-    number_of = {w: k for k, w in enumerate(known)}
-    for r in table_.join(F.broadcast(spark.createDataFrame([(w,) for w in known[TOP:]], "word binary")), "word").select("word", "class").toLocalIterator():  # KNOWN rows at most
-        classes[number_of[r["word"]]] = r["class"]
-    # The words of each text's own list with their classes and counts; those that never teach have the class of their ending.
-    listed = coded.select("row", F.posexplode("rare").alias("k", "item")).select("row", "k", F.col("item.word").alias("word"), F.col("item.ending").alias("at"))
-    far = (
-        listed.join(table_.select("word", "class", "n"), "word", "left")
-        .groupBy("row").agg(F.collect_list(F.struct("k", F.coalesce("class", F.col("at") + CLASSES).alias("class"), F.coalesce("n", F.lit(0)).alias("n"))).alias("far"))
-    )
-    whole = save(coded.select("row", "doc_id", "held_out", "n_tokens", "ids", F.size("rare").alias("size")).join(far, "row", "left"), "coded-far")
-
-    shown = spark.sparkContext.broadcast(classes)
-    moves = whole.where("not held_out").select("ids", "size", "far").mapInArrow(_transitions(shown), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    moves = _dense(moves.toArrow(), ALL * ALL).reshape(ALL, ALL)
-    words, types = np.zeros(ALL), np.zeros(ALL)
-    top_words = F.broadcast(spark.createDataFrame([(w,) for w in known[1:TOP]], "word binary"))
-    for r in table_.join(top_words, "word", "left_anti").groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():  # ALL rows
-        words[r["class"]], types[r["class"]] = r["n"], r["types"]
-    size = min(TOP, len(known))
-    words += np.bincount(classes[:size], number[:size], ALL)
-    types += np.bincount(classes[:size], number[:size] > 0, ALL)
-    types[CLASSES:] += 1  # an unseen word's
-    inside = words + 0.5 * np.maximum(types, 1)
-    share = (words + 0.5) / (words + 0.5).sum()
-    chance = (moves + PRIOR * share) / (moves.sum(axis=1, keepdims=True) + PRIOR)
-    table = np.log10(MIX * chance / inside + (1 - MIX) / (total + 0.5 * (kinds + RARE)))
-    base = float(np.log10(total + 0.5 * (kinds + 1)))
-
-    shared = spark.sparkContext.broadcast((classes, table, np.log10(number + 0.5), number > 0))
+    model, whole = fit(own)
+    base = float(np.log10(model.total + 0.5 * (model.kinds + 1)))
+    shared = spark.sparkContext.broadcast((model.classes, model.table, np.log10(model.number + 0.5), model.number > 0))
     rows = whole.select("doc_id", "held_out", "n_tokens", "ids", "size", "far").mapInArrow(_score(shared), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, classes double")
     return (
         rows.select(
-            "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"),
+            "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
             (F.col("logs") - F.col("n_tokens") * F.lit(base)).alias("base_score"), (F.col("logs") + F.col("classes")).alias("score"),
         )
         .withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 from pathlib import Path
 
@@ -182,8 +183,6 @@ def test_packing(docs, empty):
 
 def words10(text):
     low = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    import re
-
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
 
 
@@ -247,19 +246,34 @@ def test_chat(spark):
     for c, t, role, text in rows:
         by[c].append((t is not None, t or 0, role or "", text or ""))
     assert got == {c: turns_digest([(x[2], x[3]) for x in sorted(v)]) for c, v in by.items()}
-    for x in formatted.withColumn("spans", chat.loss_spans(chat.F.col("formatted"))).collect():
-        said = [f[2:] for f in sorted(by[x.conv_id]) if f[2] == "assistant"]
-        assert len(x.spans) == len(said) and all(x.formatted[a["from"] : a["to"]].endswith("</s>") for a in x.spans)
+    for x in formatted.collect():
+        data, said = x.formatted.encode(), [f[3] for f in sorted(by[x.conv_id]) if f[2] == "assistant"]
+        assert [re.sub(r"([<\[])\\(\\*)(/?s>|/?INST\])", r"\1\2\3", data[a["from"] : a["to"]].decode()) for a in x.loss] == said
+        assert all(data[a["to"] :].startswith(b"</s>") and (data[: a["from"]].endswith((b"</s>", b"[/INST]")) or a["from"] == 3) for a in x.loss)
     assert chat.digest(chat.template(chat.canonical(table.limit(0)))).count() == 0
+    masked = formatted.withColumn("loss", chat.F.slice("loss", 1, 1))  # the digest is of what the mask covers, not of who spoke
+    assert all(x.loss_chars <= len(by[x.conv_id][0][3]) or x.loss_chars <= max(len(f[3]) for f in by[x.conv_id]) for x in chat.digest(masked).collect())
+
+
+@pytest.mark.parametrize("extra", ["prompt", "system", "input", "output", "answer", "messages", "instruction", "completion", "own", "said", "t", "ts", "loss"])
+def test_chat_ignores_other_columns(spark, extra):
+    table = spark.createDataFrame([(1, 0, "user", "q", "no"), (1, 1, "assistant", "a", "no")], f"conv_id long, turn long, role string, text string, {extra} string")
+    assert [tuple(x)[1:5] for x in chat.digest(chat.template(chat.canonical(table))).collect()] == [turns_digest([("user", "q"), ("assistant", "a")])]
 
 
 def test_chat_layouts(spark):
     rows = [(1, '{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":"yo"}]}'), (2, '{"instruction":"do","input":"it","output":"done"}'), (3, '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}],"id":"7"}'),
-            (4, '{"prompt":"p","completion":"c"}'), (5, "broken"), (6, None), (7, '{"other":1}'), (8, '{"question":"q","answer":null}')]
+            (4, '{"prompt":"p","completion":"c","meta":{"role":1}}'), (5, "broken"), (6, None), (7, '{"other":1}'), (8, '{"question":"q","answer":null}'), (9, '{"messages":[{"from":"user","value":"hi"}]}'), (10, '{"messages":[{"role":"user","content":"x","name":"n"},{"role":"tool"}]}'),
+            (11, '{"messages":[]}'), (12, '{"messages":"text","prompt":"p","response":"r","system":"s"}'), (13, "[1]"), (14, "")]
     got = collections.defaultdict(list)
     for x in chat.from_json_lines(spark.createDataFrame(rows, "conv_id long, value string")).orderBy("conv_id", "turn").collect():
-        got[x.conv_id].append((x.role, x.text))
-    assert got == {1: [("user", "hi"), ("assistant", "yo")], 2: [("user", "do\nit"), ("assistant", "done")], 3: [("user", "q"), ("assistant", "a")], 4: [("user", "p"), ("assistant", "c")], 8: [("user", "q")]}
+        got[x.conv_id].append((x.layout, x.role, x.text))
+    none = [(None, None, None)]
+    assert got == {
+        1: [("messages", "user", "hi"), ("messages", "assistant", "yo")], 2: [("instruction_input", "user", "do\nit"), ("instruction_input", "assistant", "done")], 3: [("conversations", "user", "q"), ("conversations", "assistant", "a")],
+        4: [("prompt_completion", "user", "p"), ("prompt_completion", "assistant", "c")], 5: none, 6: none, 7: none, 8: [("question_answer", "user", "q")], 9: none,
+        10: [("messages", "user", "x"), ("messages", "tool", None)], 11: none, 12: [("system_prompt_response", r, r[0] if r != "user" else "p") for r in ("system", "user")] + [("system_prompt_response", "assistant", "r")], 13: none, 14: none,
+    }
     table = spark.sql("select 1L as conv_id, array(struct('user' as role, 'hi' as content)) as messages, 5 as other")
     assert [tuple(x) for x in chat.canonical(table).collect()] == [(1, 0, "user", "hi")]
     with pytest.raises(ValueError):
@@ -421,21 +435,80 @@ def test_clear_texts_of_a_dozen_languages_are_kept(spark, codes):
     assert len(codes) == 12 and kept.count() == len(own)
 
 
-def test_url_filter(spark):
-    urls = ["http://A.Example.COM/en/7x?a#b", "https://example.net/de/81", "http://x.net/de/1", "http://xnet/de/1", "ftp://net/de/?q", "http://a.org/es/", "http://a.org/es", None, "", "no scheme", "http://", "http://h#f", "x://y://z/en/", "http://www.cheap-pills.example.com/fr/1?x=2"]
-    table = spark.createDataFrame([(k, u, "<p>", "r", "h") for k, u in enumerate([*urls, urls[0]])] + [(None, urls[0], "", "", "")], "page_id long, url string, html string, rule string, host string")
-    trees = urlfilter.fit(spark.createDataFrame(queries.LABELLED, "url string, label int"))
-    got = {r.page_id: r for r in urlfilter.judge(table, queries.RULES, trees).collect()}
-    assert [(got[k].host, got[k].path, got[k].rule) for k in range(12)] == [
-        ("a.example.com", "/en/7x", "example.com/en/7"), ("example.net", "/de/81", "example.net/de/8"), ("x.net", "/de/1", "net/de/"), ("xnet", "/de/1", None), ("net", "/de/", "net/de/"), ("a.org", "/es/", "org/es/"),
-        ("a.org", "/es", None), ("", "", None), ("", "", None), ("", "", None), ("", "", None), ("h", "", None),
-    ]
-    assert (got[12].host, got[12].path) == ("y:", "//z/en/") and len(got) == len(urls) + 2
-    assert [got[k].verdict for k in (0, 1, 2, 5)] == ["allow", "block", "allow", "block"] and got[13].verdict == "block"
-    labelled = spark.createDataFrame(queries.LABELLED, "url string, label int")
-    x = trees.matrix([u for u, _ in queries.LABELLED])
-    assert ((trees.chance(x) > 0.5) == np.array([y for _, y in queries.LABELLED])).mean() > 0.95
-    assert (urlfilter.fit(labelled.where("label = 1")).chance(x) < 0.5).all() and urlfilter.judge(table.limit(0), queries.RULES, trees).count() == 0
+URLS = ["http://A.Example.COM/en/7x?a#b", "https://example.net/de/81", "http://x.net/de/1", "http://xnet/de/1", "ftp://net/de/?q", "http://a.org/es/", "http://a.org/es", None, "", "no scheme", "http://", "http://h#f", "x://y://z/en/", "a:b://c/x", "http://b.a.com:8/en/?x=1&y"]
+
+
+def brute_split(url):
+    rest = (url or "").split("://", 1)[1] if "://" in (url or "") else ""
+    host = re.split(r"[/?#]", rest)[0]
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), re.split(r"[?#]", rest[len(host) :])[0]
+
+
+def brute_rule(host, path, rules):
+    fits = [(len(h + p), h + p, k, kind) for k, (kind, h, p) in enumerate(rules) if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (max(fits)[1], max(fits)[3]) if fits else (None, None)
+
+
+@pytest.fixture(scope="module")
+def trees(spark):
+    """Fitted like the query's, but for the hosts held out."""
+    labelled = urlfilter.weak_labels(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"), queries.TERMS)
+    host = urlfilter.host_and_path(common.F.col("url"))[0]
+    held = common.id_crc(host, 3) == 1
+    return urlfilter.fit(labelled.where(~held)), labelled.where(held).toPandas()
+
+
+@pytest.mark.parametrize("most", [1000, 2])  # with 2, rules are looked up by host
+def test_url_filter(spark, trees, monkeypatch, most):
+    monkeypatch.setattr(urlfilter, "RULES", most)
+    rules = [*queries.RULES, ("allow", "org", "/es/"), ("block", "b.a.com:8", ""), ("block", "c", "/x"), ("allow", "c", "/x")]
+    table = spark.createDataFrame([(k, u, "<p>", "r", "h", 1) for k, u in enumerate([*URLS, URLS[0]])] + [(None, URLS[0], "", "", "", 1)], "page_id long, url string, html string, rule string, host string, row int")
+    own = trees[0]
+    chance = dict(zip(URLS, own.chance(own.matrix(URLS))))
+    want = []
+    for k, u in [*enumerate([*URLS, URLS[0]]), (None, URLS[0])]:
+        host, path = brute_split(u)
+        rule, verdict = brute_rule(host, path, rules)
+        want.append((k, host, path, rule, verdict or ("block" if chance[u] >= 0.5 else "allow"), round(chance[u], 9)))
+    same([(*x[:5], round(x[5], 9)) for x in urlfilter.judge(table, rules, own).collect()], want)
+    assert urlfilter.judge(table.limit(0), rules, own).count() == 0
+
+
+def test_url_trees_against_plain_ones(trees):
+    """Every tree walked node by node, and the first split against a search through all features and cuts."""
+    own, held = trees
+    x = own.matrix(held.url.tolist()[:300])
+    for row, got in zip(x, own.chance(x)):
+        score = own.base
+        for tree in own.trees:
+            f, cut, a, b, value = tree[0]
+            while f >= 0:
+                f, cut, a, b, value = tree[a if row[f] <= cut else b]
+            score += value
+        assert abs(1 / (1 + math.exp(-score)) - got) < 1e-12
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 9, (200, 4)).astype(float), None
+    y = ((x[:, 2] > 4) ^ (rng.random(200) < 0.2)).astype(float)
+    small = urlfilter.Trees(rounds=1, depth=1).fit(x, y)
+    g, h = y - y.mean(), np.full(200, y.mean() * (1 - y.mean()))
+    gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1) + g[~m].sum() ** 2 / (h[~m].sum() + 1)
+    best = max((gain(x[:, f] <= c), f) for f in range(4) for c in np.unique(x[:, f])[:-1])
+    f, cut = small.trees[0][0][:2]
+    assert f == best[1] == 2 and abs(gain(x[:, f] <= cut) - best[0]) < 1e-9
+
+
+def test_url_trees_on_hosts_held_out(spark, trees):
+    own, held = trees
+    x, y = own.matrix(held.url.tolist()), held.label.to_numpy()
+    assert y.sum() > 20 and ((own.chance(x) >= 0.5) == y).mean() >= 0.98
+    lost = {}
+    for group, columns in urlfilter.GROUPS.items():
+        mixed = x.copy()
+        mixed[:, columns] = x[np.random.default_rng(1).permutation(len(x))][:, columns]
+        lost[group] = np.abs(own.chance(mixed) - own.chance(x)).mean()
+    assert sum(v > 1e-4 for v in lost.values()) >= 3 and sorted(sum(urlfilter.GROUPS.values(), [])) == list(range(x.shape[1]))
+    labelled = spark.createDataFrame([(u, 1) for u in URLS], "url string, label int")
+    assert (urlfilter.fit(labelled).chance(x) < 0.5).all()
 
 
 def test_brown(spark, docs, empty):
@@ -453,6 +526,41 @@ def test_brown(spark, docs, empty):
     assert brown.score(empty).count() == 0
 
 
+def test_brown_is_a_distribution_and_scores_by_it(spark, docs):
+    """Every score against plain Python, given the classes; what follows any class sums to one, unseen words included."""
+    both = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
+    own = common.texts(both).withColumn("held_out", common.id_crc("doc_id", 5) == 1)
+    model, _ = brown.fit(own)
+    words = {r.word: (r.n, r["class"]) for r in model.words.collect()}
+    assert sum(n for n, c in words.values() if c >= brown.CLASSES) < 0.01 * model.total  # contexts give the classes, whatever the rank
+    class_of = lambda w: words[w][1] if w in words else brown.CLASSES + brown.ending(w)
+    texts = [(r.doc_id, [*(w.decode() for w in r.text.encode().lower().split()), ""], r.held_out) for r in own.collect()]
+    moves = np.zeros((brown.ALL, brown.ALL))
+    for _, ws, held in texts:
+        for v, w in zip(["", *ws], ws):
+            moves[class_of(v), class_of(w)] += not held
+    said, types = np.zeros(brown.ALL), np.zeros(brown.ALL)
+    for n, c in words.values():
+        said[c] += n
+        types[c] += 1
+    types[brown.CLASSES :] += 1
+    share = (said + 0.5) * (types > 0)
+    chance = (moves + brown.PRIOR * share / share.sum()) / (moves.sum(axis=1, keepdims=True) + brown.PRIOR)
+    total = sum(n for n, _ in words.values())
+
+    def p(v, w):
+        n, c = words.get(w, (0, class_of(w)))[0], class_of(w)
+        return brown.MIX * chance[v, c] * (n + 0.5) / (said[c] + 0.5 * types[c]) + (1 - brown.MIX) * (n + 0.5) / (total + 0.5 * (len(words) + brown.RARE))
+
+    unseen = {brown.ending(f"~{k}~"): f"~{k}~" for k in range(3000)}
+    assert len(unseen) == brown.RARE and not set(unseen.values()) & set(words)
+    for v in range(0, brown.ALL, 9):
+        assert abs(sum(p(v, w) for w in [*words, *unseen.values()]) - 1) < 1e-9
+    want = sorted((-1 if i is None else i, round(sum(math.log10(p(class_of(v), w)) for v, w in zip(["", *ws], ws)), 5)) for i, ws, _ in texts)
+    got = sorted((-1 if r.doc_id is None else r.doc_id, round(r.score, 5)) for r in brown.score(both).collect())
+    assert all(i == j and abs(x - y) < 2e-5 for (i, x), (j, y) in zip(got, want)) and len(got) == len(want)
+
+
 def test_brown_places_words_beyond_every_rank(spark):
     """Two halves whose words only follow their own, and 101,000 words more frequent than some that occur three times in one half: those score better beside it."""
     r = random.Random(2)

@@ -22,8 +22,8 @@ FUNCTIONS = {
 #: Names that only need another spelling, whatever their arguments.
 RENAMED = {
     "array_length": "array_size", "array_agg": "collect_list", "approx_distinct": "approx_count_distinct", "approx_percentile_cont": "approx_percentile", "quantile_cont": "percentile",
-    "array_has": "array_contains", "generate_series": "sequence", "array_slice": "slice", "array_reverse": "reverse", "string_to_array": "split", "to_unixtime": "unix_timestamp",
-    "regexp_match": "regexp_extract_all", "random": "rand", "unnest": "explode", "array_element": "get", "list_contains": "array_contains", "var_population": "var_pop", "array_has_any": "arrays_overlap",
+    "array_has": "array_contains", "generate_series": "sequence", "array_reverse": "reverse", "to_unixtime": "unix_timestamp",
+    "random": "rand", "unnest": "explode", "list_contains": "array_contains", "var_population": "var_pop", "array_has_any": "arrays_overlap",
 }
 
 

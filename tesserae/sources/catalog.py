@@ -6,6 +6,7 @@ import json
 import os
 import re
 import time
+import uuid
 from dataclasses import dataclass, field
 
 from pyarrow import fs
@@ -19,10 +20,14 @@ _SECONDS = {"second": 1, "hour": 3600, "day": 86_400, "month": 30 * 86_400}
 
 
 class Store:
-    """Small objects under a root folder or URL, written whole; put_if_absent is the only lock."""
+    """Small objects under a root folder or URL, written whole; put_if_absent is the only lock.
 
-    def __init__(self, root: str) -> None:
-        self.root = root.rstrip("/")
+    It is atomic on local disks (a hard link), and elsewhere where Hadoop's create-without-overwrite is, as on HDFS and
+    on object stores whose connector has conditional writes; that takes a Spark session.
+    """
+
+    def __init__(self, root: str, spark=None) -> None:
+        self.root, self.spark = root.rstrip("/"), spark
         self.files, self.path = fs.FileSystem.from_uri(self.root if "://" in self.root else os.path.abspath(self.root))
         self.url = self.root if "://" in self.root else f"file://{self.path}"
         self.files.create_dir(self.path, recursive=True)
@@ -31,19 +36,36 @@ class Store:
     def put(self, key: str, data: bytes) -> None:
         path = f"{self.path}/{key}"
         self.files.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        with self.files.open_output_stream(f"{path}.tmp") as out:
+        own = f"{path}.{uuid.uuid4().hex}.tmp"
+        with self.files.open_output_stream(own) as out:
             out.write(data)
-        self.files.move(f"{path}.tmp", path)
+        self.files.move(own, path)
 
     def put_if_absent(self, key: str, data: bytes) -> bool:
         path = f"{self.path}/{key}"
         self.files.create_dir(path.rsplit("/", 1)[0], recursive=True)
         if self.local:
+            own = f"{path}.{uuid.uuid4().hex}.tmp"
+            with open(own, "xb") as out:
+                out.write(data)
             try:
-                with open(path, "xb") as out:
-                    out.write(data)
+                os.link(own, path)  # there with all its bytes, or not at all
             except FileExistsError:
                 return False
+            finally:
+                os.unlink(own)
+            return True
+        if self.spark is not None:
+            jvm, where = self.spark._jvm, f"{self.url}/{key}"
+            target = jvm.org.apache.hadoop.fs.Path(where)
+            try:
+                out = target.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(target, False)
+                out.write(bytearray(data))
+                out.close()
+            except Exception:
+                if self.exists(key):
+                    return False
+                raise
             return True
         if self.exists(key):
             return False
@@ -61,7 +83,7 @@ class Store:
 
     def list(self, prefix: str) -> list[str]:
         found = self.files.get_file_info(fs.FileSelector(f"{self.path}/{prefix}", allow_not_found=True))
-        return sorted(x.base_name for x in found)
+        return sorted(x.base_name for x in found if not x.base_name.endswith(".tmp"))
 
     def delete(self, key: str) -> None:
         info = self.files.get_file_info(f"{self.path}/{key}")
@@ -238,5 +260,5 @@ class Catalog:
 
     def drop(self, name: str) -> None:
         self.get(name)
-        self.store.delete(f"catalog/{name}.json")
-        self.store.delete(f"parts/{name}")
+        for key in (f"catalog/{name}.json", f"log/{name}", f"parts/{name}"):
+            self.store.delete(key)

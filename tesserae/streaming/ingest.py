@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,13 +15,11 @@ def files(spark: SparkSession, folder: str, schema: T.StructType | str, kind: st
 
 
 def into_table(stream: DataFrame, session, table: str, checkpoint: str, once: bool = True):
-    """Append each micro-batch to a table as one part.  A batch that is replayed after a failure is told by its number and skipped."""
+    """Append each micro-batch to a table as one part.  The version that adds it carries the stream's and the batch's number,
+    and there is one version with such a mark: a batch that is replayed after a failure adds nothing."""
 
     def write(batch: DataFrame, number: int) -> None:
-        mark = f"streams/{table}/{number:012d}"
-        if not session.store.exists(mark):
-            session.insert(table, batch)
-            session.store.put(mark, b"1")
+        session.insert(table, batch, mark=f"{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}-{number:012d}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -35,8 +35,3 @@ def sessions(stream: DataFrame, ts: str, gap: str, late: str, keys: list[str]) -
     """Sessions by key that end after a gap without rows."""
     own = stream.withWatermark(ts, late).groupBy(F.session_window(ts, gap), *keys).agg(F.count("*").alias("n"))
     return own.select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), *keys, "n")
-
-
-def expiring(df: DataFrame, ts: str, seconds: int) -> DataFrame:
-    """Rows not older than seconds; nulls never expire."""
-    return df.where(F.col(ts).isNull() | (F.col(ts) >= F.current_timestamp() - F.make_dt_interval(secs=F.lit(seconds))))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.chunks import Numbered, slices
 from tesserae.llm.common import discard, id_crc, most_frequent, save, ship, texts
 
-TOP, PLACED, KNOWN = 2_048, 32_768, 100_000
+TOP, PLACED, KNOWN = 2_048, 16_384, 100_000
 CLASSES, RARE = 64, 64
 ALL = CLASSES + RARE
 #: Weight of the class model; pseudo-counts of a class among another's followers; sweeps on the driver, and over the corpus.
@@ -148,16 +148,36 @@ def _keys(a: np.ndarray, b: np.ndarray, c: np.ndarray, first: np.ndarray, second
     return np.concatenate([a[after] * 2 * CLASSES + c[b[after]], b[before] * 2 * CLASSES + CLASSES + c[a[before]]])
 
 
-def _contexts(classes: np.ndarray):
-    """Contexts of the PLACED words beside those of them that have a class."""
-    c = np.append(classes[:PLACED], -1)
+def _contexts(shared):
+    """(word, counts): how often each of the PLACED words stands before and after each class, in this task."""
 
-    def of(ids: np.ndarray) -> np.ndarray:
-        own = np.minimum(ids, PLACED)
-        a, b = own[:-1], own[1:]
-        return _keys(a, b, c, a < PLACED, b < PLACED)
+    def run(batches):
+        c, total = np.append(shared.value[:PLACED], -1), np.zeros(PLACED * 2 * CLASSES, np.int64)
+        for batch in batches:
+            for part in slices(batch, 0):
+                ids = np.minimum(_ids(part.column(0)), PLACED)
+                a, b = ids[:-1], ids[1:]
+                total += np.bincount(_keys(a, b, c, a < PLACED, b < PLACED), minlength=len(total))
+        yield from _vectors(total)
+
+    return run
 
-    return of
+
+def _vectors(total: np.ndarray):
+    counts = total.reshape(-1, 2 * CLASSES)
+    words = np.flatnonzero(counts.any(axis=1))
+    for i in range(0, len(words), 4096):
+        part = words[i : i + 4096]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([x.tobytes() for x in counts[part]], pa.binary())], ["word", "counts"])
+
+
+def _sums(batches):
+    """The counts of each word, of a share of the PLACED ones."""
+    total = np.zeros((PLACED, 2 * CLASSES), np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            np.add.at(total, batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(batch.num_rows, -1))
+    yield from _vectors(total.ravel())
 
 
 def _far_contexts(shared, known):
@@ -270,13 +290,15 @@ def exchange(pairs: np.ndarray, k: int = CLASSES, sweeps: int = SWEEPS) -> np.nd
     return classes
 
 
-def _place(transitions: np.ndarray, name: str):
+def _best(counts: np.ndarray, transitions: np.ndarray) -> np.ndarray:
     """The best class of each word, given how often it stands before and after each class."""
     m = transitions + 0.1
     follow = np.log(m / m.sum(axis=1, keepdims=True))  # [class, follower]
     lead = np.log(m / m.sum(axis=0, keepdims=True))  # [predecessor, class]
-    both = np.concatenate([follow, lead.T], axis=1).T  # [context, class]
+    return (counts @ np.concatenate([follow, lead.T], axis=1).T).argmax(axis=1)
+
 
+def _place(transitions: np.ndarray, name: str):
     def run(batches):
         for batch in batches:
             found = []
@@ -285,7 +307,7 @@ def _place(transitions: np.ndarray, name: str):
                 x = np.zeros((len(keys), 2 * CLASSES))
                 rows = np.repeat(np.arange(len(keys)), pc.list_value_length(keys).to_numpy(zero_copy_only=False))
                 x[rows, keys.flatten().to_numpy()] = counts.flatten().to_numpy()
-                found.append((x @ both).argmax(axis=1))
+                found.append(_best(x, transitions))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found) if found else [], pa.int32())], [name, "class"])
 
     return run
@@ -306,16 +328,18 @@ def _dense(rows: pa.Table, size: int) -> np.ndarray:
 def _sweep(coded: DataFrame, classes: np.ndarray, transitions: np.ndarray | None, movable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Classes of the PLACED words after one distributed sweep in which movable ones may move, and their transitions before it."""
     spark = coded.sparkSession
-    found = save(_summed(coded, PLACED * 2 * CLASSES, _contexts(classes)).select(F.floor(F.col("key") / (2 * CLASSES)).cast("long").alias("word"), (F.col("key") % (2 * CLASSES)).cast("int").alias("at"), "n"), "contexts")
+    shared = spark.sparkContext.broadcast(classes)
+    tasks = coded.where("not held_out").select("ids").mapInArrow(_contexts(shared), "word long, counts binary")
+    rows = tasks.repartition(16, "word").mapInArrow(_sums, "word long, counts binary").toArrow()  # PLACED rows of a KB at most
+    counts = np.zeros((PLACED, 2 * CLASSES), np.int64)
+    if rows.num_rows:
+        counts[rows.column(0).to_numpy()] = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.int64).reshape(rows.num_rows, -1)
     if transitions is None:
-        own = spark.createDataFrame([(k, c) for k, c in enumerate(classes[:PLACED].tolist()) if c >= 0], "word long, class int")
-        rows = found.where(F.col("at") < CLASSES).join(F.broadcast(own), "word").groupBy((F.col("class") * CLASSES + F.col("at")).alias("key")).agg(F.sum("n").alias("n")).toArrow()
-        transitions = _dense(rows, CLASSES * CLASSES).reshape(CLASSES, CLASSES)
-    rows = _moves(found, "word", "long", transitions).toArrow()  # PLACED rows at most
-    discard(found)
-    out, at = classes.copy(), rows.column(0).to_numpy()
-    ok = movable[at]
-    out[at[ok]] = rows.column(1).to_numpy()[ok]
+        member = np.eye(CLASSES)[classes[:PLACED]] * (classes[:PLACED, None] >= 0)
+        transitions = member.T @ counts[:, :CLASSES]
+    out = classes.copy()
+    ok = movable & counts.any(axis=1)
+    out[:PLACED][ok] = _best(counts, transitions)[ok]
     return out, transitions
 
 

@@ -337,11 +337,22 @@ def test_simhash(docs, empty):
     least = {r: min((i for (i, _), x in zip(own, roots) if x == r and i is not None), default=None) for r in roots}
     same([tuple(r) for r in simhash.near_duplicates(docs).collect()], [(i, f"{f:016x}", least[r]) for (i, _), f, r in zip(own, prints, roots)])
     kept = simhash.deduplicate(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i in set(least.values()) if i is not None)
-    assert kept.where("doc_id is null").count() == docs.where("doc_id is null").count()
+    stay = {r: min((i is None, i or 0) for (i, _), x in zip(own, roots) if x == r) for r in roots}
+    assert kept.columns == docs.columns and sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted(stay.values())
     assert simhash.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("operator", [simhash, neardup])
+def test_one_row_of_each_component_stays(spark, operator):
+    """Repeated ids with unrelated texts, exact repeats, null ids beside others and alone, and columns named like the operator's own."""
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, "a b c d"), (1, "x y z w q"), (7, "q w e r t y"), (7, "q w e r t y"), (None, long), (5, long), (None, "l o n e l y"), (None, "l o n e l y"), (None, "other words are here"), (9, None), (8, ""), (None, None)]
+    table = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, _text_hash0 long, _id0 string")
+    got = sorted(((r.doc_id, r.text) for r in operator.deduplicate(table).collect()), key=repr)
+    assert got == sorted([(1, "a b c d"), (1, "x y z w q"), (7, "q w e r t y"), (5, long), (None, "l o n e l y"), (None, "other words are here"), (8, "")], key=repr)
+    assert operator.deduplicate(table).columns == table.columns and operator.deduplicate(table.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("bucket", [64, 2])
 def test_links_lose_nothing(spark, monkeypatch, bucket):
     """Clusters of near fingerprints; with a bucket of 2, nearly all are linked by their neighbourhoods."""
@@ -532,7 +543,7 @@ def test_brown_is_a_distribution_and_scores_by_it(spark, docs):
     own = common.texts(both).withColumn("held_out", common.id_crc("doc_id", 5) == 1)
     model, _ = brown.fit(own)
     words = {r.word: (r.n, r["class"]) for r in model.words.collect()}
-    assert sum(n for n, c in words.values() if c >= brown.CLASSES) < 0.01 * model.total  # contexts give the classes, whatever the rank
+    assert sum(n for n, c in words.values() if c >= brown.CLASSES) < 0.03 * model.total  # contexts give the classes but where all neighbours are rare, too
     class_of = lambda w: words[w][1] if w in words else brown.CLASSES + brown.ending(w)
     texts = [(r.doc_id, [*(w.decode() for w in r.text.encode().lower().split()), ""], r.held_out) for r in own.collect()]
     moves = np.zeros((brown.ALL, brown.ALL))

@@ -107,13 +107,13 @@ def thinned(rows: DataFrame, place: Column, k: int, n: int) -> DataFrame:
     return rows.where(place < F.lit((5 * k << 62) // n - (1 << 63))) if n > 2 * k else rows
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
-    """rows left-joined with table, which has one row a key and, in weight, how many rows have that key.
+def lookup(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int | None = None) -> DataFrame:
+    """rows left-joined with table, which has one row a key and, in weight, how many rows have that key; total: all rows, if known.
 
     Keys with more than 1/HEAVY of all rows are fewer than HEAVY: they are broadcast, so that
     no task gets all rows of a hot key.  All other keys go through a shuffled join.
     """
-    total = table.agg(F.sum(weight)).first()[0] or 0
+    total = (table.agg(F.sum(weight)).first()[0] or 0) if total is None else total
     hot = table.where(F.col(weight) > max(1, total // HEAVY)).drop(weight)
     rest = table.where(F.col(weight) <= max(1, total // HEAVY)).drop(weight)
     marks = hot.select(key, F.lit(True).alias("_hot"))

@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large and small stars.
 
-Both steps are group minima and joins on DataFrames, so no task gets all the edges of a node, and
-the edge table never grows.  Each round is cut off in the shared folder.
+Both steps are group minima, which combine before the shuffle, and joins with them, in which nodes with very many
+edges are looked up by broadcast: no task gets all the edges of a node.  The edge table never grows.  Each round is
+cut off in the shared folder, and what it has written there is deleted by the next.
 """
 
 from __future__ import annotations
@@ -9,18 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import save
+from tesserae.llm.common import discard, lookup, save
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: (u, v) with u > v.  Large: link every larger neighbour to the least node around; small: every smaller one."""
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
+    """edges: n rows (u, v) with u > v.  Large: link every larger neighbour to the least node around; small: every smaller one."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-    if large:
-        linked = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        linked = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return linked.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    least = save(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+    met = lookup(both.where("v > u") if large else edges, least, "u", "n", 2 * n if large else n)
+    linked = met.select(F.col("v").alias("u"), F.col("m").alias("v"))
+    if not large:
+        linked = linked.unionByName(least.select("u", F.col("m").alias("v")))
+    out = save(linked.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "large" if large else "small")
+    discard(least, edges)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -32,5 +35,5 @@ def components(edges: DataFrame) -> DataFrame:
         if (got["n"], got["s"]) == mark or not got["n"]:
             break
         mark = (got["n"], got["s"])
-        now = save(_star(save(_star(now, True), "large"), False), "small")
+        now = _star(_star(now, True, got["n"]), False, got["n"])
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

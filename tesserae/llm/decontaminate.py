@@ -8,7 +8,6 @@ bounded size that is broadcast; more blocks take more passes.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import pyarrow as pa
@@ -174,11 +173,17 @@ def _joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def marks(docs: DataFrame) -> list[str]:
+    """Names of the three columns that mark() adds; none is one of docs."""
+    return [next(n for n in (f"_{x}{k or ''}" for k in range(1 << 20)) if n not in docs.columns) for x in ("n_words", "spans", "items")]
+
+
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """docs with _n_words, _spans (runs of hit words) and _items (ids of items with occurring windows)."""
+    """docs and three more columns, named by marks(): words, runs of hit words, and ids of items with occurring windows."""
     spark = docs.sparkSession
     ship(spark)
-    out = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_spans": F.lit(None).cast(_SPAN), "_items": F.array().cast("array<string>")})
+    empty = (F.lit(0).cast("long"), F.lit(None).cast(_SPAN), F.array().cast("array<string>"))
+    out = docs.withColumns(dict(zip(marks(docs), empty)))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
     for k, items in enumerate(blocks(benchmark, item_col, item_text_col, window)):
         out = save(out, "marked") if k else out  # one automaton in a worker at a time
@@ -186,10 +191,6 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str
     return out
 
 
-def _digest(names: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
-
-
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of docs.
 
@@ -220,11 +221,15 @@ def cut(text: str, runs: list[tuple[int, int]]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_span: int = 10, max_coverage: float = 0.0, text_col: str = "text") -> DataFrame:
     """docs cleaned of the benchmark: spans of max_span or more hit words are cut out of the text, and documents whose
-    hits cover more than max_coverage of their words go altogether.  Texts without hits stay as they are; null texts stay.
+    hits cover more than max_coverage of their words go altogether.
+
+    Texts without hits stay as they are, null and empty ones among them; null ids and repeated rows are treated each by
+    its text; other columns stay, whatever their names; items without words hit nothing; no rows give no rows.
     """
     marked = mark(docs, benchmark, window, text_col)
-    hit = F.coalesce(F.aggregate("_spans", F.lit(0).cast("long"), lambda s, x: s + x["to"] - x["from"]), F.lit(0))
-    kept = marked.where(hit <= F.lit(float(max_coverage)) * F.col("_n_words"))
+    words, spans, _ = marks(docs)
+    hit = F.coalesce(F.aggregate(spans, F.lit(0).cast("long"), lambda s, x: s + x["to"] - x["from"]), F.lit(0))
+    kept = marked.where(hit <= F.lit(float(max_coverage)) * F.col(words))
     at = docs.columns.index(text_col)
 
     def run(batches):

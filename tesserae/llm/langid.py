@@ -2,8 +2,8 @@
 
 Whole texts become hashed counts of byte trigrams.  A linear support vector machine for each family (one versus
 the rest) decides the family; within it, one-versus-one machines tell closely related languages apart.  The
-machines are fitted on a bounded sample: at most PER_LANGUAGE rows of each language and SAMPLE rows in all, picked by
-the hash of their id; every text is scored whole, where it is read, without a shuffle.
+machines are fitted on a bounded sample: at most PER_LANGUAGE texts of each language and SAMPLE in all, picked by
+their hashes; every text is scored whole, where it is read, without a shuffle.
 """
 
 from __future__ import annotations
@@ -113,31 +113,34 @@ class Model:
         return [self.langs[k] for k in best], np.clip(score[np.arange(len(x)), best], 0, 1)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model from rows of docs with a text and a language; None if there are none."""
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model | None:
+    """A model from rows of docs with a text and a language; None if there are none.
+
+    The sample is picked by the hashes of the texts, so that copies count once and ids don't matter, null ones included: the
+    PER_LANGUAGE least hashes of each language, of all languages' in turn at most SAMPLE.
+    """
     ship(docs.sparkSession)
-    known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
+    known = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null").withColumn("hash", F.xxhash64("text"))
     # A share of each language by hash comes first, so that the ranking gets some four times the rows it keeps, however many a language has.
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE)
-    thin = known.select("doc_id", "lang").join(F.broadcast(sizes), "lang").where(place * F.col("n") <= F.lit(4 * PER_LANGUAGE << 20))
-    own = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = thin.withColumn("k", F.row_number().over(own)).where(F.col("k") <= PER_LANGUAGE).orderBy("k", "lang").limit(SAMPLE).select("doc_id", "lang").distinct()
-    picked = known.join(F.broadcast(ids), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"])
+    place = F.pmod(F.col("hash"), F.lit(1 << 20))
+    sizes = docs.select(F.col(lang_col).alias("lang")).where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE)
+    thin = known.select("hash", "lang").join(F.broadcast(sizes), "lang").where(place * F.col("n") <= F.lit(4 * PER_LANGUAGE << 20)).select("hash", "lang").distinct()
+    own = Window.partitionBy("lang").orderBy("hash")
+    ids = thin.withColumn("k", F.row_number().over(own)).where(F.col("k") <= PER_LANGUAGE).orderBy("k", "lang").limit(SAMPLE).select("hash", "lang")
+    picked = known.join(F.broadcast(ids), ["hash", "lang"]).dropDuplicates(["hash", "lang"])
 
     def run(batches):
         for batch in batches:
             found = [counts(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([np.flatnonzero(c).astype(np.int32) for c in found], pa.list_(pa.int32())), pa.array([c[c > 0].astype(np.int32) for c in found], pa.list_(pa.int32()))],
-                ["doc_id", "lang", "at", "n"],
+                ["hash", "lang", "at", "n"],
             )
 
-    kind = known.schema["doc_id"].dataType.simpleString()
-    rows = picked.select("doc_id", "text", "lang").mapInArrow(run, f"doc_id {kind}, lang string, at array<int>, n array<int>").toArrow()
+    rows = picked.select("hash", "text", "lang").mapInArrow(run, "hash long, lang string, at array<int>, n array<int>").toArrow()
     if not rows.num_rows:
         return None
-    order = sorted(range(rows.num_rows), key=lambda k: (str(rows.column(1)[k]), str(rows.column(0)[k])))
+    order = sorted(range(rows.num_rows), key=lambda k: (rows.column(1)[k].as_py(), rows.column(0)[k].as_py()))
     x = np.zeros((len(order), DIMENSIONS), np.float32)
     langs = []
     for k, r in enumerate(order):
@@ -181,7 +184,10 @@ def held_out(docs: DataFrame, modulus: int = 3, rest: int = 1, id_col: str = "do
 
 
 def keep_known(docs: DataFrame, model: Model | None, min_score: float = 0.0, text_col: str = "text") -> DataFrame:
-    """docs whose language is known with at least min_score; the columns stay as they are."""
+    """docs whose language is known with at least min_score; the columns stay as they are.
+
+    A text that is null or empty or has no letter goes; null ids and repeated rows are treated each by its text; no rows give no rows.
+    """
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

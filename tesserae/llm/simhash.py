@@ -18,10 +18,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import lookup, save, ship, texts
+from tesserae.llm.common import discard, lookup, save, ship, texts
 from tesserae.llm.components import components
 
 DISTANCE, BUCKET = 2, 64
@@ -48,7 +48,7 @@ def fingerprint(text: str) -> int:
 def _fingerprints(batches):
     for batch in batches:
         found = [fingerprint(t) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.int64())], ["doc_id", "text_hash", "fp"])
 
 
 def _mask(i: int, n: int) -> int:
@@ -92,6 +92,40 @@ def links(kinds: DataFrame) -> DataFrame:
     return paired.unionByName(stars)
 
 
+#: What tells a component's rows apart, in the order in which one is kept: rows with ids first, then by id, then by the hash of the text.
+KEY = ("no_id", "doc_id", "text_hash")
+
+
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, text_hash), a null text being empty."""
+    return texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+
+
+def by_component(prints: DataFrame, kinds: DataFrame, found: DataFrame) -> DataFrame:
+    """prints (doc_id, text_hash, fp) with kept, the KEY of the row that stays of its component.
+
+    kinds has (fp, n, least), least being the least KEY of its rows; found has (node, root) of the classes fp that are linked.
+    """
+    rooted = save(kinds.select("fp", "n", "least").join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("kept"))
+    table = save(rooted.join(least, "root").select("fp", "n", "kept"), "classes")
+    discard(rooted)
+    return lookup(prints, table, "fp", "n")
+
+
+def least_key() -> Column:
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("least")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    ship(docs.sparkSession)
+    own = keyed_texts(docs, id_col, text_col)
+    kind = own.schema["doc_id"].dataType.simpleString()
+    prints = save(own.mapInArrow(_fingerprints, f"doc_id {kind}, text_hash long, fp long"), "fingerprints")
+    kinds = save(prints.groupBy("fp").agg(F.count("*").alias("n"), least_key()), "kinds")
+    return by_component(prints, kinds, components(links(kinds)))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs.
 
@@ -100,30 +134,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     count in links but are never the least, and a component of null ids alone has a null component_id; other columns
     are not looked at; no rows give no rows.
     """
-    ship(docs.sparkSession)
-    own = texts(docs, id_col, text_col)
-    kind = own.schema["doc_id"].dataType.simpleString()
-    prints = save(own.mapInArrow(_fingerprints, f"doc_id {kind}, fp long"), "fingerprints")
-    kinds = save(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "kinds")
-    found = components(links(kinds)).select(F.col("node").alias("fp"), "root")
-    rooted = save(kinds.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = save(rooted.join(least, "root").select("fp", "n", "component_id"), "classes")
-    return lookup(prints, table, "fp", "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _components(docs, id_col, text_col).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("kept.doc_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but the least id of each component; of rows that repeat an id one stays; rows with a null id can't be told apart and all stay."""
-    return keep_least(docs, near_duplicates(docs, id_col, text_col), id_col)
-
-
-def keep_least(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    """deduplicate by the components that were found: (doc_id, component_id) of every row."""
-    found = save(found, "components")
-    keep = save(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "survivors")
-    out = docs.join(keep.select(F.col("doc_id").alias(id_col)).hint("shuffle_hash"), id_col, "left_semi")
-    if keep.where("n > 1").limit(1).count():
-        out = out.dropDuplicates([id_col])
-    if found.where("doc_id is null").limit(1).count():
-        out = out.unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of docs of each component: that with the least id, or with the least hash of its text if all have none or the same.
+
+    Rows that repeat an id are told apart by their texts, so unrelated ones all stay.  Texts that are null are empty ones.
+    """
+    return keep_one(docs, _components(docs, id_col, text_col), id_col, text_col)
+
+
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows that found, from by_component(), doesn't keep: an anti-join with those that go."""
+    found = save(found.select("doc_id", "text_hash", "kept"), "components")
+    stays = (F.col("doc_id").eqNullSafe(F.col("kept.doc_id"))) & (F.col("text_hash") == F.col("kept.text_hash"))
+    gone = save(found.where(~stays).select("doc_id", "text_hash").distinct(), "gone")
+    twice = found.where(stays).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    hash_name, id_name = (next(n for n in (f"_{x}{k}" for k in range(1 << 20)) if n not in docs.columns) for x in ("text_hash", "id"))
+    marked = docs.withColumn(hash_name, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    gone = gone.select(F.col("doc_id").alias(id_name), F.col("text_hash").alias(f"{hash_name}_gone"))
+    # The hash of the text leads the join: rows without an id, or with one that repeats, are spread by it.
+    out = marked.join(gone, (F.col(hash_name) == F.col(f"{hash_name}_gone")) & F.col(id_col).eqNullSafe(F.col(id_name)), "left_anti")
+    if twice:
+        out = out.dropDuplicates([id_col, hash_name])
     return out.select(docs.columns)

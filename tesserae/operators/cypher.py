@@ -7,7 +7,7 @@ search of at most HOPS levels.  Writes go to the graph that the driver keeps.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -402,13 +402,30 @@ class Compiler:
         return out if out is not None else seen.where("false")
 
     def match(self, q: Query) -> DataFrame:
+        """Patterns one after another, those first that share a variable with what is bound, and each from there on both ways:
+        only patterns that share nothing make a product."""
         rows: DataFrame | None = None
-        for p in q.patterns:
-            rows = self._node(rows, p[0])
-            for a, e, b in zip(p[::2], p[1::2], p[2::2]):
-                rows = self._hop(rows, a, e, b)
+        todo = list(q.patterns)
+        while todo:
+            bound = set(rows.columns) if rows is not None else set()
+            p = next((x for x in todo if any(n.var in bound for n in x[::2])), todo[0])
+            todo.remove(p)
+            for run in self._runs(p, bound):
+                rows = self._node(rows, run[0])
+                for a, e, b in zip(run[::2], run[1::2], run[2::2]):
+                    rows = self._hop(rows, a, e, b)
         return rows.where(self._condition(q.where)) if q.where else rows
 
+    @staticmethod
+    def _runs(p: list, bound: set[str]) -> list[list]:
+        """The pattern, or from its first bound node on and then back to its beginning."""
+        at = next((k for k in range(0, len(p), 2) if p[k].var in bound), 0)
+        back = p[: at + 1][::-1]
+        if not at or any(e.low is not None and not e.var.startswith("_h") for e in back[1::2]):
+            return [p]
+        flipped = [replace(x, direction={"out": "in", "in": "out"}.get(x.direction, x.direction)) if k % 2 else x for k, x in enumerate(back)]
+        return [p[at:], flipped] if len(p) > at + 1 else [flipped]
+
     def value(self, item: Item) -> Column:
         if item.kind == "lit":
             return F.lit(item.value)
@@ -474,8 +491,11 @@ class Compiler:
             left, right = left.cast("string"), right.cast("string")
         elif a.kind == b.kind == "prop":
             x, y = left.try_cast("double"), right.try_cast("double")
-            number = {"=": x == y, "<>": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
-            text = {"=": left == right, "<>": left != right, "<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}[op]
+            if op in ("=", "<>"):  # each side by itself, so that it can be the key of a join
+                same = F.coalesce(x.cast("string"), left) == F.coalesce(y.cast("string"), right)
+                return same if op == "=" else ~same
+            number = {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
+            text = {"<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}[op]
             return F.when(x.isNotNull() & y.isNotNull(), number).otherwise(text)
         return {"=": left == right, "<>": left != right, "<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}[op]
 

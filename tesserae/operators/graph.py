@@ -13,16 +13,29 @@ from pyspark.sql import functions as F
 
 from tesserae.errors import EngineError
 
+#: Levels that reach() goes at once.
+NEAR = 3
 NODES = "key string, labels array<string>, props map<string,string>, created_at bigint, updated_at bigint"
 EDGES = "src string, dst string, kind string, props map<string,string>, directed boolean, created_at bigint"
 
 
 def reach(edges: DataFrame, starts: DataFrame, direction: str = "out", max_depth: int = 0, cut: int = 8) -> DataFrame:
     """(key, via, depth) of every node reached from starts (key) by breadth-first search, each at its least depth; the starts
-    are left out.  One join and one anti-join a level; max_depth 0 goes on until nothing is new."""
+    are left out.
+
+    Up to NEAR levels are one job: walks of each length, one join each, and the least depth of each key.  More levels, and
+    max_depth 0, which goes on until nothing is new, take one join and one anti-join each, level by level.
+    """
     both = {"out": edges.select("src", "dst", "kind"), "in": edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind")}
     step = both["out"].unionByName(both["in"]) if direction == "both" else both[direction]
     seen = starts.select("key", F.lit(None).cast("string").alias("via"), F.lit(0).alias("depth")).distinct()
+    if 0 < max_depth <= NEAR:
+        walks, front = seen, seen
+        for k in range(1, max_depth + 1):
+            front = front.select("key").join(step, F.col("key") == F.col("src")).groupBy("dst").agg(F.min("kind").alias("via")).select(F.col("dst").alias("key"), "via", F.lit(k).alias("depth"))
+            walks = walks.unionByName(front)
+        least = walks.groupBy("key").agg(F.min(F.struct("depth", "via")).alias("x")).select("key", "x.via", "x.depth")
+        return least.where("depth > 0")
     frontier, depth = seen, 0
     while not max_depth or depth < max_depth:
         depth += 1

@@ -5,14 +5,16 @@ Distances: the smaller, the nearer.  l2 is squared; cosine is 1 - dot of unit ve
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import re
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.errors import EngineError
@@ -50,7 +52,60 @@ def flat_search(vectors: DataFrame, query: list[float], k: int, metric: str = "l
     return vectors.withColumn("score", distance(metric, F.col(vector_col), q)).orderBy("score", id_col).limit(k)
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 0x5EED7EC7) -> np.ndarray:
+#: Queries that tasks hold at a time.
+ASKED = 1_024
+
+
+def flat_search_many(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, id, score): for every row of queries the k nearest rows, exactly, ties by the least id.
+
+    Queries go to the tasks in blocks of ASKED, and a task keeps k rows for each query of what it reads, so that what is
+    shuffled is bounded by tasks, queries and k.
+    """
+    if k <= 0:
+        raise EngineError("k must be positive")
+    if metric not in METRICS:
+        raise EngineError(f"unknown metric '{metric}'")
+    spark, out = vectors.sparkSession, None
+    own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("v is not null")
+    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("v is not null").orderBy("id").toLocalIterator(prefetchPartitions=False)
+    while block := list(itertools.islice(asked, ASKED)):
+        shared = spark.sparkContext.broadcast((np.array([r["id"] for r in block]), np.array([r["v"] for r in block], dtype=np.float64)))
+        found = own.mapInArrow(_nearest(shared, k, metric), "query_id long, id long, score double")
+        out = found if out is None else out.unionAll(found)
+    if out is None:
+        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def _nearest(shared, k: int, metric: str):
+    def run(batches):
+        asked, q = shared.value
+        who, far, ids = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)  # the best so far, by query, distance and id
+        most = np.full(len(q), np.inf)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                x, own = _matrix(part.column(1)), part.column(0).to_numpy()
+                if metric == "l2":
+                    d = (q**2).sum(axis=1)[:, None] - 2 * q @ x.T + (x**2).sum(axis=1)
+                else:
+                    d = -(q @ x.T) if metric == "dot" else 1 - (q @ x.T) / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1), 1e-300)
+                if len(own) > k:
+                    most = np.minimum(most, np.partition(d, k - 1, axis=1)[:, k - 1])
+                r, c = np.nonzero(d <= most[:, None])
+                who, far, ids = np.concatenate([who, r]), np.concatenate([far, d[r, c]]), np.concatenate([ids, own[c]])
+                order = np.lexsort((ids, far, who))
+                who, far, ids = who[order], far[order], ids[order]
+                near = np.arange(len(who)) - np.searchsorted(who, who) < k
+                who, far, ids = who[near], far[near], ids[near]
+        yield pa.RecordBatch.from_arrays([pa.array(asked[who]), pa.array(ids), pa.array(far)], ["query_id", "id", "score"])
+
+    return run
+
+
+def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 20_021) -> np.ndarray:
     """Lloyd's algorithm from farthest points; empty clusters start anew at the worst-served point."""
     rng = np.random.default_rng(seed)
     k = min(k, len(x))
@@ -208,6 +263,17 @@ class VectorRegistry:
             raise EngineError(f"unknown embedder '{name}'")
         return self.embedders[name](text)
 
+    def embed_column(self, name: str, text: str):
+        """A text column's vectors, made in the tasks batch by batch; a null has none."""
+        if name not in self.embedders:
+            raise EngineError(f"unknown embedder '{name}'")
+        fn = self.embedders[name]
+
+        def run(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: None if t is None else fn(t))
+
+        return F.pandas_udf(run, "array<double>")(F.col(text))
+
     def substitute(self, sql: str, session=None) -> str:
         """sql with each vector_search('space', [..] or '[..]', k[, nprobe]) replaced by a view over its hits."""
         from tesserae.plans.dialect import arguments, closing

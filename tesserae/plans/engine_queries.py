@@ -10,22 +10,24 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.operators.graph import Graph, reach, search_ranked
-from tesserae.operators.memory import latest_by_key
-from tesserae.operators.vector import VectorRegistry, flat_search
+from tesserae.operators.vector import VectorRegistry, flat_search_many
 from tesserae.plans.fanout import fan_out
 from tesserae.session import Session
+from tesserae.sources import files
 
 _ROOTS: list[str] = []
 
 
 def warehouse(spark: SparkSession) -> str:
     """A folder for a warehouse that executors see too."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _ROOTS:
             _ROOTS.append(tempfile.mkdtemp(prefix="tesserae-wh-"))
             atexit.register(shutil.rmtree, _ROOTS[0], ignore_errors=True)
@@ -170,8 +172,7 @@ def file_functions(spark, sf_dir):
 
 def _vectors(spark, sf_dir, metric):
     v = _read(spark, sf_dir, "embeddings")
-    q = v.where("vec_id = 0").select("embedding").first()[0]
-    return flat_search(v, q, 20, metric, "vec_id").select("vec_id", F.round("score", 4).alias("score"))
+    return flat_search_many(v, v.where("vec_id % 100 = 0"), 10, metric, "vec_id").select("query_id", "rank", F.col("id").alias("vec_id"), F.round("score", 4).alias("score"))
 
 
 def vector_l2(spark, sf_dir):
@@ -186,26 +187,145 @@ def vector_dot(spark, sf_dir):
     return _vectors(spark, sf_dir, "dot")
 
 
-def vector_join_label(spark, sf_dir):
-    hits = _vectors(spark, sf_dir, "l2")
-    return hits.join(_read(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id").groupBy("label").agg(F.count("*").alias("n"))
-
-
-def vector_ivf(spark, sf_dir):
+def _space(spark, sf_dir, metric, index="flat", **params):
+    """A session with the embeddings as the space docs, and the first one as SQL."""
     s = _session(spark)
-    s.vectors.create("docs", 64, "l2", "ivf", nlist=16, m=16, niter=5)
     v = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("string").alias("payload"))
     q = v.where("id = 0").select("embedding").first()[0]
+    s.vectors.create("docs", len(q), metric, index, **params)
     s.vectors.add_frame("docs", v)
-    if not s.vectors.meta("docs")["lists"]:
+    if index == "ivf" and not s.vectors.meta("docs")["lists"]:
         s.vectors.train("docs")
-    return s.sql(f"SELECT id, score, payload FROM vector_search('docs', {list(q)}, 10, 16)")
+    return s, [float(x) for x in q]
+
+
+def vector_join_label(spark, sf_dir):
+    s, q = _space(spark, sf_dir, "l2")
+    return s.sql(f"SELECT e.label, count(*) AS n FROM vector_search('docs', {q}, 20) AS h JOIN read_parquet('{sf_dir}/embeddings.parquet') AS e ON h.id = e.vec_id GROUP BY e.label")
+
+
+def vector_ivf(spark, sf_dir):
+    s, q = _space(spark, sf_dir, "l2", "ivf", nlist=16, m=16, niter=5)
+    return s.sql(f"SELECT id, score, payload FROM vector_search('docs', {q}, 10, 16)")
+
+
+def vector_ivf_all_lists(spark, sf_dir):
+    """With every list probed, the inverted file finds what a scan does."""
+    s, q = _space(spark, sf_dir, "cosine", "ivf", nlist=16, m=16, niter=5)
+    return s.sql(f"SELECT id, round(score, 3) AS score, payload FROM vector_search('docs', {q}, 10, 16)")
 
 
 def trigram_embed(spark, sf_dir):
     r = VectorRegistry(spark, None)
-    rows = [(d["n_nationkey"], r.embed("trigram", d["n_name"])) for d in _read(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()]
-    return spark.createDataFrame(rows, "n_nationkey int, embedding array<double>")
+    return _read(spark, sf_dir, "nation").select("n_nationkey", r.embed_column("trigram", "n_name").alias("embedding"))
+
+
+def _plain(spark, sf_dir, *names):
+    """A session with small tables of these names, loaded whole."""
+    s = _session(spark)
+    for n in names:
+        df = _read(spark, sf_dir, n)
+        kinds = {"int": "Int32", "bigint": "Int64", "double": "Float64", "string": "String", "date": "Date32", "timestamp_ntz": "TimestampUs", "timestamp": "TimestampUs", "float": "Float32"}
+        s.sql(f"CREATE TABLE {n} ({', '.join(f'{c} {kinds[t]}' for c, t in df.dtypes)}) ORDER BY ({df.columns[0]})")
+        s.insert(n, df)
+    return s
+
+
+def unique_ties(spark, sf_dir):
+    """Equal full keys in an older, smaller part and a newer, larger one."""
+    s = _session(spark)
+    s.sql("CREATE TABLE latest (user_id Int64, kind String) ORDER BY (user_id) UNIQUE (user_id)")
+    df = _read(spark, sf_dir, "events").select("user_id", F.concat(F.lit("new "), F.max("event_type").over(Window.partitionBy("user_id"))).alias("kind"))
+    s.insert("latest", df.where("user_id % 5 = 0").select("user_id", F.lit("old").alias("kind")))
+    s.insert("latest", df.where("user_id % 7 <> 0"))
+    s.sql("OPTIMIZE TABLE latest")
+    return s.sql("SELECT user_id, kind FROM latest")
+
+
+def fan_out_or(spark, sf_dir):
+    return fan_out(_load(spark, sf_dir, _EVENTS, "events", 5, "event_id"), "SELECT event_type, count(*) AS n, min(value) AS low, max(event_id) AS last FROM events WHERE value > 50 OR user_id < 10 GROUP BY event_type", 3)
+
+
+def fan_out_or_in_a_string(spark, sf_dir):
+    return fan_out(_load(spark, sf_dir, _EVENTS, "events", 5, "event_id"), "SELECT count(*) AS n, max(user_id) AS high FROM events WHERE event_type <> 'view or click' AND value BETWEEN 10 AND 60", 4)
+
+
+def gpu_sum(spark, sf_dir):
+    return _session(spark).sql(f"SELECT l_returnflag, round(gpu_filtered_sum(l_extendedprice), 2) AS total FROM read_parquet('{sf_dir}/lineitem.parquet') WHERE l_quantity > 25 GROUP BY l_returnflag")
+
+
+def gpu_dot(spark, sf_dir):
+    return _session(spark).sql(f"SELECT round(gpu_dot(l_extendedprice, l_discount), 4) AS dot FROM read_parquet('{sf_dir}/lineitem.parquet')")
+
+
+def win_qualify(spark, sf_dir):
+    return _session(spark).sql(f"SELECT o_custkey, o_orderkey FROM read_parquet('{sf_dir}/orders.parquet') QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1")
+
+
+def win_qualify_nested(spark, sf_dir):
+    return _session(spark).sql(f"WITH best AS (SELECT o_custkey, o_totalprice FROM read_parquet('{sf_dir}/orders.parquet') QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1) SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total FROM (SELECT * FROM best QUALIFY dense_rank() OVER (ORDER BY o_totalprice DESC) > 3) t")
+
+
+def win_groups_frame(spark, sf_dir):
+    return _session(spark).sql(f"SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY user_id GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM read_parquet('{sf_dir}/events.parquet')")
+
+
+def fn_unnest(spark, sf_dir):
+    return _session(spark).sql(f"SELECT n_nationkey, unnest([n_nationkey, n_regionkey]) AS x FROM read_parquet('{sf_dir}/nation.parquet')")
+
+
+def fn_date_bin(spark, sf_dir):
+    return _session(spark).sql(f"SELECT date_bin(INTERVAL '15 minutes', ts) AS slot, count(*) AS n FROM read_parquet('{sf_dir}/events.parquet') GROUP BY 1")
+
+
+def fn_subscripts(spark, sf_dir):
+    return _session(spark).sql(f"SELECT vec_id, round(embedding[1], 4) AS first, round(embedding[-1], 4) AS last, embedding[1000] IS NULL AS none, round(array_element(embedding, 2), 4) AS second, array_length(array_slice(embedding, 2, 4)) AS three, round(embedding[3:5][2], 4) AS fourth, MAP {{'a': label}}['a'] AS m FROM read_parquet('{sf_dir}/embeddings.parquet')")
+
+
+def fn_split_match(spark, sf_dir):
+    return _session(spark).sql(f"SELECT p_partkey, string_to_array(p_brand, '#')[2] AS tail, regexp_match(p_name, '([a-z]+)([0-9]+)?')[1] AS word, regexp_match(p_name, 'Q+') IS NULL AS none, trunc(p_retailprice) AS whole, trunc(-2.5) AS t FROM read_parquet('{sf_dir}/part.parquet')")
+
+
+def quantified(spark, sf_dir):
+    n = f"read_parquet('{sf_dir}/nation.parquet')"
+    return _session(spark).sql(f"SELECT n_nationkey, n_nationkey > ALL (SELECT n_regionkey FROM {n}) AS above, n_regionkey >= ANY (SELECT n_nationkey FROM {n} WHERE n_nationkey > 2) AS some, n_nationkey > ALL (SELECT nullif(n_regionkey, 0) FROM {n}) AS with_null, n_nationkey <> ALL (SELECT n_regionkey FROM {n}) AS other FROM {n}")
+
+
+def int_div_expressions(spark, sf_dir):
+    return _plain(spark, sf_dir, "nation").sql("SELECT n_regionkey, (n_regionkey) / (2) AS half, sum(n_nationkey) / count(*) AS mean, max(n_nationkey) * 3 / 2 AS more, avg(n_nationkey) / 2 AS real FROM nation GROUP BY n_regionkey")
+
+
+def info_schema(spark, sf_dir):
+    return _plain(spark, sf_dir, "nation", "region").sql("SELECT c.table_name, c.column_name, c.ordinal_position FROM information_schema.columns c JOIN information_schema.tables t ON c.table_name = t.table_name")
+
+
+def show_statements(spark, sf_dir):
+    """SHOW TABLES after a DROP, SHOW DATABASES, and a query that no row meets, one text each."""
+    s = _plain(spark, sf_dir, "region")
+    s.sql("CREATE TABLE gone (a Int64) ORDER BY a")
+    s.sql("DROP TABLE gone")
+    said = [("tables", ",".join(r[0] for r in s.sql("SHOW TABLES").collect())), ("databases", s.sql("SHOW DATABASES").first()[0]), ("empty", str(len(s.sql("SELECT * FROM region WHERE r_regionkey > 99").collect())))]
+    return spark.createDataFrame(said, "what string, said string")
+
+
+def copied_files(spark, sf_dir):
+    """COPY to each format, read back by the function of its name; Arrow files too."""
+    s, root = _session(spark), warehouse(spark).removeprefix("file://")
+    s.store.files.create_dir(root)
+    for kind in ("csv", "json", "parquet", "arrow"):
+        s.sql(f"COPY (SELECT n_nationkey, n_name, n_regionkey FROM read_parquet('{sf_dir}/nation.parquet')) TO '{root}/n.{kind}'")
+    return s.sql(" UNION ALL ".join(f"SELECT '{k}' AS kind, cast(sum(n_nationkey) AS bigint) AS s, count(*) AS n, max(n_name) AS last FROM read_{k}('{root}/n.{k}')" for k in ("csv", "json", "parquet", "arrow")))
+
+
+def bulk_load(spark, sf_dir):
+    """A table filled from a CSV and a JSON file with their columns in another order."""
+    s, root = _session(spark), warehouse(spark).removeprefix("file://")
+    s.store.files.create_dir(root)
+    s.sql("CREATE TABLE n (n_nationkey Int32, n_name String, n_regionkey Int32) ORDER BY n_nationkey")
+    for kind in ("csv", "json"):
+        s.sql(f"COPY (SELECT n_name, n_regionkey, n_nationkey FROM read_parquet('{sf_dir}/nation.parquet')) TO '{root}/l.{kind}'")
+        s.insert("n", files.load(s.spark, f"{root}/l.{kind}", s.catalog.get("n")))
+    return s.sql("SELECT n_nationkey, count(*) AS n, max(n_name) AS name FROM n GROUP BY n_nationkey")
 
 
 def _graph(spark, sf_dir):
@@ -261,12 +381,49 @@ def search_ranked_docs(spark, sf_dir):
 
 
 def memory_latest_by_pk(spark, sf_dir):
-    return latest_by_key(_read(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role", F.length("text").cast("bigint").alias("n_chars"))
+    """Two batches into a keyed table, compacted, and read by SQL."""
+    s = _session(spark)
+    s.memory.create("latest", [("conv_id", "Int64"), ("turn", "Int64"), ("role", "String"), ("n_chars", "Int64")], "conv_id")
+    own = _read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.length("text").cast("long").alias("n_chars")).orderBy("turn")
+    s.memory.insert("latest", own.where("turn < 2"))
+    s.memory.insert("latest", own.where("turn >= 2"))
+    s.memory.compact("latest")
+    return s.sql("SELECT conv_id, turn, role, n_chars FROM latest")
+
+
+def memory_point_get(spark, sf_dir):
+    s = _session(spark)
+    s.memory.create("n", [("n_nationkey", "Int32"), ("n_name", "String")], "n_nationkey")
+    s.memory.insert("n", _read(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    s.memory.insert("n", [{"n_nationkey": 3, "n_name": "changed"}])
+    return spark.createDataFrame([tuple(s.memory.get("n", k).values()) for k in (3, 4)], "n_nationkey int, n_name string")
+
+
+def cypher_comma(spark, sf_dir):
+    """Patterns that meet at a node which neither begins with."""
+    return _graph(spark, sf_dir).cypher("MATCH (c:Customer {segment: 'BUILDING'})-[:LIVES]->(n:Nation), (s:Supplier)-[:SELLS]->(n), (n)-[:IN]->(r:Region) WHERE r.name = 'ASIA' RETURN n.name AS nation, count(*) AS pairs")
+
+
+def cypher_join(spark, sf_dir):
+    """Patterns that only a property joins."""
+    return _graph(spark, sf_dir).cypher("MATCH (a:Nation)-[:IN]->(r:Region), (b:Region) WHERE b.name = r.name RETURN b.key AS region, count(a) AS n")
+
+
+def cypher_write(spark, sf_dir):
+    """CREATE, SET and DELETE, and what a query sees after them."""
+    g = Graph(spark)
+    for r in _read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").collect():
+        g.upsert_node(f"n/{r['n_nationkey']}", ["Nation"], {"name": r["n_name"], "region": r["n_regionkey"]})
+    g.cypher("CREATE (w:World {key: 'w'})-[:HAS]->(x:Nation {key: 'n/99', region: 9})")
+    g.cypher("MATCH (n:Nation) WHERE n.region = 2 SET n.size = 'big'")
+    g.cypher("MATCH (n:Nation) WHERE n.region = 3 DELETE n")
+    return g.cypher("MATCH (n:Nation) RETURN n.size AS size, count(*) AS n")
 
 
 _SELECT_ORDERS = "select o_orderkey, o_custkey, o_totalprice from orders"
 _DISTANCE = {"l2": "list_distance(embedding, q) * list_distance(embedding, q)", "cosine": "1 - list_cosine_similarity(embedding, q)", "dot": "-list_inner_product(embedding, q)"}
-_NEAR = "select vec_id, round({0}, 4) as score from (select e.vec_id, cast(e.embedding as double[]) as embedding, cast(x.embedding as double[]) as q from embeddings e, embeddings x where x.vec_id = 0) t order by {0}, vec_id limit 20"
+_NEAR = "select query_id, cast(rank as int) as rank, vec_id, round(d, 4) as score from (select *, row_number() over (partition by query_id order by d, vec_id) as rank from (select query_id, vec_id, {0} as d from (select e.vec_id, cast(e.embedding as double[]) as embedding, x.vec_id as query_id, cast(x.embedding as double[]) as q from embeddings e, embeddings x where x.vec_id % 100 = 0) t) u) w where rank <= 10"
+_ONE = "(select vec_id as id, label, {0} as d from (select e.vec_id, e.label, cast(e.embedding as double[]) as embedding, cast(x.embedding as double[]) as q from embeddings e, embeddings x where x.vec_id = 0) t order by d, id limit {1})"
 
 ORACLES = {
     "unique_keep_last": "select user_id, max(event_id) as event_id, max_by(event_type, event_id) as event_type from events group by user_id",
@@ -288,7 +445,30 @@ ORACLES = {
     "null_order_dialect": "select event_id, nullif(event_type, 'view') as v from events order by nullif(event_type, 'view') desc nulls first, event_id",
     "file_functions": "select n_regionkey, cast(2 * count(*) as bigint) as n from nation group by n_regionkey",
     **{f"vector_{m}": _NEAR.format(d) for m, d in _DISTANCE.items()},
-    "vector_join_label": f"select label, count(*) as n from embeddings join ({_NEAR.format(_DISTANCE['l2'])}) h using (vec_id) group by label",
+    "vector_join_label": f"select label, count(*) as n from {_ONE.format(_DISTANCE['l2'], 20)} h group by label",
+    "vector_ivf_all_lists": f"select id, cast(round(d, 3) as float) as score, cast(label as varchar) as payload from {_ONE.format(_DISTANCE['cosine'], 10)} h",
+    "unique_ties": "select user_id, case when user_id % 7 = 0 then 'old' else 'new ' || max(event_type) end as kind from events where user_id % 7 <> 0 or user_id % 5 = 0 group by user_id",
+    "fan_out_or": "select event_type, count(*) as n, min(value) as low, max(event_id) as last from events where value > 50 or user_id < 10 group by event_type",
+    "fan_out_or_in_a_string": "select count(*) as n, max(user_id) as high from events where event_type <> 'view or click' and value between 10 and 60",
+    "gpu_sum": "select l_returnflag, round(sum(cast(l_extendedprice as double)), 2) as total from lineitem where l_quantity > 25 group by l_returnflag",
+    "gpu_dot": "select round(sum(l_extendedprice * l_discount), 4) as dot from lineitem",
+    "win_qualify": "select o_custkey, o_orderkey from orders qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) = 1",
+    "win_qualify_nested": "with best as (select o_custkey, o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) = 1) select count(*) as n, round(sum(o_totalprice), 2) as total from (select * from best qualify dense_rank() over (order by o_totalprice desc) > 3) t",
+    "win_groups_frame": "select event_id, count(*) over (partition by event_type order by user_id groups between 1 preceding and current row) as n from events",
+    "fn_unnest": "select n_nationkey, unnest([n_nationkey, n_regionkey]) as x from nation",
+    "fn_date_bin": "select time_bucket(interval '15 minutes', ts) as slot, count(*) as n from events group by 1",
+    "fn_subscripts": "select vec_id, round(embedding[1], 4) as first, round(embedding[-1], 4) as last, true as none, round(embedding[2], 4) as second, cast(len(embedding[2:4]) as int) as three, round(embedding[4], 4) as fourth, label as m from embeddings",
+    "fn_split_match": "select p_partkey, string_split(p_brand, '#')[2] as tail, regexp_extract(p_name, '([a-z]+)([0-9]+)?', 1) as word, not regexp_matches(p_name, 'Q+') as none, trunc(p_retailprice) as whole, cast(-2 as double) as t from part",
+    "quantified": "select n_nationkey, n_nationkey > all (select n_regionkey from nation) as above, n_regionkey >= any (select n_nationkey from nation where n_nationkey > 2) as some, n_nationkey > all (select nullif(n_regionkey, 0) from nation) as with_null, n_nationkey <> all (select n_regionkey from nation) as other from nation",
+    "int_div_expressions": "select n_regionkey, n_regionkey // 2 as half, cast(sum(n_nationkey) // count(*) as bigint) as mean, max(n_nationkey) * 3 // 2 as more, avg(n_nationkey) / 2 as real from nation group by n_regionkey",
+    "info_schema": "select * from (values ('nation', 'n_nationkey', 1), ('nation', 'n_name', 2), ('nation', 'n_regionkey', 3), ('region', 'r_regionkey', 1), ('region', 'r_name', 2)) t(table_name, column_name, ordinal_position)",
+    "show_statements": "select * from (values ('tables', 'region'), ('databases', 'default'), ('empty', '0')) t(what, said)",
+    "copied_files": "select kind, cast(s as bigint) as s, n, last from (select sum(n_nationkey) as s, count(*) as n, max(n_name) as last from nation) t, (values ('csv'), ('json'), ('parquet'), ('arrow')) k(kind)",
+    "bulk_load": "select n_nationkey, cast(2 as bigint) as n, n_name as name from nation",
+    "memory_point_get": "select n_nationkey, case when n_nationkey = 3 then 'changed' else n_name end as n_name from nation where n_nationkey in (3, 4)",
+    "cypher_comma": "select n_name as nation, count(*) as pairs from customer join nation on c_nationkey = n_nationkey join supplier on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey where c_mktsegment = 'BUILDING' and r_name = 'ASIA' group by n_name",
+    "cypher_join": "select 'r/' || n_regionkey as region, count(*) as n from nation group by n_regionkey",
+    "cypher_write": "select case when n_regionkey = 2 then 'big' end as size, count(*) as n from (select n_regionkey from nation union all select 9) t where n_regionkey <> 3 group by 1",
     "graph_neighbors_depth2": f"with recursive {_EDGES}, walk(key, depth) as (select 'r/2', 0 union all select b.dst, w.depth + 1 from walk w join both_ways b on b.src = w.key where w.depth < 2) select key, min(depth) as depth from walk group by key having min(depth) > 0",
     "graph_reach_all": f"with recursive {_EDGES}, walk(key, depth) as (select 'c/7', 0 union all select e.dst, w.depth + 1 from walk w join edges e on e.src = w.key) select key, depth from walk where depth > 0",
     "graph_shortest_path": f"with recursive {_EDGES}, walk(key, depth) as (select 'c/1', 0 union select b.dst, w.depth + 1 from walk w join both_ways b on b.src = w.key where w.depth < 4) select cast(min(depth) as bigint) as hops, 'c/1' as first, 'n/4' as last from walk where key = 'n/4'",
@@ -300,9 +480,9 @@ ORACLES = {
     "memory_latest_by_pk": "select conv_id, max(turn) as turn, max_by(role, turn) as role, length(max_by(text, turn)) as n_chars from conversations group by conv_id",
 }
 
-QUERIES = [unique_keep_last, ttl_retention, delete_where, update_where, alter_add_default, alter_drop_column, truncate_insert, ctas_agg, merge_parts, pruned_point_lookup, pruned_range_agg, metadata_count_min_max,
-           shard_union, insert_select, show_columns, int_div_dialect, null_order_dialect, file_functions, vector_l2, vector_cosine, vector_dot, vector_join_label, vector_ivf, trigram_embed,
-           graph_neighbors_depth2, graph_reach_all, graph_shortest_path, graph_two_hop, cypher_agg, cypher_paths, cypher_undirected, search_ranked_docs, memory_latest_by_pk]
+#: Functions of this module that aren't queries.
+_HELPERS = {"warehouse", "queries", "oracle_sql", "fan_out", "reach", "search_ranked", "flat_search_many"}
+QUERIES = [f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n not in _HELPERS]
 
 
 def queries() -> dict:

@@ -134,8 +134,6 @@ define("agg_array", "select c_nationkey, cast(size(collect_list(c_custkey)) as b
 define("agg_first_last", "select user_id, min_by(event_type, event_id) as first_type, max_by(event_type, event_id) as last_type from events group by user_id")
 define("agg_conditional", "select o_orderpriority, sum(case when o_orderstatus = 'F' then 1 else 0 end) as done, round(sum(case when o_orderstatus = 'F' then o_totalprice else 0.0 end) / sum(o_totalprice), 8) as share from orders group by o_orderpriority", "select o_orderpriority, cast(sum(case when o_orderstatus = 'F' then 1 else 0 end) as bigint) as done, round(sum(case when o_orderstatus = 'F' then o_totalprice else 0.0 end) / sum(o_totalprice), 8) as share from orders group by o_orderpriority")
 define("agg_approx_percentile", "select abs(approx_percentile(o_totalprice, 0.5, 10000) / percentile(o_totalprice, 0.5) - 1) < 0.01 as close, abs(approx_count_distinct(o_custkey) * 1.0 / count(distinct o_custkey) - 1) < 0.15 as near from orders", "select true as close, true as near")
-define("gpu_sum", "select l_returnflag, round(sum(cast(l_extendedprice as double)), 2) as total from lineitem where l_quantity > 25 group by l_returnflag")
-define("gpu_dot", "select round(sum(l_extendedprice * l_discount), 4) as dot from lineitem")
 
 # Windows.
 
@@ -150,8 +148,6 @@ define("win_moving_avg", "select event_id, round(avg(value) over (partition by u
 define("win_range_frame", "select event_id, count(*) over (partition by event_type order by user_id range between 2 preceding and 2 following) as n from events")
 define("win_cume", "select o_orderkey, round(cume_dist() over (partition by o_orderstatus order by o_totalprice), 9) as cd, round(percent_rank() over (partition by o_orderstatus order by o_totalprice), 9) as pr from orders")
 define("win_ignore_nulls", "select event_id, last_value(t) ignore nulls over (partition by user_id order by event_id rows between unbounded preceding and current row) as seen from (select event_id, user_id, nullif(event_type, 'view') as t from events) x", "select event_id, last_value(t ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and current row) as seen from (select event_id, user_id, nullif(event_type, 'view') as t from events) x")
-define("win_qualify", "select o_custkey, o_orderkey from (select *, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn from orders) t where rn = 1", "select o_custkey, o_orderkey from orders qualify row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) = 1")
-define("win_groups_frame", "select event_id, count(*) over (partition by event_type order by g range between 1 preceding and current row) as n from (select *, dense_rank() over (partition by event_type order by user_id) as g from events) t", "select event_id, count(*) over (partition by event_type order by user_id groups between 1 preceding and current row) as n from events")
 
 # Sort and limit.
 
@@ -193,14 +189,11 @@ define("fn_math", "select c_custkey, round(c_acctbal, 1) as r, cast(floor(c_acct
 define("fn_trig", "select n_nationkey, round(sin(n_nationkey), 9) as s, round(cos(n_nationkey), 9) as c, round(tan(n_nationkey), 9) as t, round(atan(n_nationkey), 9) as at, round(atan2(n_nationkey, 3), 9) as a2, round(asin(n_nationkey / 30e0), 9) as asn, round(acos(n_nationkey / 30e0), 9) as acs, round(sinh(n_nationkey / 10e0), 9) as sh, round(cosh(n_nationkey / 10e0), 9) as ch, round(tanh(n_nationkey / 10e0), 9) as th, round(degrees(n_nationkey), 9) as dg, round(radians(n_nationkey), 9) as rd, round(cbrt(n_nationkey), 9) as cb, cast(factorial(n_nationkey % 10) as bigint) as fc from nation")
 define("fn_date", "select o_orderkey, cast(date_part('year', o_orderdate) as bigint) as y, cast(date_part('doy', o_orderdate) as bigint) as d, cast(extract(month from o_orderdate) as bigint) as m, cast(extract(quarter from o_orderdate) as bigint) as q, cast(date_trunc('month', o_orderdate) as date) as mon, cast(cast(o_orderdate as date) + interval '1' year as date) as nxt, cast(cast(o_orderdate as date) - interval '1' month as date) as prv, datediff(cast(o_orderdate as date), cast('1995-01-01' as date)) as days, make_date(1996, 2, 29) as leap from orders",
        "select o_orderkey, cast(date_part('year', o_orderdate) as bigint) as y, cast(date_part('doy', o_orderdate) as bigint) as d, cast(extract(month from o_orderdate) as bigint) as m, cast(extract(quarter from o_orderdate) as bigint) as q, cast(date_trunc('month', o_orderdate) as date) as mon, cast(cast(o_orderdate as date) + interval '1' year as date) as nxt, cast(cast(o_orderdate as date) - interval '1' month as date) as prv, cast(datediff('day', cast('1995-01-01' as date), cast(o_orderdate as date)) as int) as days, make_date(1996, 2, 29) as leap from orders")
-define("fn_date_bin", "select cast(date_trunc('hour', ts) as timestamp_ntz) as slot, count(*) as n from events group by 1", "select time_bucket(interval '1 hour', ts) as slot, count(*) as n from events group by 1")
 define("fn_array", "select vec_id, cast(size(embedding) as bigint) as n, round(element_at(embedding, 1), 4) as first, round(array_max(embedding), 4) as mx, round(array_min(embedding), 4) as mn, array_contains(array(1, 2, label), 3) as has, array_join(slice(array('a', 'b', 'c'), 2, 2), '-') as j, cast(array_position(array(5, 6, label), label) as bigint) as p, cast(size(array_distinct(array(1, 1, label))) as bigint) as dd from embeddings",
        "select vec_id, len(embedding) as n, round(embedding[1], 4) as first, round(list_max(embedding), 4) as mx, round(list_min(embedding), 4) as mn, list_contains([1, 2, label], 3) as has, array_to_string((['a', 'b', 'c'])[2:3], '-') as j, cast(list_position([5, 6, label], label) as bigint) as p, cast(len(list_distinct([1, 1, label])) as bigint) as dd from embeddings")
-define("fn_unnest", "select n_nationkey, x from nation lateral view explode(array(n_nationkey, n_regionkey)) e as x", "select n_nationkey, unnest([n_nationkey, n_regionkey]) as x from nation")
 define("fn_map", "select n_nationkey, map('a', n_nationkey, 'b', n_regionkey)['b'] as b, try_element_at(map('a', n_nationkey), 'z') as missing, cast(size(map_keys(map('a', 1, 'b', 2))) as bigint) as n from nation", "select n_nationkey, map {'a': n_nationkey, 'b': n_regionkey}['b'] as b, map {'a': n_nationkey}['z'] as missing, cast(len(map_keys(map {'a': 1, 'b': 2})) as bigint) as n from nation")
 define("fn_regex", "select p_partkey, p_name rlike '^[a-m]' as m, regexp_replace(p_name, '[aeiou]', '_') as r, regexp_extract(p_brand, '([0-9]+)', 1) as d, cast(regexp_count(p_name, 'e') as bigint) as n from part", "select p_partkey, regexp_matches(p_name, '^[a-m]') as m, regexp_replace(p_name, '[aeiou]', '_', 'g') as r, regexp_extract(p_brand, '([0-9]+)', 1) as d, len(regexp_extract_all(p_name, 'e')) as n from part")
 define("fn_conditional", "select n_nationkey, nullif(n_regionkey, 2) as a, ifnull(nullif(n_regionkey, 2), -1) as b, coalesce(null, n_name) as c, case n_regionkey when 1 then 'one' when 2 then 'two' else 'many' end as d, if(n_regionkey > 2, 'hi', 'lo') as e from nation")
 define("fn_hash", "select p_partkey, md5(p_name) as m, sha2(p_name, 256) as s, base64(cast(p_type as binary)) as b from part", "select p_partkey, md5(p_name) as m, sha256(p_name) as s, to_base64(cast(p_type as blob)) as b from part")
 define("fn_json_props", "select event_id, cast(length(props) as bigint) as n, get_json_object(props, '$.k') as k from events", "select event_id, length(props) as n, json_extract_string(props, '$.k') as k from events")
 define("fn_bitwise", "select c_custkey, c_custkey & 7 as a, c_custkey | 8 as o, cast(shiftleft(c_custkey, 2) as bigint) as sl, cast(c_custkey ^ 5 as bigint) as x from customer", "select c_custkey, c_custkey & 7 as a, c_custkey | 8 as o, cast(c_custkey << 2 as bigint) as sl, cast(xor(c_custkey, 5) as bigint) as x from customer")
-define("info_schema", "select 'nation' as table_name, count(*) as n from nation union all select 'region', count(*) from region")

@@ -3,10 +3,13 @@
 Index: a bounded sample is split again and again into a few clusters of about equal size, until leaves are
 small; their centroids are linked into a graph that fits memory.  Every vector is filed under its nearest centroid
 and, if it lies at a boundary, under the next ones too (up to COPIES, none of which is nearer to one already chosen).
-Lists are cut into blocks of about BLOCK vectors, so no task holds a long list; equal vectors are filed once.
+Lists of more than SPLIT vectors are split in the same way again, each by a sample of its own and by tasks, until none
+is longer: so the number of lists grows with the table, and not their length.  Equal vectors are filed once.
 
-Search: each distinct query vector walks the graph to its nearest centroids, keeps the lists whose distance is within RATIO
-of the nearest, and is compared, in double precision, with every vector of their blocks; a block returns the best for each query only.
+Search: each distinct query vector walks the graph to its nearest centroids, and goes on to those of the lists that
+were split; it keeps the lists whose distance is within RATIO of the nearest, PROBES at most, and more only where
+these hold too few vectors.  It is compared, in double precision, with every vector of its lists, which are cut into blocks
+of about BLOCK; a block returns the best for each query only.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from tesserae.llm.common import save, ship, thinned
 
 #: Vectors that the centroids are fitted on at most; leaf size there; copies of a boundary vector; vectors in a block.
 SAMPLE, LEAF, COPIES, BLOCK = 40_000, 96, 4, 4_096
+#: Vectors from which on a list is split, vectors of its sample (some), copies of a boundary vector there, and how often at most.
+SPLIT, OWN_SAMPLE, OWN_COPIES, LEVELS = 16_384, 6_144, 2, 6
 #: A list is searched if its centroid is within RATIO of the nearest centroid's distance, and among the PROBES nearest.
 RATIO, PROBES = 1.6, 64
 #: Queries in a block; centroids that a walk keeps; links of a centroid.
@@ -141,20 +146,100 @@ def _file(centroids, copies: int):
     return run
 
 
-def _probe(centroids, probes: int, ratio: float):
+def _probe(centroids, probes: int):
+    """(qkey, list, far): the nearest lists of each query and their centroids' distances."""
+
     def run(batches):
         own = centroids.value
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 at, score = own.nearest(_unit(_to_numpy(part.column(1))), probes)
-                ok = (at >= 0) & (1 - score <= ratio * (1 - score[:, :1]) + 1e-12)
-                rows, cols = np.nonzero(ok)
-                yield pa.RecordBatch.from_arrays([*(col.take(pa.array(rows)) for col in part.columns), pa.array(at[rows, cols])], names=[*batch.schema.names, "list"])
+                rows, cols = np.nonzero(at >= 0)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), pa.array(at[rows, cols]), pa.array(1 - score[rows, cols])], ["qkey", "list", "far"])
+
+    return run
+
+
+def _fit(leaf: int):
+    """The centroids of one list's own sample."""
+
+    def run(key, table):
+        points = Centroids(_to_numpy(table.column("v").combine_chunks()), leaf).points
+        n = len(points) if len(points) > 1 else 0  # a list that doesn't come apart stays as it is
+        return pa.table({"list": pa.array([key[0].as_py()] * n, pa.int64()), "sub": pa.array(range(n), pa.int32()), "c": pa.array(points[:n].tolist(), pa.list_(pa.float64()))})
+
+    return run
+
+
+def _within(copies: int | None, ratio: float):
+    """Vectors of a block to parts of their list: the nearest one and those at whose boundary they lie, up to copies.  If None:
+    queries to all parts that they may have to go to, with distances."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        x, c = _unit(_to_numpy(left.column("v").combine_chunks())) if left.num_rows else np.empty((0, 1)), None
+        if left.num_rows and right.num_rows:
+            right = right.sort_by("sub")
+            c = _to_numpy(right.column("c").combine_chunks())
+            far = 1 - x @ c.T
+            n = len(c) if copies is None else min(copies, len(c))
+            at = np.argsort(far, axis=1, kind="stable")[:, :n]
+            near = np.take_along_axis(far, at, 1)
+            ok = near <= ratio * near[:, :1] + 1e-12
+            if copies is None:
+                ok[:, :4] = True  # should the nearest ones hold too few
+            if copies is not None:
+                between = 1 - c @ c.T
+                for k in range(1, n):
+                    ok[:, k] &= (between[at[:, k], at[:, 0]] > near[:, k])  # no copy in a part that is nearer to the first than to the vector
+            rows, cols = np.nonzero(ok)
+            subs, fars = right.column("part").to_numpy()[at[rows, cols]], near[rows, cols]
+        else:
+            rows, subs, fars = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        first = left.column(3 if copies is None else 2).combine_chunks().take(pa.array(rows))
+        if copies is None:
+            return pa.table({"qkey": first, "list": pa.array(subs, pa.int64()), "far": pa.array(fars, pa.float64())})
+        return pa.table({"ids": first, "v": left.column("v").combine_chunks().take(pa.array(rows)), "list": pa.array(subs, pa.int64())})
 
     return run
 
 
+def _split_lists(filed: DataFrame, probed: DataFrame, asked: DataFrame, most: int, ratio: float) -> tuple[DataFrame, DataFrame]:
+    """filed (ids, v, list) and probed (qkey, list, far) with lists of more than `most` vectors split; asked has (qkey, v)."""
+    for _ in range(LEVELS):
+        sizes = filed.groupBy("list").agg(F.count("*").alias("n")).where(F.col("n") > most)
+        sizes = save(sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "long-lists")
+        if sizes.isEmpty():
+            break
+        share = F.pmod(F.xxhash64("v"), F.lit(1 << 20)) * F.col("n") <= F.lit(OWN_SAMPLE << 20)
+        sample = filed.join(sizes, "list").where(share).select("list", "v")
+        parts = sample.groupBy("list").applyInArrow(_fit(LEAF), "list long, sub int, c array<double>")
+        parts = save(parts.withColumn("part", F.xxhash64("list", "sub")), "parts")
+        real = save(parts.select("list").distinct().join(sizes, "list"), "split-lists")
+        if real.isEmpty():
+            break
+        block = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
+        own = filed.join(real.select("list", "blocks"), "list").withColumn("block", block).select("list", "block", "ids", "v")
+        each = parts.join(real.select("list", "blocks"), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", "block", "sub", "c", "part")
+        moved = own.groupBy("list", "block").cogroup(each.groupBy("list", "block")).applyInArrow(_within(OWN_COPIES, RATIO), "ids array<long>, v array<double>, list long")
+        filed = save(filed.join(real.select("list"), "list", "left_anti").select("ids", "v", "list").unionByName(moved.distinct()), "lists")
+        asks = probed.join(real.select("list"), "list").groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("turns"))
+        turn = F.pmod("qkey", F.col("turns")).cast("int")
+        mine = probed.join(asks, "list").withColumn("turn", turn).join(asked, "qkey").select("list", "turn", "v", "qkey")
+        theirs = parts.join(asks, "list").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).select("list", "turn", "sub", "c", "part")
+        gone = mine.groupBy("list", "turn").cogroup(theirs.groupBy("list", "turn")).applyInArrow(_within(None, ratio), "qkey long, list long, far double")
+        probed = save(probed.join(real.select("list"), "list", "left_anti").select("qkey", "list", "far").unionByName(gone), "probes")
+    return filed, probed
+
+
+def _pruned(probed: DataFrame, sizes: DataFrame, probes: int, ratio: float, least: int) -> DataFrame:
+    """(qkey, list): each query's lists within ratio of its nearest, `probes` at most, and the next ones while those before hold fewer than `least` vectors."""
+    own = Window.partitionBy("qkey").orderBy("far", "list")
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    ranked = probed.join(sizes, "list").withColumns({"r": F.row_number().over(own), "held": F.coalesce(F.sum("n").over(before), F.lit(0)), "nearest": F.first("far").over(own)})
+    return ranked.where((F.col("far") <= ratio * F.col("nearest") + 1e-12) & (F.col("r") <= probes) | (F.col("held") < least)).select("qkey", "list")
+
+
 def _best(k: int):
     """For one block of a list and one of queries: each query's k + 1 best, ties by the least ids."""
 
@@ -181,11 +266,11 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", probes: int = PROBES, ratio: float = RATIO) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of queries the k rows of vectors, itself excepted, with the largest
-    cosines found; all if there are fewer lists than that; ties go to the least vec_id.
+    cosines found, all if there are no more; ties go to the least vec_id.
 
-    Vectors that are null or zero or hold nulls, NaN or infinity take no part on either side, nor do null ids.  Equal
-    vectors share one class, of which the k + 1 least ids can be among a query's k nearest, so no more are
-    carried.  Repeated ids in queries are asked once.  Other columns are not looked at; no rows give no rows.
+    Vectors that are null or zero or hold nulls, NaN or infinity take no part on either side, nor do null ids.  Vectors of
+    different lengths are refused.  Equal vectors share one class, of which the k + 1 least ids can be among a query's k
+    nearest, so no more are carried.  Repeated ids in queries are asked once.  Other columns are not looked at; no rows give no rows.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -196,21 +281,27 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
         .groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")),
         "vectors",
     )
-    place, n = F.xxhash64("v"), classes.count()
-    sample = thinned(classes, place, SAMPLE, n).select("v").orderBy(place, "v").limit(SAMPLE).toArrow()
+    asked = save(_valid(queries, id_col, vector_col).distinct().select(F.col("vec_id").alias("query_id"), "v", F.xxhash64("v").alias("qkey")), "queries")
+    n, short, long = classes.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
     schema = "query_id long, rank int, vec_id long, score double"
-    if not sample.num_rows:
+    sizes_asked = asked.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+    if not n or sizes_asked[0] is None:
         return spark.sql("select 1L as query_id, 1 as rank, 1L as vec_id, 1D as score").where("false")
-    shared = spark.sparkContext.broadcast(Centroids(_to_numpy(sample.column(0).combine_chunks())))
+    if {short, long, *sizes_asked} != {short}:
+        raise ValueError(f"vectors of different lengths: {sorted({short, long, *sizes_asked})}")
+    place = F.xxhash64("v")
+    sample = thinned(classes, place, SAMPLE, n).select("v").orderBy(place, "v").limit(SAMPLE).toArrow()
+    shared = spark.sparkContext.broadcast(Centroids(_to_numpy(sample.column(0).combine_chunks()), LEAF))
+    distinct = save(asked.groupBy("v").agg(F.first("qkey").alias("qkey")).select("qkey", "v"), "distinct-queries")
     filed = save(classes.select("ids", "v").mapInArrow(_file(shared, COPIES), "ids array<long>, v array<double>, list long"), "lists")
-    sizes = filed.groupBy("list").agg(F.count("*").alias("n")).select("list", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    asked = save(_valid(queries, id_col, vector_col).distinct().select(F.col("vec_id").alias("query_id"), "v", F.xxhash64("v").alias("qkey")), "queries")
-    distinct = asked.groupBy("v").agg(F.first("qkey").alias("qkey")).select("qkey", "v")
-    probed = save(distinct.mapInArrow(_probe(shared, probes, ratio), "qkey long, v array<double>, list long"), "probes")
-    asks = probed.groupBy("list").agg(F.count("*").alias("m")).select("list", F.ceil(F.col("m") / QUERIES).cast("int").alias("parts"))
-    cut = save(sizes.join(asks, "list"), "blocks")
+    probed = save(distinct.mapInArrow(_probe(shared, max(probes, COPIES * (k + 1))), "qkey long, list long, far double"), "probes")
+    filed, probed = _split_lists(filed, probed, distinct, SPLIT, ratio)
+    held = save(filed.groupBy("list").agg(F.count("*").alias("n")), "list-sizes")
+    kept = save(_pruned(probed, held, probes, ratio, COPIES * (k + 1)), "kept-probes")
+    asks = kept.groupBy("list").agg(F.count("*").alias("m")).select("list", F.ceil(F.col("m") / QUERIES).cast("int").alias("parts"))
+    cut = save(held.select("list", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).join(asks, "list"), "blocks")
     left = filed.join(cut, "list").withColumn("block", F.pmod(F.xxhash64("v"), "blocks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    right = probed.join(cut, "list").withColumn("part", F.pmod("qkey", "parts").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = kept.join(cut, "list").join(distinct, "qkey").withColumn("part", F.pmod("qkey", "parts").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = ["list", "block", "part"]
     found = left.select(*cells, "ids", "v").groupBy(*cells).cogroup(right.select(*cells, "qkey", "v").groupBy(*cells)).applyInArrow(_best(k), "qkey long, ids array<long>, score double")
     best = Window.partitionBy("qkey").orderBy(F.desc("score"), "ids")

@@ -3,11 +3,13 @@
 The automaton holds every run of words of every item.  A text is streamed through it word by word, and
 the length of the longest run that ends at each word tells where windows of items occur: no n-gram of the corpus
 is ever stored or shuffled.  Items are dealt into blocks of BLOCK_WORDS words at most, each with an automaton of
-bounded size that is broadcast; more blocks take more passes.
+bounded size that is broadcast.  Up to that many words, texts are marked where they are read.  More blocks take a pass
+each, of which only the hits are kept, by the text's digest, and meet the texts in one join in the end.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import pyarrow as pa
@@ -125,39 +127,55 @@ class SuffixAutomaton:
         return spans, found
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> list[list[tuple[str, list[bytes]]]]:
-    """Items with words, streamed from the executors and dealt into blocks of bounded size."""
-    out: list[list] = [[]]
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int):
+    """Items with words, streamed from the executors and dealt into blocks of bounded size, one after another; at least one."""
+    out: list = []
     size = 0
     for row in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null").toLocalIterator():
         if words := words_of(row["t"]):
-            if out[-1] and size + len(words) > BLOCK_WORDS:
-                out.append([])
-                size = 0
-            out[-1].append((row["i"] or "", words))
+            if out and size + len(words) > BLOCK_WORDS:
+                yield out
+                out, size = [], 0
+            out.append((row["i"] or "", words))
             size += len(words)
-    return out
+    yield out
 
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())]))
 _ARROW_SPAN = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
 
 
-def _mark(automaton, at: int):
-    """Replaces the last three columns (words, spans, items) by those with this block's hits; at: the text's column."""
+def _hits(automaton):
+    """(text digest, spans, items) of the texts that are hit."""
 
     def run(batches):
         own = automaton.value
+        for batch in batches:
+            keys, spans, items = [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                runs, found = own.match(words_of(text))
+                if runs:
+                    keys.append(key)
+                    spans.append([{"from": a, "to": b} for a, b in runs])
+                    items.append([own.names[k] for k in sorted(found)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(spans, _ARROW_SPAN), pa.array(items, pa.list_(pa.string()))], ["key", "spans", "items"])
+
+    return run
+
+
+def _mark(automaton, at: int):
+    """Fills the last three columns (words, spans, items); at: the text's column.  Without an automaton, spans are there and put together."""
+
+    def run(batches):
+        own = automaton.value if automaton else None
         for batch in batches:
             counts, spans, items = [], [], []
             for text, old, ids in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 words = words_of(text or "")
-                runs, found = own.match(words)
-                if old:
-                    runs = _joined([*runs, *((s["from"], s["to"]) for s in old)])
+                runs, found = own.match(words) if own else (_joined([(s["from"], s["to"]) for s in old or []]), ids or [])
                 counts.append(len(words))
                 spans.append([{"from": a, "to": b} for a, b in runs])
-                items.append([*ids, *(own.names[k] for k in sorted(found))])
+                items.append([own.names[k] for k in sorted(found)] if own else found)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(counts, pa.int64()), pa.array(spans, _ARROW_SPAN), pa.array(items, pa.list_(pa.string()))], names=batch.schema.names)
 
     return run
@@ -182,13 +200,25 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str
     """docs and three more columns, named by marks(): words, runs of hit words, and ids of items with occurring windows."""
     spark = docs.sparkSession
     ship(spark)
+    names = marks(docs)
     empty = (F.lit(0).cast("long"), F.lit(None).cast(_SPAN), F.array().cast("array<string>"))
-    out = docs.withColumns(dict(zip(marks(docs), empty)))
+    out = docs.withColumns(dict(zip(names, empty)))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
-    for k, items in enumerate(blocks(benchmark, item_col, item_text_col, window)):
-        out = save(out, "marked") if k else out  # one automaton in a worker at a time
-        out = out.mapInArrow(_mark(spark.sparkContext.broadcast(SuffixAutomaton(items, window)), docs.columns.index(text_col)), schema)
-    return out
+    at = docs.columns.index(text_col)
+    automata = (spark.sparkContext.broadcast(SuffixAutomaton(items, window)) for items in blocks(benchmark, item_col, item_text_col, window))
+    first, second = next(automata), next(automata, None)
+    if second is None:
+        return out.mapInArrow(_mark(first, at), schema)
+    digest = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    keyed = docs.where(F.col(text_col).isNotNull()).select(digest.alias("key"), F.col(text_col).cast("string").alias("text"))
+    found = None
+    for automaton in itertools.chain((first, second), automata):  # one automaton in a worker at a time
+        hits = save(keyed.mapInArrow(_hits(automaton), "key binary, spans array<struct<from: long, to: long>>, items array<string>").dropDuplicates(["key"]), "hits")
+        found = hits if found is None else found.unionByName(hits)
+    found = found.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias(names[1]), F.flatten(F.collect_list("items")).alias(names[2]))  # of one text
+    key = next(n for n in (f"_key{k or ''}" for k in range(1 << 20)) if n not in docs.columns)
+    met = docs.withColumn(key, digest).join(found.withColumnRenamed("key", key), key, "left")
+    return met.select(*(F.col(f"`{c}`") for c in docs.columns), F.lit(0).cast("long").alias(names[0]), names[1], names[2]).mapInArrow(_mark(None, at), schema)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -169,7 +169,7 @@ def _predict(model, names: list[str]):
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(doc_id, the columns of keep, lang_pred, score) of every row of docs, from its text alone.
 
-    A null or empty text, or one without a letter, is `und` with score 0, as is every text when no language was
+    Of languages with equal scores the first in alphabetical order is predicted.  A null or empty text, or one without a letter, is `und` with score 0, as is every text when no language was
     learned.  Repeated rows and null ids keep their rows; other columns are not looked at; no rows give no rows.
     """
     ship(docs.sparkSession)

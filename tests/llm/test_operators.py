@@ -280,9 +280,10 @@ def test_chat_layouts(spark):
         chat.canonical(spark.sql("select 1L as conv_id, 'x' as output"))
 
 
-@pytest.mark.parametrize("sample", [40_000, 250])  # the small one is thinned by hash first
-def test_ann(spark, monkeypatch, sample):
+@pytest.mark.parametrize(("sample", "split"), [(40_000, 16_384), (250, 100)])  # the small sample is thinned by hash first, and its lists are split
+def test_ann(spark, monkeypatch, sample, split):
     monkeypatch.setattr(ann, "SAMPLE", sample)
+    monkeypatch.setattr(ann, "SPLIT", split)
     monkeypatch.setattr(ann, "LEAF", 40)
     monkeypatch.setattr(ann, "BLOCK", 50)  # lists are cut into several blocks
     rng = np.random.default_rng(1)
@@ -303,10 +304,33 @@ def test_ann(spark, monkeypatch, sample):
         n += 5
     assert hit / n >= 0.9 and set(got.query_id) == set(range(0, 900, 20))
     assert got[got.query_id == 300].sort_values("rank").vec_id.tolist() == [0, 301, 302, 303, 304]
+    with pytest.raises(ValueError, match="lengths"):
+        ann.search(table.unionByName(spark.sql("select 9999L as vec_id, array(cast(1 as float)) as embedding, 'x' as list, 1 as score")), table.limit(5), 5)
     few = ann.search(table.where("vec_id < 3"), table.where("vec_id = 0"), 5)
     assert few.count() == 2 and ann.search(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_ann_lists_stay_short(spark, monkeypatch):
+    """Ten times the vectors of a first level's lists, some far from all others: lists are split, none is lost, every query finds k, recall holds."""
+    monkeypatch.setattr(ann, "SAMPLE", 300)
+    monkeypatch.setattr(ann, "SPLIT", 400)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([c + 0.4 * rng.normal(size=(1000, 16)) for c in rng.normal(size=(6, 16))] + [10 * rng.normal(size=(40, 16))])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    seen = {}
+    monkeypatch.setattr(ann, "_split_lists", lambda *a, f=ann._split_lists: seen.setdefault("out", f(*a)))
+    got = ann.search(table, table.where("vec_id % 30 = 0"), 5).toPandas()
+    filed = seen["out"][0].toPandas()
+    assert filed.groupby("list").size().max() <= 500 and set(filed.ids.explode()) == set(range(len(x)))
+    unit, hit, n = x / np.linalg.norm(x, axis=1, keepdims=True), 0, 0
+    for q, g in got.groupby("query_id"):
+        s = unit @ unit[q]
+        s[q] = -9
+        hit, n = hit + len(set(np.argsort(-s)[:5]) & set(g.vec_id)), n + 5
+        assert len(g) == 5
+    assert got.query_id.nunique() == -(-len(x) // 30) and hit / n >= 0.9
+
+
 def brute_components(prints):
     root = list(range(len(prints)))
 
@@ -626,6 +650,24 @@ def test_registered_queries_and_pipeline(spark):
     assert got.length.sum() == sum(len(x) + 1 for x in ids_of(BYTES, [t for _, t in own])) and got.sequence_id.nunique() == brute_best_fit(got.length.tolist(), 2048)[0]
 
 
+def test_unsure_texts_are_rejected(spark, docs):
+    """A bound keeps exactly the texts with letters whose score reaches it."""
+    table = spark.read.parquet(f"{DIR}/documents.parquet")
+    model = langid.fit(table)
+    scores = langid.identify(table, model).toPandas()
+    bound = float(np.median(scores.score))
+    kept = {r.doc_id for r in langid.keep_known(table, model, bound).select("doc_id").collect()}
+    assert kept == set(scores.doc_id[(scores.score >= bound) & (scores.lang_pred != "und")]) and 0 < len(kept) < len(scores)
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    for n in ("documents", "benchmark"):
+        spark.read.parquet(f"{DIR}/{n}.parquet").limit(0).write.parquet(f"{tmp_path}/{n}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_stages_keep_columns(spark, docs):
     import corpus_pipeline
 

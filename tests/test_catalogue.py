@@ -34,7 +34,7 @@ def ordered(table):
     return names, sorted((tuple(plain(r[n]) for n in names) for r in table.to_pylist()), key=lambda r: [(v is None, str(v)) for v in r])
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ("graph_shortest_path",)])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
     got = ordered(QUERIES[name](spark, DIR).toArrow())
     if name in ORACLES:

@@ -42,7 +42,7 @@ def test_ddl_round_trip_and_rules():
 def test_statements(session, rows):
     sql = lambda q: rows(session.sql(q))
     assert sql("CREATE TABLE t (id Int64, name String, v Float64) ORDER BY id") == [("created table 't'",)]
-    assert sql("CREATE TABLE IF NOT EXISTS t (id Int64)") == [("table 't' already exists (IF NOT EXISTS)",)]
+    assert sql("CREATE TABLE IF NOT EXISTS t (id Int64)") == [("table 't' is there, nothing to do",)]
     assert sql("INSERT INTO t VALUES (2, 'b', 2.0), (1, 'a', 1.0)") == [(2,)]
     assert sql("INSERT INTO t (id, name) VALUES (3, NULL)") == [(1,)]
     assert sorted(sql("SELECT * FROM t")) == [(1, "a", 1.0), (2, "b", 2.0), (3, None, None)]
@@ -55,17 +55,18 @@ def test_statements(session, rows):
     assert sql("ALTER TABLE t DROP COLUMN name") == [("dropped column 'name' from 't' (3 columns)",)]
     with pytest.raises(EngineError):
         session.sql("ALTER TABLE t DROP COLUMN id")
-    assert sql("CREATE TABLE c AS SELECT id, v * 2 AS d FROM t WHERE v IS NOT NULL") == [("created table 'c' from SELECT (1 rows)",)]
+    assert sql("CREATE TABLE c AS SELECT id, v * 2 AS d FROM t WHERE v IS NOT NULL") == [("created table 'c' with 1 rows",)]
     assert sql("SHOW TABLES LIKE 'c%'") == [("c",)] and sql("SHOW DATABASES") == [("default",)]
     assert sql("DESCRIBE c") == [("id", "Int64", True, True), ("d", "Float64", True, False)]
     assert "t: 2 of 2 parts" in sql("EXPLAIN SELECT * FROM t")[0][0] and "t: 0 of 2 parts" in sql("EXPLAIN SELECT * FROM t WHERE id > 77")[0][0]
     assert sql("SELECT table_name FROM information_schema.tables ORDER BY table_name") == [("c",), ("t",)]
     assert sql("TRUNCATE TABLE t") == [("truncated 't'",)] and sql("SELECT count(*) AS n FROM t") == [(0,)]
-    assert sql("DROP TABLE t") == [("dropped table 't'",)] and sql("DROP TABLE IF EXISTS t") == [("table 't' does not exist (IF EXISTS)",)]
+    assert sql("DROP TABLE t") == [("dropped table 't'",)] and sql("DROP TABLE IF EXISTS t") == [("no table 't', nothing to do",)]
     for bad in ("BEGIN", "CREATE VIEW v AS SELECT 1", "ATTACH 'x'", "ALTER TABLE c RENAME COLUMN d TO e", "USE other", "SHOW TABLES FROM other"):
         with pytest.raises(EngineError):
             session.sql(bad)
-    assert session.metrics["errors"] == 7 and len(session.audit) == session.metrics["queries"]
+    assert session.metrics["errors"] == 7 and len(session.audit) == session.metrics["queries"] == len(session.audited())
+    assert [x["sql"] for x in session.audited(session.audit[-2]["at"])] == ["USE other", "SHOW TABLES FROM other"] and session.audited(session.audit[-1]["at"] + 1) == []
 
 
 def test_unique_keeps_the_last_and_optimize_merges(session, rows):

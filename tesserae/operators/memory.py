@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,6 +24,17 @@ def latest_by_key(df: DataFrame, key: str | list[str], seq: str | list[str]) ->
     return df.groupBy(*keys).agg(last.alias("_last")).select(*(F.col(c) if c in keys else F.col(f"_last.{c}") for c in df.columns))
 
 
+def adopted(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df in this session, if it is of another one on the same context: views are by session."""
+    if df.sparkSession._jsparkSession.equals(spark._jsparkSession):
+        return df
+    df.createGlobalTempView(name := f"_adopted_{uuid.uuid4().hex[:12]}")
+    try:
+        return spark.table(f"global_temp.{name}")
+    finally:
+        spark.catalog.dropGlobalTempView(name)
+
+
 class MemoryTables:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.tables = spark, {}
@@ -55,7 +67,7 @@ class MemoryTables:
             if extra := {k for r in rows for k in r} - set(names):
                 raise EngineError(f"unknown fields {sorted(extra)}")
             rows = self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], t["schema"])
-        batch = rows.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in t["schema"]), (F.monotonically_increasing_id() + F.lit(t["next"])).alias(SEQ)).persist(StorageLevel.MEMORY_AND_DISK)
+        batch = adopted(self.spark, rows).select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in t["schema"]), (F.monotonically_increasing_id() + F.lit(t["next"])).alias(SEQ)).persist(StorageLevel.MEMORY_AND_DISK)
         n, high = batch.agg(F.count("*"), F.max(SEQ)).first()
         if n:
             t["batches"].append(batch)

@@ -13,11 +13,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.operators.graph import Graph, reach, search_ranked
+from tesserae.operators.graph import ContextStore, Graph, reach, search_ranked
 from tesserae.operators.vector import VectorRegistry, flat_search_many
 from tesserae.plans.fanout import fan_out
 from tesserae.session import Session
 from tesserae.sources import files
+from tesserae.streaming import ingest
 
 _ROOTS: list[str] = []
 
@@ -380,6 +381,92 @@ def search_ranked_docs(spark, sf_dir):
     return search_ranked(docs, "SRC1", 40).withColumn("score", F.col("score").cast("bigint"))
 
 
+def explain_pruning(spark, sf_dir):
+    """The first line of EXPLAIN: parts read of parts there."""
+    s = _load(spark, sf_dir, _ORDERS, "orders", 5, "o_orderkey")
+    found = [(k, s.sql(f"EXPLAIN SELECT * FROM orders WHERE {w}").first()[0].split("\n")[0]) for k, w in enumerate(("o_orderkey < 0", "o_orderkey >= 0"))]
+    return spark.createDataFrame(found, "k int, line string")
+
+
+def table_stats(spark, sf_dir):
+    s = _load(spark, sf_dir, _ORDERS, "orders", 4, "o_orderkey")
+    parts = s.parts("orders").agg(F.count("*").alias("listed"), F.sum("rows").alias("in_parts")).first()
+    return spark.createDataFrame([(s.stats("orders")["rows"], s.stats("orders")["parts"], parts["listed"], parts["in_parts"])], "n bigint, parts bigint, listed bigint, in_parts bigint")
+
+
+def empty_scan(spark, sf_dir):
+    s = _session(spark)
+    s.sql("CREATE TABLE none (a Int64, b String) ORDER BY a")
+    return s.sql("SELECT count(*) AS n, max(b) AS b FROM none WHERE a > 1")
+
+
+def fn_moments(spark, sf_dir):
+    return _session(spark).sql("SELECT to_timestamp_millis(1720000000000) AS ms, to_timestamp_seconds(1720000000) AS s, to_date('2024-05-06') AS d, current_date() = cast(now() AS date) AS today, log(2, 8) AS three, to_hex(255) AS h")
+
+
+def cte_recursive_distinct(spark, sf_dir):
+    """Reachability in a graph with cycles ends, as rows that were there aren't gone on from."""
+    n = f"read_parquet('{sf_dir}/nation.parquet')"
+    return _session(spark).sql(f"WITH RECURSIVE r(k) AS (SELECT 1 UNION SELECT (n_nationkey * 7 + 3) % 25 FROM r JOIN {n} ON n_nationkey = k) SELECT k, count(*) AS n FROM r GROUP BY k")
+
+
+def vector_space_life(spark, sf_dir):
+    """Spaces made, filled by rows, listed, dropped; ids go on."""
+    s = _session(spark)
+    for name in ("a", "b", "c"):
+        s.vectors.create(name, 2)
+    first = s.vectors.add("a", [[1, 0], [0, 1]], [{"t": 1}, None])
+    later = s.vectors.add("a", [[1, 1]])
+    s.vectors.drop("b")
+    return spark.createDataFrame([(",".join(sorted(s.vectors.names())), str(first + later), s.vectors.search("a", [2.0, 0.0], 1).first()["id"])], "names string, ids string, nearest bigint")
+
+
+def embed_registered(spark, sf_dir):
+    r = VectorRegistry(spark, None)
+    r.register_embedder("size", lambda t: [float(len(t)), float(t.count("A"))])
+    return _read(spark, sf_dir, "nation").select("n_nationkey", F.array_join(F.transform(r.embed_column("size", "n_name"), lambda x: x.cast("int").cast("string")), ",").alias("v"))
+
+
+def graph_changes(spark, sf_dir):
+    """Nodes and edges put in, changed and taken out; what is left around one of them."""
+    g = Graph(spark)
+    for r in _read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect():
+        g.upsert_edge(f"n/{r['n_nationkey']}", f"r/{r['n_regionkey']}", "IN")
+    g.upsert_node("r/1", ["Region"], {"name": "one"})
+    g.delete_node("n/1")
+    g.delete_edges("n/2", "r/1", "IN")
+    return g.neighbors("r/1", "in", 1).select("key", "depth")
+
+
+def context_notes(spark, sf_dir):
+    c = ContextStore(Graph(spark))
+    for r in _read(spark, sf_dir, "region").select("r_regionkey", "r_name").collect():
+        c.put(f"k{r['r_regionkey']}", title=r["r_name"], text=f"about {r['r_name']}", tags=["region"])
+    c.link("k0", "k1")
+    c.link("k1", "k2")
+    return spark.createDataFrame([(x["key"], x["title"], x["snippet"]) for x in c.find("AMERICA")] + [("path", "/".join(c.path("k0", "k2")), str(c.stats()["edges"]))], "key string, title string, said string")
+
+
+def stream_into_table(spark, sf_dir):
+    """The events as a stream of files, appended by micro-batches; run twice from one checkpoint, which adds nothing."""
+    s = _session(spark)
+    s.sql("CREATE TABLE streamed (event_id Int64, event_type String) ORDER BY event_id")
+    rows = ingest.files(s.spark, f"{sf_dir}/events.parquet*", _read(spark, sf_dir, "events").schema).select("event_id", "event_type")
+    for _ in range(2):
+        ingest.into_table(rows, s, "streamed", f"{s.store.url}/checkpoint").awaitTermination()
+    return s.sql("SELECT event_type, count(*) AS n, min(event_id) AS first FROM streamed GROUP BY event_type")
+
+
+def stream_windows(spark, sf_dir):
+    """Event-time windows of a day over the stream of events."""
+    s = _session(spark)
+    rows = ingest.files(s.spark, f"{sf_dir}/events.parquet*", _read(spark, sf_dir, "events").schema).withColumn("at", F.col("ts").cast("timestamp"))
+    own = ingest.windowed(rows, "at", "1 day", "0 seconds", ["event_type"], {"n": "count(*)", "high": "max(value)"})
+    name = f"windows_{uuid.uuid4().hex[:8]}"
+    own.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return s.spark.table(name).select(F.col("window_start").cast("timestamp_ntz").alias("day"), "event_type", "n", "high")
+
+
 def memory_latest_by_pk(spark, sf_dir):
     """Two batches into a keyed table, compacted, and read by SQL."""
     s = _session(spark)
@@ -447,6 +534,17 @@ ORACLES = {
     **{f"vector_{m}": _NEAR.format(d) for m, d in _DISTANCE.items()},
     "vector_join_label": f"select label, count(*) as n from {_ONE.format(_DISTANCE['l2'], 20)} h group by label",
     "vector_ivf_all_lists": f"select id, cast(round(d, 3) as float) as score, cast(label as varchar) as payload from {_ONE.format(_DISTANCE['cosine'], 10)} h",
+    "explain_pruning": "select * from (values (0, 'orders: 0 of 5 parts, unique (o_orderkey)'), (1, 'orders: 5 of 5 parts, unique (o_orderkey)')) t(k, line)",
+    "table_stats": "select count(*) as n, cast(4 as bigint) as parts, cast(4 as bigint) as listed, count(*) as in_parts from orders",
+    "empty_scan": "select cast(0 as bigint) as n, cast(null as varchar) as b",
+    "fn_moments": "select make_timestamp(1720000000000000) as ms, make_timestamp(1720000000000000) as s, date '2024-05-06' as d, true as today, cast(3 as double) as three, 'ff' as h",
+    "cte_recursive_distinct": "with recursive r(k) as (select 1 union select (n_nationkey * 7 + 3) % 25 from r join nation on n_nationkey = k) select k, count(*) as n from r group by k",
+    "vector_space_life": "select 'a,c' as names, '[0, 1, 2]' as ids, cast(0 as bigint) as nearest",
+    "embed_registered": "select n_nationkey, length(n_name) || ',' || (length(n_name) - length(replace(n_name, 'A', ''))) as v from nation",
+    "graph_changes": "select 'n/' || n_nationkey as key, 1 as depth from nation where n_regionkey = 1 and n_nationkey not in (1, 2)",
+    "context_notes": "select 'k' || r_regionkey as key, r_name as title, 'about ' || r_name as said from region where contains(r_name, 'AMERICA') union all select 'path', 'k0/k1/k2', '2'",
+    "stream_into_table": "select event_type, count(*) as n, min(event_id) as first from events group by event_type",
+    "stream_windows": "select time_bucket(interval '1 day', ts) as day, event_type, count(*) as n, max(value) as high from events group by 1, 2",
     "unique_ties": "select user_id, case when user_id % 7 = 0 then 'old' else 'new ' || max(event_type) end as kind from events where user_id % 7 <> 0 or user_id % 5 = 0 group by user_id",
     "fan_out_or": "select event_type, count(*) as n, min(value) as low, max(event_id) as last from events where value > 50 or user_id < 10 group by event_type",
     "fan_out_or_in_a_string": "select count(*) as n, max(user_id) as high from events where event_type <> 'view or click' and value between 10 and 60",

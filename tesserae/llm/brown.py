@@ -212,30 +212,31 @@ def _keys_of_far(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([a[after] * 2 * CLASSES + c[q[after]], b[before] * 2 * CLASSES + CLASSES + c[p[before]]])
 
 
-def _classes_of(classes: np.ndarray, ids: np.ndarray, size: int, far) -> np.ndarray:
-    """Classes of a text's words; those of its own list, of that size, are in far."""
-    if not size:
-        return classes[ids]
-    own = np.zeros(size, np.int64)
-    for x in far:
-        own[x["k"]] = x["class"]
+def _tokens(part, at: int, classes: np.ndarray):
+    """Of the texts of a slice, whose columns from at on are ids, size and far: the ids of all tokens, their classes, the counts of those
+    that aren't known, and where each text begins."""
+    coded, sizes, far = part.columns[at : at + 3]
+    ids = np.frombuffer(b"".join(coded.to_pylist()), "<u4").astype(np.int64)
+    length = pc.binary_length(coded).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    sizes = sizes.to_numpy(zero_copy_only=False).astype(np.int64)
+    base, item = np.cumsum(sizes) - sizes, far.flatten()
+    owner = np.repeat(np.arange(len(sizes)), pc.list_value_length(far).fill_null(0).to_numpy(zero_copy_only=False))
+    place = base[owner] + item.field("k").to_numpy(zero_copy_only=False)
+    own, n = np.zeros(int(sizes.sum()), np.int64), np.zeros(int(sizes.sum()), np.int64)
+    own[place], n[place] = item.field("class").to_numpy(zero_copy_only=False), item.field("n").to_numpy(zero_copy_only=False)
     other = ids >= KNOWN
-    out = classes[np.where(other, 0, ids)]
-    out[other] = own[ids[other] - KNOWN]
-    return out
+    where = ids[other] - KNOWN + np.repeat(base, length)[other]
+    c = classes[np.where(other, 0, ids)]
+    c[other] = own[where]
+    return ids, c, n[where], np.cumsum(length) - length
 
 
 def _transitions(shared):
     def run(batches):
         classes, total = shared.value, np.zeros(ALL * ALL, np.int64)
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
-                runs = [classes[:1]]
-                for data, size, far in zip(*(c.to_pylist() for c in part.columns)):
-                    ids = np.frombuffer(data, "<u4")
-                    runs.append(_classes_of(classes, ids, size, far))
-                c = np.concatenate(runs)
+            for part in slices(batch, 0):
+                c = np.append(classes[:1], _tokens(part, 0, classes)[1])  # each text ends with the end token, and so begins after one
                 total += np.bincount(c[:-1] * ALL + c[1:], minlength=ALL * ALL)
         keys = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(total[keys], pa.int64())], ["key", "n"])
@@ -374,20 +375,15 @@ def _score(shared):
     def run(batches):
         classes, table, logs, sure = shared.value
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc, held, n, data, size, far in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = np.frombuffer(data, "<u4")
-                c = np.concatenate([classes[:1], _classes_of(classes, ids, size, far)])
-                known = ids[ids < KNOWN]
-                seen = np.zeros(size)
-                for x in far or []:
-                    seen[x["k"]] = x["n"]
-                seen = seen[ids[ids >= KNOWN] - KNOWN]
-                words = float(logs[known].sum()) + float(np.log10(seen + 0.5).sum())
-                for column, value in zip(out, (doc, held, n, int(sure[known].sum()) + int((seen > 0).sum()), words, float(table[c[:-1], c[1:]].sum()))):
-                    column.append(value)
-            types = (batch.column(0).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["doc_id", "held_out", "n_tokens", "n_known", "logs", "classes"])
+            for part in slices(batch, 3):
+                ids, c, n, starts = _tokens(part, 3, classes)
+                other = ids >= KNOWN
+                near = np.where(other, 0, ids)
+                words, known = logs[near], sure[near].astype(np.int64)
+                words[other], known[other] = np.log10(n + 0.5), n > 0
+                moved = table[np.append(classes[:1], c[:-1]), c]
+                sums = [np.add.reduceat(x, starts) for x in (known, words, moved)]  # no text is without its end token
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *map(pa.array, sums)], ["doc_id", "held_out", "n_tokens", "n_known", "logs", "classes"])
 
     return run
 

@@ -158,13 +158,13 @@ def _contexts(shared):
                 ids = np.minimum(_ids(part.column(0)), PLACED)
                 a, b = ids[:-1], ids[1:]
                 total += np.bincount(_keys(a, b, c, a < PLACED, b < PLACED), minlength=len(total))
-        yield from _vectors(total)
+        yield from _vectors(total, np.uint32)
 
     return run
 
 
-def _vectors(total: np.ndarray):
-    counts = total.reshape(-1, 2 * CLASSES)
+def _vectors(total: np.ndarray, kind):
+    counts = total.reshape(-1, 2 * CLASSES).astype(kind)
     words = np.flatnonzero(counts.any(axis=1))
     for i in range(0, len(words), 4096):
         part = words[i : i + 4096]
@@ -176,8 +176,8 @@ def _sums(batches):
     total = np.zeros((PLACED, 2 * CLASSES), np.int64)
     for batch in batches:
         if batch.num_rows:
-            np.add.at(total, batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64).reshape(batch.num_rows, -1))
-    yield from _vectors(total.ravel())
+            np.add.at(total, batch.column(0).to_numpy(), np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, -1))
+    yield from _vectors(total.ravel(), np.int64)
 
 
 def _far_contexts(shared, known):

@@ -10,6 +10,9 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tesserae.plans.engine_queries import warehouse
+from tesserae.session import Session
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 #: name -> (Spark SQL, DuckDB SQL)
@@ -27,12 +30,19 @@ def tables_in(sql: str) -> list[str]:
     return [t for t in TABLES if t in words]
 
 
+#: Engine sessions by context and Spark session: made once.
+_SESSIONS: dict[tuple, Session] = {}
+
+
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plan one catalogue query over the tables of sf_dir; only the tables it names are looked at."""
-    sql = CATALOGUE[name][0]
+    """Plan one catalogue query over the tables of sf_dir, as an engine session does; only the tables it names are looked at."""
+    sql, key = CATALOGUE[name][0], (spark.sparkContext.applicationId, spark._jsparkSession.hashCode())
+    if key not in _SESSIONS:
+        _SESSIONS[key] = Session(spark, warehouse(spark))
+    own = _SESSIONS[key]
     for t in tables_in(sql):
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(sql)
+        own.spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    return own.sql(sql)
 
 
 def queries() -> dict:
@@ -130,7 +140,7 @@ define("agg_stats", "select event_type, round(stddev_samp(value), 6) as sd, roun
 define("agg_percentile", "select o_orderstatus, round(percentile_cont(0.5) within group (order by o_totalprice), 4) as med, round(percentile_cont(0.9) within group (order by o_totalprice), 4) as p90, round(median(o_totalprice), 4) as med2 from orders group by o_orderstatus")
 define("agg_bitwise", "select o_orderstatus, bit_and(o_orderkey) as ba, bit_or(o_orderkey) as bo, bit_xor(o_orderkey) as bx, bool_and(o_totalprice > 0) as alls, bool_or(o_totalprice > 400000) as anys from orders group by o_orderstatus")
 define("agg_string_agg", "select n_regionkey, array_join(array_sort(collect_list(n_name)), ',') as names from nation group by n_regionkey", "select n_regionkey, string_agg(n_name, ',' order by n_name) as names from nation group by n_regionkey")
-define("agg_array", "select c_nationkey, cast(size(collect_list(c_custkey)) as bigint) as n, array_sort(collect_list(c_custkey))[0] as least from customer group by c_nationkey", "select c_nationkey, len(array_agg(c_custkey)) as n, list_sort(array_agg(c_custkey))[1] as least from customer group by c_nationkey")
+define("agg_array", "select c_nationkey, cast(size(collect_list(c_custkey)) as bigint) as n, array_sort(collect_list(c_custkey))[1] as least from customer group by c_nationkey", "select c_nationkey, len(array_agg(c_custkey)) as n, list_sort(array_agg(c_custkey))[1] as least from customer group by c_nationkey")
 define("agg_first_last", "select user_id, min_by(event_type, event_id) as first_type, max_by(event_type, event_id) as last_type from events group by user_id")
 define("agg_conditional", "select o_orderpriority, sum(case when o_orderstatus = 'F' then 1 else 0 end) as done, round(sum(case when o_orderstatus = 'F' then o_totalprice else 0.0 end) / sum(o_totalprice), 8) as share from orders group by o_orderpriority", "select o_orderpriority, cast(sum(case when o_orderstatus = 'F' then 1 else 0 end) as bigint) as done, round(sum(case when o_orderstatus = 'F' then o_totalprice else 0.0 end) / sum(o_totalprice), 8) as share from orders group by o_orderpriority")
 define("agg_approx_percentile", "select abs(approx_percentile(o_totalprice, 0.5, 10000) / percentile(o_totalprice, 0.5) - 1) < 0.01 as close, abs(approx_count_distinct(o_custkey) * 1.0 / count(distinct o_custkey) - 1) < 0.15 as near from orders", "select true as close, true as near")

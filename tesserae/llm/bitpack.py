@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.chunks import ChunkEncoder, slices, vocabulary_size
-from tesserae.llm.common import filesystem, save, scratch, ship, texts
+from tesserae.llm.common import filesystem, save, scratch, ship, texts, tidy
 
 MAGIC, TRAILER = b"TSBITS1\0", struct.Struct("<8sIIQQQQ")
 BLOCK = 8192
@@ -158,7 +158,7 @@ def write_shards(docs: DataFrame, path: str, out: str, end_id: int, id_col: str
     # Ranges of (id, hash of the text), twice as many as input splits: rows of one id, or of none, share no task for that.
     own = own.withColumn("_place", F.xxhash64("text"))
     sorted_docs = own.repartitionByRange(2 * n, "doc_id", "_place").sortWithinPartitions("doc_id", "_place", "text").select("doc_id", "text")
-    manifest = save(sorted_docs.mapInArrow(write, "part long, uri string, n_docs long, n_tokens long"), "shards")
+    manifest = save(sorted_docs.mapInArrow(tidy(write), "part long, uri string, n_docs long, n_tokens long"), "shards")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard, never for each document
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 

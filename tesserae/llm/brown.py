@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.chunks import Numbered, slices
-from tesserae.llm.common import discard, id_crc, most_frequent, save, ship, texts
+from tesserae.llm.common import discard, id_crc, most_frequent, save, ship, texts, tidy
 
 TOP, PLACED, KNOWN = 2_048, 16_384, 100_000
 CLASSES, RARE = 64, 64
@@ -330,7 +330,7 @@ def _sweep(coded: DataFrame, classes: np.ndarray, transitions: np.ndarray | None
     """Classes of the PLACED words after one distributed sweep in which movable ones may move, and their transitions before it."""
     spark = coded.sparkSession
     shared = spark.sparkContext.broadcast(classes)
-    tasks = coded.where("not held_out").select("ids").mapInArrow(_contexts(shared), "word long, counts binary")
+    tasks = coded.where("not held_out").select("ids").mapInArrow(tidy(_contexts(shared)), "word long, counts binary")
     rows = tasks.repartition(16, "word").mapInArrow(_sums, "word long, counts binary").toArrow()  # PLACED rows of a KB at most
     counts = np.zeros((PLACED, 2 * CLASSES), np.int64)
     if rows.num_rows:
@@ -399,7 +399,7 @@ def _cluster(coded: DataFrame, known, counts: DataFrame, names: list[str]) -> tu
     for k in range(1, PASSES):
         classes, transitions = _sweep(coded, classes, None, half if k % 2 else ~half)
     shared = spark.sparkContext.broadcast(classes)
-    contexts = coded.where("not held_out").select("ids", "rare").mapInArrow(_far_contexts(shared, known), "word string, at short, n long")
+    contexts = coded.where("not held_out").select("ids", "rare").mapInArrow(tidy(_far_contexts(shared, known)), "word string, at short, n long")
     far = _moves(contexts.groupBy("word", "at").agg(F.sum("n").alias("n")), "word", "string", transitions)
     near = spark.createDataFrame([(w, int(classes[k])) for k, w in enumerate(names[:PLACED]) if classes[k] >= 0], "word string, class int")
     found = save(far.unionByName(near), "placed")
@@ -433,19 +433,19 @@ def _attach(coded: DataFrame, words: DataFrame) -> DataFrame:
 def fit(own: DataFrame) -> tuple[Model, DataFrame]:
     """The model of the rows (doc_id, text, held_out) that aren't held out, and all rows, encoded for scoring."""
     spark, kind = own.sparkSession, own.schema["doc_id"].dataType.simpleString()
-    counts = save(own.where("not held_out").select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "words")
+    counts = save(own.where("not held_out").select("text").mapInArrow(tidy(_count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "words")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = most_frequent(counts.where(F.col("word") != END), KNOWN - 1, "n", "word").select("word", "n").toArrow()
     names = [END, *top.column(0).to_pylist()]
     number = np.zeros(KNOWN, np.int64)
     number[: len(names)] = [(counts.where(F.col("word") == END).select("n").first() or [0])[0], *top.column(1).to_pylist()]
     known = spark.sparkContext.broadcast(pa.array(names, pa.string()))
-    coded = save(own.mapInArrow(_encode(known), f"row long, doc_id {kind}, held_out boolean, n_tokens long, ids binary, rare array<string>"), "coded")
+    coded = save(own.mapInArrow(tidy(_encode(known)), f"row long, doc_id {kind}, held_out boolean, n_tokens long, ids binary, rare array<string>"), "coded")
     words, classes = _cluster(coded, known, counts, names)
     whole = save(_attach(coded, words), "coded-far")
 
     shown = spark.sparkContext.broadcast(classes)
-    rows = whole.where("not held_out").select("ids", "size", "far").mapInArrow(_transitions(shown), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    rows = whole.where("not held_out").select("ids", "size", "far").mapInArrow(tidy(_transitions(shown)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     moves = _dense(rows.toArrow(), ALL * ALL).reshape(ALL, ALL)
     said, types = np.zeros(ALL), np.zeros(ALL)
     for r in words.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect():  # ALL rows
@@ -472,7 +472,7 @@ def score(docs: DataFrame, modulus: int = 5, rest: int = 1, id_col: str = "doc_i
     model, whole = fit(own)
     base = float(np.log10(model.total + 0.5 * (model.kinds + 1)))
     shared = spark.sparkContext.broadcast((model.classes, model.table, np.log10(model.number + 0.5), model.number > 0))
-    rows = whole.select("doc_id", "held_out", "n_tokens", "ids", "size", "far").mapInArrow(_score(shared), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, classes double")
+    rows = whole.select("doc_id", "held_out", "n_tokens", "ids", "size", "far").mapInArrow(tidy(_score(shared)), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, classes double")
     return (
         rows.select(
             "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),

@@ -49,6 +49,25 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tesserae/{name}-{uuid.uuid4().hex}"
 
 
+def tidy(run):
+    """run, a function for mapInArrow, after which the worker gives back the memory that it doesn't use: workers stay for the
+    tasks to come, and those of several stages may be there at a time."""
+
+    def own(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return own
+
+
 def filesystem(uri: str):
     """pyarrow's file system and path of a URI, as Spark writes it; for what isn't read or written by Spark itself."""
     from pyarrow import fs

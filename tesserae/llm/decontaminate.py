@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import save, ship, texts
+from tesserae.llm.common import save, ship, texts, tidy
 
 BLOCK_WORDS = 200_000
 
@@ -208,7 +208,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str
     automata = (spark.sparkContext.broadcast(SuffixAutomaton(items, window)) for items in blocks(benchmark, item_col, item_text_col, window))
     first, second = next(automata), next(automata, None)
     if second is None:
-        return out.mapInArrow(_mark(first, at), schema)
+        return out.mapInArrow(tidy(_mark(first, at)), schema)
     digest = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     keyed = docs.where(F.col(text_col).isNotNull()).select(digest.alias("key"), F.col(text_col).cast("string").alias("text"))
     found = None

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import id_crc, ship
+from tesserae.llm.common import id_crc, ship, tidy
 
 #: Rows of a language, and of all, that the machines are fitted on at most.
 PER_LANGUAGE, SAMPLE = 700, 8_000
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
                 ["hash", "lang", "at", "n"],
             )
 
-    rows = picked.select("hash", "text", "lang").mapInArrow(run, "hash long, lang string, at array<int>, n array<int>").toArrow()
+    rows = picked.select("hash", "text", "lang").mapInArrow(tidy(run), "hash long, lang string, at array<int>, n array<int>").toArrow()
     if not rows.num_rows:
         return None
     order = sorted(range(rows.num_rows), key=lambda k: (rows.column(1)[k].as_py(), rows.column(0)[k].as_py()))
@@ -176,7 +176,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     names = keep or []
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *names)
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "text"]
-    return own.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model), names), ", ".join([*kinds, "lang_pred string", "score double"]))
+    return own.mapInArrow(tidy(_predict(docs.sparkSession.sparkContext.broadcast(model), names)), ", ".join([*kinds, "lang_pred string", "score double"]))
 
 
 def held_out(docs: DataFrame, modulus: int = 3, rest: int = 1, id_col: str = "doc_id"):
@@ -202,4 +202,4 @@ def keep_known(docs: DataFrame, model: Model | None, min_score: float = 0.0, tex
                 yield part.filter(pa.array(ok, pa.bool_()))
 
     ship(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

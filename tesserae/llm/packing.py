@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.chunks import ChunkEncoder, slices
-from tesserae.llm.common import save, ship, texts
+from tesserae.llm.common import save, ship, texts, tidy
 
 
 class SegmentTree:
@@ -155,7 +155,7 @@ def pack_documents(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0
     ship(spark)
     own = texts(docs, id_col, text_col)
     kind = own.schema["doc_id"].dataType.simpleString()
-    pieces = save(own.mapInArrow(_pieces(path, end_id, size), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, rank long, part long"), "pieces")
+    pieces = save(own.mapInArrow(tidy(_pieces(path, end_id, size)), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, rank long, part long"), "pieces")
     counts = save(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # size rows at most
     slots = np.array(sorted(plan(histogram, size)) or np.empty((0, 6)), dtype=np.int64).T

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import discard, lookup, save, ship, texts
+from tesserae.llm.common import discard, lookup, save, ship, texts, tidy
 from tesserae.llm.components import components
 
 DISTANCE, BUCKET = 2, 64
@@ -121,7 +121,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ship(docs.sparkSession)
     own = keyed_texts(docs, id_col, text_col)
     kind = own.schema["doc_id"].dataType.simpleString()
-    prints = save(own.mapInArrow(_fingerprints, f"doc_id {kind}, text_hash long, fp long"), "fingerprints")
+    prints = save(own.mapInArrow(tidy(_fingerprints), f"doc_id {kind}, text_hash long, fp long"), "fingerprints")
     kinds = save(prints.groupBy("fp").agg(F.count("*").alias("n"), least_key()), "kinds")
     return by_component(prints, kinds, components(links(kinds)))
 

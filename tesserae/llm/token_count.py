@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.chunks import PreTokens, slices
-from tesserae.llm.common import most_frequent, save, ship, texts
+from tesserae.llm.common import most_frequent, save, ship, texts, tidy
 
 #: Pre-tokens whose counts every task holds: at most some 5 MB, whatever the input.
 HOT = 150_000
@@ -104,11 +104,11 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
     ship(spark)
     own = texts(docs, id_col, text_col)
     id_type = own.schema["doc_id"].dataType.simpleString()
-    found = own.select("text").mapInArrow(_distinct(path), "word string, uses long").groupBy("word").agg(F.sum("uses").alias("uses"))
-    table = save(found.mapInArrow(_pieces(path), "word string, uses long, pieces int"), "pre-tokens")
+    found = own.select("text").mapInArrow(tidy(_distinct(path)), "word string, uses long").groupBy("word").agg(F.sum("uses").alias("uses"))
+    table = save(found.mapInArrow(tidy(_pieces(path)), "word string, uses long, pieces int"), "pre-tokens")
     top = most_frequent(table, HOT, "uses", "word").select("word", "pieces").toArrow().combine_chunks()
     hot = spark.sparkContext.broadcast((pa.concat_arrays(top.column(0).chunks), top.column(1).to_numpy().astype("int64")) if top.num_rows else (pa.array([], pa.string()), np.zeros(1, np.int64)))
-    rows = own.mapInArrow(_sums(hot, path), f"row long, doc_id {id_type}, n_bytes long, sure long, word string, n long")
+    rows = own.mapInArrow(tidy(_sums(hot, path)), f"row long, doc_id {id_type}, n_bytes long, sure long, word string, n long")
     return (
         rows.join(table.select("word", "pieces"), "word", "left")
         .groupBy("row", "doc_id").agg(F.sum("n_bytes").alias("n_bytes"), F.sum(F.col("sure") + F.coalesce(F.col("n") * F.col("pieces"), F.lit(0))).alias("n_tokens"))

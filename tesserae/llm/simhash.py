@@ -154,8 +154,8 @@ def keep_one(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> D
     hash_name, id_name = (next(n for n in (f"_{x}{k}" for k in range(1 << 20)) if n not in docs.columns) for x in ("text_hash", "id"))
     marked = docs.withColumn(hash_name, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     gone = gone.select(F.col("doc_id").alias(id_name), F.col("text_hash").alias(f"{hash_name}_gone"))
-    # The hash of the text leads the join: rows without an id, or with one that repeats, are spread by it.
-    out = marked.join(gone, (F.col(hash_name) == F.col(f"{hash_name}_gone")) & F.col(id_col).eqNullSafe(F.col(id_name)), "left_anti")
+    # The hash of the text leads the join: rows without an id, or with one that repeats, are spread by it.  A merge at any size: what goes grows with docs.
+    out = marked.join(gone.hint("merge"), (F.col(hash_name) == F.col(f"{hash_name}_gone")) & F.col(id_col).eqNullSafe(F.col(id_name)), "left_anti")
     if twice:
         out = out.dropDuplicates([id_col, hash_name])
     return out.select(docs.columns)

@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 
 #: Bytes of chunks that a worker keeps, and of texts gone through at a time; a chunk of more than LONGEST bytes isn't kept for long.
 BUDGET, STEP, LONGEST = 48 << 20, 3 << 20, 256
+#: Bytes of strings hashed, and pre-tokens given to the library's model, at a time.
+HASHED, MODELLED = 1 << 20, 1 << 15
 
 _CUT = re.compile(r" (?=\S)")
 #: A blank before white space or at the end: a text that has one isn't cut at each of its blanks.
@@ -73,7 +75,13 @@ _MULTIPLIERS = np.random.default_rng(5).integers(0, 1 << 63, 64, dtype=np.uint64
 
 
 def hashes(names: pa.StringArray) -> np.ndarray:
-    """64-bit hashes of strings, all at once."""
+    """64-bit hashes of strings, HASHED bytes of them at a time: each byte takes some forty on the way."""
+    ends = np.cumsum(pc.binary_length(names).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = np.searchsorted(ends, np.arange(HASHED, int(ends[-1]) if len(ends) else 0, HASHED), "right").tolist()
+    return np.concatenate([_hashes(names.slice(a, b - a)) for a, b in itertools.pairwise([0, *cuts, len(names)])])
+
+
+def _hashes(names: pa.StringArray) -> np.ndarray:
     offsets = np.frombuffer(names.buffers()[1], np.int32)[names.offset : names.offset + len(names) + 1].astype(np.int64)
     data = np.frombuffer(names.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(names) else np.empty(0, np.uint8)
     offsets = offsets - offsets[0]
@@ -100,6 +108,14 @@ class Numbered:
     def nbytes(self) -> int:
         return self.words.nbytes + self.hash.nbytes + self.table.nbytes
 
+    def kept(self, numbers: np.ndarray) -> Numbered:
+        """Only the strings of these ascending numbers, numbered anew in their order; nothing is hashed again."""
+        out = Numbered()
+        out.words, out.hash = self.words.take(pa.array(numbers)), self.hash[numbers]
+        out.table = np.full(max(1 << 12, 1 << (4 * len(numbers)).bit_length()), -1, np.int32)
+        out._put(0)
+        return out
+
     def _put(self, first: int) -> None:
         """Enter the numbers from first on."""
         mask, left = len(self.table) - 1, np.arange(first, len(self.hash), dtype=np.int32)
@@ -258,13 +274,11 @@ class Chunks:
 
     def compact(self) -> None:
         """Keep what most slices have used, up to half the budget."""
-        words = self.keys.words
-        length = pc.binary_length(words).to_numpy().astype(np.int64)
+        length = pc.binary_length(self.keys.words).to_numpy().astype(np.int64)
         order = np.argsort(np.where(length > LONGEST, 0, -self.hits), kind="stable")
         kept = np.sort(order[np.cumsum((length + 52 + 4 * self.sizes)[order]) <= BUDGET // 2])
         self.pool = gather(self.pool, self.starts[kept], self.sizes[kept])
-        self.keys, self.sizes, self.hits = Numbered(), self.sizes[kept], self.hits[kept] // 2
-        self.keys.of(words.take(pa.array(kept)))
+        self.keys, self.sizes, self.hits = self.keys.kept(kept), self.sizes[kept], self.hits[kept] // 2
         self.starts = np.cumsum(self.sizes) - self.sizes
 
 
@@ -323,7 +337,12 @@ class ChunkEncoder(Chunks):
         return out, sizes
 
     def _model(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct pre-tokens, joined, and how many each has, by the library's model: told apart by the signs their ids stand for."""
+        """Ids of distinct pre-tokens, joined, and how many each has, by the library's model, MODELLED at a time: its results are large."""
+        found = [self._some(names[i : i + MODELLED]) for i in range(0, len(names), MODELLED)] or [self._some([])]
+        return np.concatenate([ids for ids, _ in found]), np.concatenate([sizes for _, sizes in found])
+
+    def _some(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Those of some pre-tokens, told apart by the signs their ids stand for."""
         found = [x.ids for x in self.bare.encode_batch_fast([" ".join(names[i : i + 256]) for i in range(0, len(names), 256)], add_special_tokens=False)]
         ids = np.fromiter(itertools.chain.from_iterable(found), np.uint32)
         ends, wanted = np.cumsum(self.signs[ids]), np.cumsum(np.fromiter(map(len, names), np.int64, len(names)))

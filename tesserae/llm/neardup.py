@@ -1,15 +1,19 @@
 """Near-duplicates by word shingles: documents are linked at a Jaccard similarity of SIMILAR = 0.8 or more.
 
-SimHash can't do this: at a similarity of 0.8 its fingerprints differ in some ten of 64 bits, too many for candidates
-that are few.  So candidates come from min-hashes here.  Documents are sets of WORDS-word shingles; equal sets collapse
-to a class first.  Candidates agree in all ROWS minima of one of BANDS bands: at a similarity of 0.8 a pair is missed with a
+Documents are sets of WORDS-word shingles; equal sets collapse to a class first.  SimHash comes before all else: classes
+with one fingerprint, and fingerprints that the pigeonring search of simhash.py finds within its distance, are candidates.
+
+Alone it can't do this: at a similarity of 0.8 fingerprints differ in some ten of 64 bits, a distance at which the ring
+leaves nearly all pairs.  So links of classes further apart, in different components of those found so far, come from min-hashes.
+Candidates agree in all ROWS minima of one of BANDS bands: at a similarity of 0.8 a pair is missed with a
 chance of (1 - 0.8^4)^24, 3 in a million.  Those whose sizes or whose minima, of which a byte each is kept, are too
-far apart go; the others are verified on the shingles themselves, so no link is false.  These are made in a second pass over
-the texts, for candidates only: no shingles are stored or shuffled for documents without any.
+far apart go, as do SimHash's; the others are verified on the shingles themselves, so no link is false.  These are made in further
+passes over the texts, for candidates only: no shingles are stored or shuffled for documents without any.
 
 Bands with up to BUCKET classes are paired off.  In a larger one (a large group of near copies, or a passage that
 many share) all classes are first compared with CENTRES of them.  What those links leave in several components is compared
-block by block, min-hash by min-hash, across components only, the most similar first; pairs that look similar are verified like all others.
+block by block, each with each, across components only, where min-hashes look similar: on the shingles, which go with the classes
+into the blocks, so that there is no row for a pair unless it links two components of its block.
 """
 
 from __future__ import annotations
@@ -21,16 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm import simhash
 from tesserae.llm.chunks import slices
 from tesserae.llm.common import discard, lookup, save, ship, tidy
 from tesserae.llm.components import components
-from tesserae.llm.simhash import by_component, keep_one, keyed_texts, least_key
+from tesserae.llm.simhash import by_component, keep_one, keyed_texts, least_key, majority
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
 BUCKET, CENTRES, BLOCK = 32, 2, 512
-#: How many of those that look most like a class it is compared with across components, round by round, before all that are left.
-NEAREST = (2, 4)
+#: Hashes of a block of classes that are compared across components, if BLOCK of them have more.
+HASHES = 1 << 20
 #: Size of the bitmap of candidates, by which all others are left out.
 BITS = 26
 #: Share of equal minima below which a pair isn't verified in a block: over three deviations under SIMILAR.
@@ -66,7 +71,7 @@ def _sketches(batches):
 
     for batch in batches:
         for part in slices(batch, 1):
-            columns: tuple[list, ...] = ([], [], [], [])
+            columns: tuple[list, ...] = ([], [], [], [], [])
             for text in part.column(1).to_pylist():
                 hashes = shingles(text)
                 low = minima(hashes)
@@ -75,8 +80,9 @@ def _sketches(batches):
                 columns[1].append(len(hashes))
                 columns[2].append([xxh64_intdigest(raw[4 * ROWS * k : 4 * ROWS * (k + 1)], k) - (1 << 63) for k in range(BANDS)] if len(hashes) else [])
                 columns[3].append(low.astype(np.uint8).tobytes())
-            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", "text_hash", "fp", "size", "keys", "sig"])
+                columns[4].append(majority(hashes))
+            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", "text_hash", "fp", "size", "keys", "sig", "print"])
 
 
 def _looks(batches):
@@ -118,48 +124,94 @@ def _bits(wanted: DataFrame) -> np.ndarray:
     return out
 
 
-def _across(most: int | None):
-    """Pairs of two blocks of a band, or of one with itself, that look similar and are in different components; of each class the
-    `most` that look most similar, or all."""
-
-    def run(table: pa.Table) -> pa.Table:
-        left = np.array(table.column("left").to_pylist(), bool)
-        fp, root = table.column("fp").to_numpy(), table.column("root").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(fp), -1)
-        own, other = np.flatnonzero(left), np.flatnonzero(~left)
-        other = other if len(other) else own
-        found = []
-        for i in own:
-            like = (sig[other] == sig[i]).mean(axis=1)
-            near = np.flatnonzero((root[other] != root[i]) & (like >= LOOKS))
-            near = other[near[np.argsort(-like[near], kind="stable")[:most]]]
-            found.append(np.stack([np.minimum(fp[i], fp[near]), np.maximum(fp[i], fp[near])]))
-        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each of xs shares with each of ys."""
+    out = np.zeros((len(xs), len(ys)), np.float32)  # whole numbers up to 2^24
+    values = np.intersect1d(np.concatenate(xs), np.concatenate(ys))
 
-    return run
+    def marks(sets: list[np.ndarray], some: np.ndarray) -> np.ndarray:
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(some, flat), len(some) - 1)
+        hit, found = some[at] == flat, np.zeros((len(sets), len(some)), np.float32)
+        found[row[hit], at[hit]] = 1
+        return found
+
+    for k in range(0, len(values), 4096):
+        some = values[k : k + 4096]
+        out += marks(xs, some) @ marks(ys, some).T
+    return out
+
+
+def _across(table: pa.Table) -> pa.Table:
+    """Similar classes of two blocks of a band, or of one with itself, that are in different components: as many pairs as join all
+    that are, and no more."""
+    left = np.array(table.column("left").to_pylist(), bool)
+    fp, root = table.column("fp").to_numpy(), table.column("root").to_numpy()
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(fp), -1)
+    own, other = np.flatnonzero(left), np.flatnonzero(~left)
+    other = other if len(other) else own
+    near = np.stack([(root[other] != root[i]) & ((sig[other] == sig[i]).mean(axis=1) >= LOOKS) for i in own]) if len(own) else np.zeros((0, len(other)), bool)
+    own, other, near = own[near.any(axis=1)], other[near.any(axis=0)], near[near.any(axis=1)][:, near.any(axis=0)]
+    found, up = [], {}
+
+    def top(x: int) -> int:
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    if len(own):
+        sets = [np.frombuffer(x, "<u8") for x in table.column("hashes").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        both = _common([sets[i] for i in own], [sets[i] for i in other])
+        for i, j in zip(*np.nonzero(near & (5 * both >= 4 * (sizes[own][:, None] + sizes[other] - both)))):  # as in similar()
+            p, q = top(int(root[own[i]])), top(int(root[other[j]]))
+            if p != q:
+                up[p] = q
+                found.append(sorted((int(fp[own[i]]), int(fp[other[j]]))))
+    return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+
+def _ring(kinds: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that SimHash tells: all of one fingerprint with the least of them, and the least of two that are near."""
+    prints = save(kinds.groupBy("print").agg(F.count("*").alias("n"), F.min("fp").alias("a")), "ring-prints")
+    equal = lookup(kinds.select("print", F.col("fp").alias("b")), prints, "print", "n").select("a", "b").where("a <> b")
+    near = simhash.links(prints.select(F.col("print").alias("fp")))  # no fingerprint is in more than 65 * 64 of these
+    least = lambda x: prints.select(F.col("print").alias(x), F.col("a").alias(f"least_{x}"))
+    return equal.unionByName(near.join(least("a"), "a").join(least("b"), "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b")))
 
 
 def links(kinds: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified edges (a, b) between classes; kinds has fp, text_hash, size, keys and sig, docs has text_hash and text."""
+    """Verified edges (a, b) between classes; kinds has fp, text_hash, size, keys, sig and print, docs has text_hash and text."""
     spark = kinds.sparkSession
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        of = lambda x, y: kinds.select(F.col("fp").alias(x), F.col("size").alias(f"size_{x}"), F.col("sig").alias(f"sig_{y}"))
-        near = pairs.join(of("a", "a"), "a").join(of("b", "b"), "b").select("a", "b", "size_a", "size_b", "sig_a", "sig_b")
-        near = save(near.mapInArrow(_looks, "a long, b long"), "pairs")
-        ends = near.select(F.col("a").alias("fp")).union(near.select("b")).distinct()
-        wanted = save(ends.join(kinds.select("fp", "text_hash"), "fp"), "candidates")
+    def rooted(edges: DataFrame) -> DataFrame:
+        return save(components(edges).select(F.col("node").alias("fp"), "root"), "link-roots")
+
+    def hashed(classes: DataFrame) -> DataFrame:
+        """(fp, hashes) of classes (fp)."""
+        wanted = save(classes.join(kinds.select("fp", "text_hash"), "fp"), "candidates")
         marks = spark.sparkContext.broadcast(_bits(wanted))
         made = docs.select("text_hash", "text").mapInArrow(tidy(_shingles_of(marks)), "text_hash long, hashes binary")
-        sets = save(made.join(wanted, "text_hash").select("fp", "hashes").dropDuplicates(["fp"]), "candidate-sets")
+        out = save(made.join(wanted, "text_hash").select("fp", "hashes").dropDuplicates(["fp"]), "candidate-sets")
+        discard(wanted)
+        return out
+
+    def verified(pairs: DataFrame, name: str, roots: DataFrame | None = None) -> DataFrame:
+        """Those of pairs that are similar, without any that are in one component if roots are given."""
+        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        placed = kinds.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")) if roots else kinds.withColumn("root", F.col("fp"))
+        of = lambda x, y: placed.select(F.col("fp").alias(x), F.col("size").alias(f"size_{x}"), F.col("sig").alias(f"sig_{y}"), F.col("root").alias(f"root_{x}"))
+        near = pairs.join(of("a", "a"), "a").join(of("b", "b"), "b").where("root_a <> root_b").select("a", "b", "size_a", "size_b", "sig_a", "sig_b")
+        near = save(near.mapInArrow(_looks, "a long, b long"), "pairs")
+        sets = hashed(near.select(F.col("a").alias("fp")).union(near.select("b")).distinct())
         first = near.join(sets.select(F.col("fp").alias("a"), F.col("hashes").alias("x")), "a")
         both = first.join(sets.select(F.col("fp").alias("b"), F.col("hashes").alias("y")), "b")
         out = save(both.select("a", "b", "x", "y").mapInArrow(tidy(_verify), "a long, b long"), name)
-        discard(near, wanted, sets)
+        discard(near, sets)
         return out
 
+    close = verified(_ring(kinds), "links-ring")
+    roots = rooted(close)
     keyed = kinds.select("fp", F.explode("keys").alias("key"))
     centres = F.array(*(F.min(F.struct(F.xxhash64(F.col("fp"), F.lit(k)).alias("h"), "fp"))["fp"] for k in range(CENTRES)))
     sizes = save(keyed.groupBy("key").agg(F.count("*").alias("n"), centres.alias("centres")).where("n > 1"), "band-sizes")
@@ -167,26 +219,25 @@ def links(kinds: DataFrame, docs: DataFrame) -> DataFrame:
     paired = keyed.join(sizes.where(f"n <= {BUCKET}").select("key"), "key").groupBy("key").agg(F.collect_list("fp").alias("fps")).select(F.explode(pair).alias("p")).select("p.a", "p.b")
     large = sizes.where(f"n > {BUCKET}")
     crowded = save(lookup(keyed, large, "key", "n").where("centres is not null"), "crowded-bands")
-    edges = verified(paired.unionByName(crowded.select(F.col("fp").alias("a"), F.explode("centres").alias("b"))), "links")
-
-    # Each class goes to what looks most like it in another component, twice, and then to all that is left: most is linked by then.
-    for most in (*NEAREST, None):
-        roots = save(components(edges).select(F.col("node").alias("fp"), "root"), "link-roots")
-        placed = save(crowded.select("key", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "crowded-roots")
-        # Several components: blocks of some BLOCK classes by hash, each with each.
-        open_ = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
-        open_ = save(open_.select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open-bands")
-        rest = lookup(placed, open_, "key", "n").where("blocks is not null").join(kinds.select("fp", "sig"), "fp")
+    edges = close.unionByName(verified(paired.unionByName(crowded.select(F.col("fp").alias("a"), F.explode("centres").alias("b"))), "links", roots))
+    discard(roots)
+
+    # Several components: blocks of some BLOCK classes by hash, each with each; pairs are never rows, but for those that link.
+    roots = rooted(edges)
+    placed = crowded.select("key", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).join(kinds.select("fp", "size"), "fp")
+    placed = save(placed, "crowded-roots")
+    open_ = placed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("m"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
+    open_ = save(open_.select("key", "n", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("m") / HASHES)).cast("int").alias("blocks")), "open-bands")
+    if not open_.isEmpty():
+        rest = save(lookup(placed, open_, "key", "n").where("blocks is not null").select("key", "fp", "root", "blocks"), "open-classes")
+        sets = hashed(rest.select("fp").distinct())
         own = F.pmod(F.xxhash64("fp", F.lit(-1)), F.col("blocks")).cast("int")
-        rest = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rest = rest.select("key", "fp", "root", "sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"))
-        looks = save(rest.groupBy("key", "i", "j").applyInArrow(_across(most), "a long, b long").distinct(), "looks")
-        done = looks.isEmpty()
-        if not done:
-            edges = edges.unionByName(verified(looks, "links-across"))
-        discard(roots, placed, open_, looks)
-        if done:
-            break
+        dealt = rest.join(kinds.select("fp", "sig"), "fp").join(sets, "fp").withColumn("own", own)
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("key", "fp", "root", "sig", "hashes", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"))
+        edges = edges.unionByName(save(dealt.groupBy("key", "i", "j").applyInArrow(_across, "a long, b long").distinct(), "links-across"))
+        discard(rest, sets)
+    discard(roots, placed, open_)
     discard(sizes, crowded)
     return edges
 
@@ -195,8 +246,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ship(docs.sparkSession)
     own = keyed_texts(docs, id_col, text_col)
     kind = own.schema["doc_id"].dataType.simpleString()
-    prints = save(own.mapInArrow(tidy(_sketches), f"doc_id {kind}, text_hash long, fp long, size long, keys array<long>, sig binary"), "sketches")
-    first = (F.first(c).alias(c) for c in ("size", "keys", "sig"))
+    prints = save(own.mapInArrow(tidy(_sketches), f"doc_id {kind}, text_hash long, fp long, size long, keys array<long>, sig binary, print long"), "sketches")
+    first = (F.first(c).alias(c) for c in ("size", "keys", "sig", "print"))
     kinds = save(prints.groupBy("fp").agg(F.count("*").alias("n"), least_key(), F.min("text_hash").alias("text_hash"), *first), "sketch-kinds")
     return by_component(prints.select("doc_id", "text_hash", "fp"), kinds, components(links(kinds, own)))
 

@@ -29,20 +29,24 @@ DISTANCE, BUCKET = 2, 64
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64 bits; bit set if it is in more than half of the hashes.  No hashes: zero."""
+    counts = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        part = hashes[i : i + (1 << 16)]
+        counts += np.add.reduce(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int32)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: str) -> int:
-    """Signed 64 bits; bit set if it is in more than half of the shingles' hashes.  No words: zero."""
+    """The majority of the shingles' hashes.  No words: zero."""
     from xxhash import xxh64_intdigest
 
     words = text.encode().lower().split()  # of bytes: A-Z only, and white space is 0x20 and 0x09-0x0D
     if not words:
         return 0
     grams = map(b" ".join, zip(words, words[1:], words[2:])) if len(words) > 2 else [b" ".join(words)]
-    hashes = np.fromiter(map(xxh64_intdigest, grams, repeat(42)), dtype="<u8")
-    counts = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        part = hashes[i : i + (1 << 16)]
-        counts += np.add.reduce(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int32)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
+    return majority(np.fromiter(map(xxh64_intdigest, grams, repeat(42)), dtype="<u8"))
 
 
 def _fingerprints(batches):

@@ -454,6 +454,43 @@ def test_planted_near_copies(spark, monkeypatch, bucket):
     assert neardup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_near_dedup_asks_simhash_first(spark):
+    """Without any min-hash key the stage links exactly the texts whose fingerprints the ring finds and whose shingles are similar."""
+    r = random.Random(5)
+    own = []
+    for _ in range(40):
+        words = [f"w{r.randrange(5000)}" for _ in range(600)]
+        own += [" ".join(words), " ".join([*words[:300], "other", *words[301:]])]
+    own += ["one two three", "four five six"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(own))), pa.array(own), pa.array(range(len(own)))], ["doc_id", "text", "text_hash"])
+    kinds = [(x["fp"], x["text_hash"], x["size"], [], x["sig"], x["print"]) for b in neardup._sketches([batch]) for x in b.to_pylist()]
+    sets = [{xxhash.xxh64_intdigest(b" ".join(g), 42) for g in brute_shingles(t)} for t in own]
+    prints = [sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in x) > len(x)) for x in sets]
+    assert [x[5] % (1 << 64) for x in kinds] == prints
+    want = {frozenset((kinds[i][0], kinds[j][0])) for i in range(len(own)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    table = spark.createDataFrame(kinds, "fp long, text_hash long, size long, keys array<long>, sig binary, print long")
+    got = {frozenset(x) for x in neardup.links(table, spark.createDataFrame(list(enumerate(own)), "text_hash long, text string")).collect()}
+    assert got == want and len(want) > 5
+
+
+def test_blocks_give_no_more_pairs_than_join_them():
+    """A group of near copies of which many are similar: pairs that join what similar pairs join, fewer than classes, and none that is false."""
+    r = random.Random(3)
+    base = [f"w{k}" for k in range(200)]
+    own = [[f"x{r.randrange(9000)}" if r.random() < 0.012 else w for w in base] for _ in range(60)]
+    sets = [neardup.shingles(" ".join(x)) for x in own]
+    root = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if neardup.similar(sets[i], sets[j]):
+                root = [root[j] if x == root[i] else x for x in root]
+    sig = [neardup.minima(x).astype(np.uint8).tobytes() for x in sets]
+    table = pa.table({"left": [True] * 60, "fp": range(60), "root": range(60), "sig": sig, "hashes": [x.tobytes() for x in sets]})
+    got = neardup._across(table).to_pylist()
+    assert (neardup._common(sets[:9], sets[9:]) == [[len(np.intersect1d(x, y)) for y in sets[9:]] for x in sets[:9]]).all()
+    assert all(neardup.similar(sets[x["a"]], sets[x["b"]]) for x in got) and len(got) == 60 - len(set(root)) > 0
+
+
 def test_components_of_a_chain_and_a_star(spark):
     from tesserae.llm.components import components
 

@@ -1,18 +1,20 @@
 """Near-duplicates by word shingles: documents are linked at a Jaccard similarity of SIMILAR = 0.8 or more.
 
-Documents are sets of WORDS-word shingles; equal sets collapse to a class first.  SimHash comes before all else: classes
-with one fingerprint, and fingerprints that the pigeonring search of simhash.py finds within its distance, are candidates.
-
-Alone it can't do this: at a similarity of 0.8 fingerprints differ in some ten of 64 bits, a distance at which the ring
-leaves nearly all pairs.  So links of classes further apart, in different components of those found so far, come from min-hashes.
-Candidates agree in all ROWS minima of one of BANDS bands: at a similarity of 0.8 a pair is missed with a
-chance of (1 - 0.8^4)^24, 3 in a million.  Those whose sizes or whose minima, of which a byte each is kept, are too
-far apart go, as do SimHash's; the others are verified on the shingles themselves, so no link is false.  These are made in further
+Documents are sets of WORDS-word shingles; equal sets collapse to a class first.  SimHash decides which pairs are looked at
+further: a class has a fingerprint of PRINT words, the first of which is that of simhash.py.  At a similarity of 0.8 a bit
+differs with a chance of 0.15, and of 0.162 at most whatever the sizes, from TINY shingles on; so similar classes
+differ in over APART of the 768 bits with a chance of 4 in ten million at most, and unrelated ones in half of them.  Pairs within
+APART are verified on the shingles themselves, so no link is false.  These are made in further
 passes over the texts, for candidates only: no shingles are stored or shuffled for documents without any.
 
+Pairs to compare come from the pigeonring search of simhash.py first, over the first words.  Alone it can't
+find them all: at a similarity of 0.8 these differ in some ten of 64 bits, a distance at which the ring's segments leave nearly all
+pairs.  So classes in different components of those found so far are compared, too, if they agree in all ROWS minima of one of BANDS
+bands of min-hashes: at a similarity of 0.8 a pair is missed with a chance of (1 - 0.8^4)^24, 3 in a million.
+
 Bands with up to BUCKET classes are paired off.  In a larger one (a large group of near copies, or a passage that
 many share) all classes are first compared with CENTRES of them.  What those links leave in several components is compared
-block by block, each with each, across components only, where min-hashes look similar: on the shingles, which go with the classes
+block by block, each with each, across components only, where fingerprints are near: on the shingles, which go with the classes
 into the blocks, so that there is no row for a pair unless it links two components of its block.
 """
 
@@ -29,7 +31,7 @@ from tesserae.llm import simhash
 from tesserae.llm.chunks import slices
 from tesserae.llm.common import discard, lookup, save, ship, tidy
 from tesserae.llm.components import components
-from tesserae.llm.simhash import by_component, keep_one, keyed_texts, least_key, majority
+from tesserae.llm.simhash import by_component, keep_one, keyed_texts, least_key
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -38,9 +40,11 @@ BUCKET, CENTRES, BLOCK = 32, 2, 512
 HASHES = 1 << 20
 #: Size of the bitmap of candidates, by which all others are left out.
 BITS = 26
-#: Share of equal minima below which a pair isn't verified in a block: over three deviations under SIMILAR.
-LOOKS = 0.66
+#: 64-bit words of a fingerprint, and bits in which those of similar sets may differ: five deviations over the most to expect
+#: at SIMILAR.  Sets of fewer than TINY shingles, of which fingerprints tell less, are all verified.
+PRINT, APART, TINY = 12, 176, 5
 _RANDOM = np.random.default_rng(8).integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SALTS = np.random.default_rng(9).integers(0, 1 << 63, PRINT - 1, dtype=np.uint64)
 
 
 def shingles(text: str) -> np.ndarray:
@@ -61,6 +65,24 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """PRINT words of SimHash: the majorities of the hashes' own bits, as in simhash.py, then those of PRINT - 1 more hashes made of each."""
+    counts = np.zeros(64 * PRINT, np.int64)
+    for i in range(0, len(hashes), 255):  # a byte holds as many
+        own = hashes[i : i + 255, None]
+        more = (own ^ _SALTS) * np.uint64(0x9E3779B97F4A7C15)
+        more = (more ^ more >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        words = np.concatenate([own, more ^ more >> np.uint64(32)], axis=1)
+        counts += np.add.reduce(np.unpackbits(words.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
+
+
+def within(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which rows of the fingerprints a and b, of sets of these sizes, may be those of similar sets."""
+    fits = 5 * np.minimum(sizes, others) >= 4 * np.maximum(sizes, others)
+    return fits & ((np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= APART) | (np.minimum(sizes, others) < TINY))
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 5 * both >= 4 * (len(a) + len(b) - both)  # SIMILAR, in whole numbers
@@ -74,25 +96,23 @@ def _sketches(batches):
             columns: tuple[list, ...] = ([], [], [], [], [])
             for text in part.column(1).to_pylist():
                 hashes = shingles(text)
-                low = minima(hashes)
-                raw = low.tobytes()
+                raw, words = minima(hashes).tobytes(), fingerprint(hashes)
                 columns[0].append(xxh64_intdigest(hashes.tobytes(), 7) - (1 << 63))
                 columns[1].append(len(hashes))
                 columns[2].append([xxh64_intdigest(raw[4 * ROWS * k : 4 * ROWS * (k + 1)], k) - (1 << 63) for k in range(BANDS)] if len(hashes) else [])
-                columns[3].append(low.astype(np.uint8).tobytes())
-                columns[4].append(majority(hashes))
+                columns[3].append(words.tobytes())
+                columns[4].append(int(words.view("<i8")[0]))
             types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", "text_hash", "fp", "size", "keys", "sig", "print"])
 
 
 def _looks(batches):
-    """The pairs whose sizes and minima may belong to similar sets."""
+    """The pairs whose sizes and fingerprints may belong to similar sets."""
     for batch in batches:
         if batch.num_rows:
             p, q = (batch.column(k).to_numpy() for k in (2, 3))
-            s, t = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (4, 5))
-            ok = (5 * np.minimum(p, q) >= 4 * np.maximum(p, q)) & ((s == t).mean(axis=1) >= LOOKS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
+            s, t = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8").reshape(batch.num_rows, -1) for k in (4, 5))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(within(s, t, p, q)))
 
 
 def _shingles_of(shared):
@@ -147,11 +167,13 @@ def _across(table: pa.Table) -> pa.Table:
     that are, and no more."""
     left = np.array(table.column("left").to_pylist(), bool)
     fp, root = table.column("fp").to_numpy(), table.column("root").to_numpy()
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(fp), -1)
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u8").reshape(len(fp), -1)
+    sets = [np.frombuffer(x, "<u8") for x in table.column("hashes").to_pylist()]
+    sizes = np.array([len(x) for x in sets])
     own, other = np.flatnonzero(left), np.flatnonzero(~left)
     other = other if len(other) else own
-    near = np.stack([(root[other] != root[i]) & ((sig[other] == sig[i]).mean(axis=1) >= LOOKS) for i in own]) if len(own) else np.zeros((0, len(other)), bool)
-    own, other, near = own[near.any(axis=1)], other[near.any(axis=0)], near[near.any(axis=1)][:, near.any(axis=0)]
+    may = np.stack([(root[other] != root[i]) & within(sig[other], sig[i], sizes[other], sizes[i]) for i in own]) if len(own) else np.zeros((0, len(other)), bool)
+    own, other, may = own[may.any(axis=1)], other[may.any(axis=0)], may[may.any(axis=1)][:, may.any(axis=0)]
     found, up = [], {}
 
     def top(x: int) -> int:
@@ -160,10 +182,8 @@ def _across(table: pa.Table) -> pa.Table:
         return x
 
     if len(own):
-        sets = [np.frombuffer(x, "<u8") for x in table.column("hashes").to_pylist()]
-        sizes = np.array([len(x) for x in sets])
         both = _common([sets[i] for i in own], [sets[i] for i in other])
-        for i, j in zip(*np.nonzero(near & (5 * both >= 4 * (sizes[own][:, None] + sizes[other] - both)))):  # as in similar()
+        for i, j in zip(*np.nonzero(may & (5 * both >= 4 * (sizes[own][:, None] + sizes[other] - both)))):  # as in similar()
             p, q = top(int(root[own[i]])), top(int(root[other[j]]))
             if p != q:
                 up[p] = q

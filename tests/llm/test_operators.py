@@ -473,6 +473,45 @@ def test_near_dedup_asks_simhash_first(spark):
     assert got == want and len(want) > 5
 
 
+def test_simhash_decides_which_pairs_are_verified(spark):
+    """Wide fingerprints against plain Python; no similar pair of any size is beyond their distance, unrelated ones of one size all are."""
+    r = random.Random(7)
+    for n in (0, 1, 2, 255, 256, 700):
+        hashes = np.array(sorted(r.getrandbits(64) for _ in range(n)), "<u8")
+        words = [[h] for h in map(int, hashes)]
+        for row in words:
+            for salt in map(int, neardup._SALTS):
+                x = (row[0] ^ salt) * 0x9E3779B97F4A7C15 % (1 << 64)
+                x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 % (1 << 64)
+                row.append(x ^ x >> 32)
+        want = [sum(1 << k for k in range(64) if 2 * sum(row[w] >> k & 1 for row in words) > n) for w in range(neardup.PRINT)]
+        assert neardup.fingerprint(hashes).tolist() == want and want[0] % (1 << 64) == simhash.majority(hashes) % (1 << 64)
+    rows, like = [], []
+    for k in range(600):
+        both = [r.getrandbits(64) for _ in range(4 + k % 200)]
+        own = [np.unique(np.array(both + [r.getrandbits(64) for _ in range(m)], "<u8")) for m in (len(both) // 8, len(both) // 4 - len(both) // 8)]
+        other = np.unique(np.array([r.getrandbits(64) for _ in own[0]], "<u8"))
+        for y in (own[1], other):
+            rows.append((k, len(like), len(own[0]), len(y), neardup.fingerprint(own[0]).tobytes(), neardup.fingerprint(y).tobytes()))
+            like.append(neardup.similar(own[0], y))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["a", "b", "size_a", "size_b", "sig_a", "sig_b"])
+    found = {x["b"] for x in next(neardup._looks([batch])).to_pylist()}
+    assert sum(like) == 600 and found == {k for k, x in enumerate(like) if x or rows[k][2] < neardup.TINY}
+
+
+def test_similar_texts_whose_minima_differ_by_chance(spark):
+    """Pairs at a similarity of just 0.8 that agree in a band but in under 0.66 of their minima."""
+    own = []
+    for seed in (3034, 3489, 5081, 7059):
+        r = random.Random(seed)
+        words = [f"w{r.randrange(10**6)}" for _ in range(94)]
+        own += [" ".join(words), " ".join([*words[:30], f"x{seed}", *words[31:60], f"y{seed}", *words[61:]])]
+    sets = [neardup.shingles(x) for x in own]
+    assert all(neardup.similar(x, y) and (neardup.minima(x) == neardup.minima(y)).mean() < 0.66 for x, y in zip(sets[::2], sets[1::2]))
+    table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(own)], SCHEMA)
+    same([tuple(x) for x in neardup.near_duplicates(table).collect()], [(i, i // 2 * 2) for i in range(len(own))])
+
+
 def test_blocks_give_no_more_pairs_than_join_them():
     """A group of near copies of which many are similar: pairs that join what similar pairs join, fewer than classes, and none that is false."""
     r = random.Random(3)

@@ -213,6 +213,7 @@ def links(kinds: DataFrame, docs: DataFrame) -> DataFrame:
         marks = spark.sparkContext.broadcast(_bits(wanted))
         made = docs.select("text_hash", "text").mapInArrow(tidy(_shingles_of(marks)), "text_hash long, hashes binary")
         out = save(made.join(wanted, "text_hash").select("fp", "hashes").dropDuplicates(["fp"]), "candidate-sets")
+        marks.destroy()
         discard(wanted)
         return out
 

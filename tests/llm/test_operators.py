@@ -538,6 +538,32 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
 
 
+@pytest.mark.parametrize("whole", [0, 1 << 19])
+def test_components_by_rounds_and_by_one_task(spark, monkeypatch, whole):
+    """The same from both; edges that one task takes don't cost the driver round after round of jobs."""
+    from tesserae.llm import components as own
+
+    monkeypatch.setattr(own, "WHOLE", whole, raising=False)
+    rng = random.Random(5)
+    ids = [-(1 << 63), (1 << 63) - 1, *(rng.getrandbits(63) - (1 << 62) for _ in range(600))]
+    edges = [tuple(rng.sample(ids, 2)) for _ in range(280)] + [(ids[0], x) for x in ids[2:40]] + [(i, i + 1) for i in range(-30, 30)] + [(7, 7), (ids[1], ids[1])]
+    edges += [(y, x) for x, y in edges[:50]]
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for x, y in edges:
+        if x != y and root[x] != root[y]:
+            least, other = sorted((root[x], root[y]))
+            root = {k: least if v == other else v for k, v in root.items()}
+    table = spark.createDataFrame(edges, "a long, b long")
+    spark.sparkContext.setJobGroup(group := f"components-{whole}", "")
+    try:
+        got = own.components(table).collect()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert len(got) == len(root) and {r.node: r.root for r in got} == root
+    assert own.components(table.limit(0)).count() == own.components(table.where("a = b")).count() == 0
+    assert not whole or len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= 8
+
+
 def test_language_id(spark, docs, empty):
     table = spark.read.parquet(f"{DIR}/documents.parquet")
     model = langid.fit(table.where(~langid.held_out(table)))

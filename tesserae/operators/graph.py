@@ -49,16 +49,16 @@ def reach(edges: DataFrame, starts: DataFrame, direction: str = "out", max_depth
     return seen.where("depth > 0")
 
 
-def shortest(edges: DataFrame, start: str, goal: str) -> list[str] | None:
-    """Keys of a shortest path, edges taken either way; None if there is none.  Predecessors are kept by level, so only the path
-    comes to the driver."""
+def shortest(edges: DataFrame, start: str, goal: str, most: int = 0) -> list[str] | None:
+    """Keys of a shortest path, edges taken either way; None if there is none, or none of at most so many hops (0: any number).
+    Predecessors are kept by level, so only the path comes to the driver."""
     if start == goal:
         return [start]
     spark = edges.sparkSession
     step = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     seen = spark.createDataFrame([(start, None)], "key string, prev string")
     frontier, levels = seen, []
-    while True:
+    while not most or len(levels) < most:
         new = frontier.select("key").join(step, F.col("key") == F.col("src")).groupBy("dst").agg(F.min("src").alias("prev")).select(F.col("dst").alias("key"), "prev")
         frontier = new.join(seen.select("key"), "key", "left_anti").persist()
         if frontier.isEmpty():
@@ -67,6 +67,8 @@ def shortest(edges: DataFrame, start: str, goal: str) -> list[str] | None:
         if not frontier.where(F.col("key") == goal).isEmpty():
             break
         seen = seen.unionByName(frontier)
+    else:
+        return None
     path = [goal]
     for level in reversed(levels):
         path.append(level.where(F.col("key") == path[-1]).first()["prev"])

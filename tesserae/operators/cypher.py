@@ -1,7 +1,8 @@
 """An openCypher subset compiled to DataFrame joins.
 
 Patterns become joins on shared variables, so Catalyst orders and broadcasts them; a variable-length step is a breadth-first
-search of at most HOPS levels.  Writes go to the graph that the driver keeps.
+search of at most HOPS levels.  Where only aggregates are asked for, bindings that nothing asks for any more are counted before the
+next join, so that patterns which meet at a node don't make all their pairs.  Writes go to the graph that the driver keeps.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from tesserae.errors import EngineError
 
 HOPS = 8
+#: The column for how many bindings a row stands for.
+TIMES = "_times"
 _TOKEN = re.compile(r"\s+|//[^\n]*|'(?:\\.|[^'\\])*'|\"(?:\\.|[^\"\\])*\"|\d+\.\d+|\d+|[A-Za-z_]\w*|<=|>=|<>|->|<-|\.\.|.", re.S)
 _AGGREGATES = ("count", "collect", "sum", "avg", "min", "max")
 _WORDS = {"match", "where", "return", "order", "by", "skip", "limit", "create", "set", "delete", "and", "or", "not", "in", "starts", "ends", "with", "contains", "as", "distinct", "asc", "desc"}
@@ -328,12 +331,30 @@ class Parser:
         return item, down
 
 
+def _conjuncts(c: list | None) -> list[list]:
+    return [] if c is None else _conjuncts(c[1]) + _conjuncts(c[2]) if c[0] == "and" else [c]
+
+
+def _mentioned(x) -> list[tuple[str, str]]:
+    """(variable, field) of all that an item or a condition looks at; field * for all of a variable."""
+    if isinstance(x, list):
+        return [m for y in x for m in _mentioned(y)]
+    if not isinstance(x, Item) or x.kind in ("lit", "star"):
+        return []
+    if x.kind == "agg":
+        return [(v, "key" if f == "*" and x.name in ("count", "min", "max") else f) for v, f in _mentioned(x.inner)]
+    return [(x.name, {"id": "key", "labels": "labels", "prop": "key" if x.prop == "key" else "props"}.get(x.kind, "*"))]
+
+
 class Compiler:
     """Rows of bindings: a node variable v is a struct column, an edge one too, a path an array of edges."""
 
     def __init__(self, nodes: DataFrame, edges: DataFrame) -> None:
         self.nodes, self.edges = nodes, edges
         self.kinds: dict[str, str] = {}
+        #: Of a query whose rows are folded: conditions by the node that they are about, and what else is looked at, by variable.
+        self.about: dict[str, list] = {}
+        self.looked: dict[str, set[str]] | None = None
 
     def _text(self, value) -> str:
         import json
@@ -346,15 +367,37 @@ class Compiler:
             df = df.where(F.array_contains("labels", label))
         for k, v in n.props.items():
             df = df.where(F.col("key") == F.lit(v) if k == "key" else F.col("props")[k] == F.lit(self._text(v)))
-        return df.select(F.struct("key", "labels", "props").alias(n.var))
+        own = df.select(F.struct("key", "labels", "props").alias(n.var))
+        for c in self.about.get(n.var, []):
+            own = own.where(self._condition(c))
+        if self.looked is not None and not (fields := self.looked.get(n.var, set())) & {"*"}:
+            own = own.select(F.struct(*(F.col(n.var)[f].alias(f) for f in ("key", "labels", "props") if f == "key" or f in fields)).alias(n.var))
+        return own
+
+    def _fold(self, rows: DataFrame, keep: set[str] | None) -> DataFrame:
+        """One row for each binding of keep, with how many rows it stands for; keep None: the rows as they are."""
+        gone = [c for c in rows.columns if c != TIMES and c not in keep] if keep is not None else []
+        if all(self.kinds.get(c) in ("edge", "path") for c in gone):
+            return rows.drop(*gone)
+        own = [c for c in rows.columns if c in keep]
+        folded = rows.groupBy(*own).agg((F.sum(TIMES) if TIMES in rows.columns else F.count("*")).alias(TIMES))
+        return folded if own else folded.where(F.col(TIMES) > 0)  # no row for no rows
 
-    def _node(self, rows: DataFrame | None, n: Node) -> DataFrame:
+    @staticmethod
+    def _joined(rows: DataFrame, other: DataFrame, on: Column | None = None) -> DataFrame:
+        both = {TIMES} <= {*rows.columns} & {*other.columns}
+        other = other.withColumnRenamed(TIMES, "_m") if both else other
+        got = rows.join(other, on) if on is not None else rows.crossJoin(other)
+        return got.withColumn(TIMES, F.col(TIMES) * F.col("_m")).drop("_m") if both else got
+
+    def _node(self, rows: DataFrame | None, n: Node, keep: set[str] | None = None) -> DataFrame:
+        """keep: what is looked at here or later, where rows are folded."""
         self.kinds.setdefault(n.var, "node")
         found = self._matching(n)
         if rows is None:
             return found
         if n.var not in rows.columns:
-            return rows.crossJoin(found)
+            return self._joined(self._fold(rows, keep), self._fold(found, keep))
         if not n.labels and not n.props:
             return rows
         return rows.join(found.select(F.col(n.var)["key"].alias("_k")), F.col(n.var)["key"] == F.col("_k"), "left_semi")
@@ -369,10 +412,17 @@ class Compiler:
         out, back = df.select(F.col("src").alias("_a"), F.col("dst").alias("_b"), own.alias("_e")), df.select(F.col("dst").alias("_a"), F.col("src").alias("_b"), own.alias("_e"))
         return {"out": out, "in": back, "both": out.unionByName(back)}[e.direction]
 
-    def _hop(self, rows: DataFrame, a: Node, e: Edge, b: Node) -> DataFrame:
+    def _hop(self, rows: DataFrame, a: Node, e: Edge, b: Node, keep: set[str] | None = None) -> DataFrame:
+        """keep: what is looked at later, where rows are folded."""
         steps = self._steps(e)
+        if keep is not None:
+            rows = self._fold(rows, keep | {a.var, b.var})
         if e.low is None:
             self.kinds[e.var] = "edge"
+            if keep is not None and rows.columns != [a.var] and not {b.var, e.var} & {*keep, *rows.columns}:
+                self.kinds.setdefault(b.var, "node")
+                ends = self._fold(steps.join(self._matching(b), F.col("_b") == F.col(b.var)["key"]), {"_a"})
+                return self._joined(rows, ends, F.col(a.var)["key"] == F.col("_a")).drop("_a")
             got = rows.join(steps, F.col(a.var)["key"] == F.col("_a")).withColumnRenamed("_e", e.var).drop("_a")
         else:
             self.kinds[e.var] = "path"
@@ -383,6 +433,8 @@ class Compiler:
             return self._node(got, b)
         self.kinds.setdefault(b.var, "node")
         found = self._matching(b)
+        if keep is not None:
+            got = self._fold(got, keep | {"_b"})
         return got.join(found, F.col("_b") == F.col(b.var)["key"]).drop("_b")
 
     def _paths(self, starts: DataFrame, steps: DataFrame, low: int, high: int) -> DataFrame:
@@ -401,20 +453,35 @@ class Compiler:
                 out = front if out is None else out.unionByName(front)
         return out if out is not None else seen.where("false")
 
-    def match(self, q: Query) -> DataFrame:
+    def match(self, q: Query, fold: bool = False) -> DataFrame:
         """Patterns one after another, those first that share a variable with what is bound, and each from there on both ways:
-        only patterns that share nothing make a product."""
+        only patterns that share nothing make a product.  fold: rows may stand for several bindings, by their column TIMES, and
+        have only those variables for sure that conditions on several, or the items, look at."""
         rows: DataFrame | None = None
+        rest = _conjuncts(q.where) if fold else [q.where] if q.where else []
+        if fold:
+            nodes = {n.var for p in q.patterns for n in p[::2]}
+            for c in list(rest):
+                if len(own := {v for v, _ in _mentioned(c)}) == 1 and own <= nodes:
+                    self.about.setdefault(own.pop(), []).append(c)
+                    rest.remove(c)
+            self.looked = {}
+            for v, f in _mentioned([*q.items, *rest]):
+                self.looked.setdefault(v, set()).add(f)
         todo = list(q.patterns)
         while todo:
             bound = set(rows.columns) if rows is not None else set()
             p = next((x for x in todo if any(n.var in bound for n in x[::2])), todo[0])
             todo.remove(p)
-            for run in self._runs(p, bound):
-                rows = self._node(rows, run[0])
-                for a, e, b in zip(run[::2], run[1::2], run[2::2]):
-                    rows = self._hop(rows, a, e, b)
-        return rows.where(self._condition(q.where)) if q.where else rows
+            runs = self._runs(p, bound)
+            for k, run in enumerate(runs):
+                later = lambda at: {*self.looked, *(x.var for r in (run[at:], *runs[k + 1 :], *todo) for x in r)} if fold else None  # noqa: B023, E731
+                rows = self._node(rows, run[0], later(int(len(run) == 1)))
+                for at in range(0, len(run) - 1, 2):
+                    rows = self._hop(rows, *run[at : at + 3], later(at + 2 + (at + 3 == len(run))))
+        for c in rest:
+            rows = rows.where(self._condition(c))
+        return rows
 
     @staticmethod
     def _runs(p: list, bound: set[str]) -> list[list]:
@@ -426,11 +493,11 @@ class Compiler:
         flipped = [replace(x, direction={"out": "in", "in": "out"}.get(x.direction, x.direction)) if k % 2 else x for k, x in enumerate(back)]
         return [p[at:], flipped] if len(p) > at + 1 else [flipped]
 
-    def value(self, item: Item) -> Column:
+    def value(self, item: Item, times: Column | None = None) -> Column:
         if item.kind == "lit":
             return F.lit(item.value)
         if item.kind == "agg":
-            return self._aggregate(item)
+            return self._aggregate(item, times)
         if item.name not in self.kinds:
             raise EngineError(f"unknown variable '{item.name}'")
         c = F.col(item.name)
@@ -446,21 +513,24 @@ class Compiler:
             return c["props"][item.prop]
         return c
 
-    def _aggregate(self, item: Item) -> Column:
+    def _aggregate(self, item: Item, times: Column | None = None) -> Column:
+        """times: how many bindings a row stands for."""
         if item.inner.kind == "star":
-            return F.count("*")
+            return F.count("*") if times is None else F.coalesce(F.sum(times), F.lit(0))
         v = self.value(item.inner)
         if item.inner.kind == "var":
             v = v["key"] if self.kinds[item.inner.name] == "node" and item.name in ("count", "min", "max") else F.struct(v["from"], v["to"], v["type"]) if self.kinds[item.inner.name] == "edge" and item.name == "count" else v
         number = v.try_cast("double") if item.name in ("sum", "avg", "min", "max") else v
         if item.name == "count":
+            if times is not None and not item.distinct:
+                return F.coalesce(F.sum(F.when(v.isNotNull(), times)), F.lit(0))
             return F.count_distinct(v) if item.distinct else F.count(v)
         if item.name == "collect":
             return F.collect_set(v) if item.distinct else F.collect_list(v)
         if item.name == "sum":
-            return F.coalesce(F.sum_distinct(number) if item.distinct else F.sum(number), F.lit(0.0))
+            return F.coalesce(F.sum_distinct(number) if item.distinct else F.sum(number if times is None else number * times), F.lit(0.0))
         if item.name == "avg":
-            return F.avg(number)
+            return F.avg(number) if times is None else F.sum(number * times) / F.sum(F.when(number.isNotNull(), times))
         fn = F.min if item.name == "min" else F.max
         return F.coalesce(fn(number).cast("string"), fn(v.cast("string")))
 
@@ -500,7 +570,10 @@ class Compiler:
         return {"=": left == right, "<>": left != right, "<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}[op]
 
     def run(self, q: Query) -> DataFrame:
-        rows = self.match(q)
+        aggregates = [i for i in q.items if i.kind == "agg"]
+        fold = bool(aggregates) and all(i.distinct or i.name != "collect" for i in aggregates) and not any(i.kind == "star" for i in q.items)
+        rows = self.match(q, fold)
+        times = F.col(TIMES) if TIMES in rows.columns else None
         items = q.items
         if any(i.kind == "star" for i in items):
             items = [Item("var", v, alias=v) for v in self.kinds if not v.startswith("_h")]
@@ -509,7 +582,7 @@ class Compiler:
         named = {i.alias: i for i in items}
         if len(groups) < len(items):
             plain = [self.value(i).alias(i.alias) for i in groups]
-            folded = rows.groupBy(*plain).agg(*(self.value(i).alias(i.alias) for i in items if i.kind == "agg")) if plain else rows.agg(*(self.value(i).alias(i.alias) for i in items))
+            folded = (rows.groupBy(*plain) if plain else rows).agg(*(self.value(i, times).alias(i.alias) for i in items if i.kind == "agg"))
             out = folded.select(*(F.col(f"`{i.alias}`") for i in items))
         else:
             extra = [self.value(i).alias(n) for i, _, n in keys if i.alias not in named] if not q.distinct else []

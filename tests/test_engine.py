@@ -465,3 +465,56 @@ def test_streaming(session, rows, tmp_path):
     q = windowed(stream, "ts", "5 minutes", "0 seconds", [], {"n": "count(*)"}).writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["n"] for r in session.spark.sql("select n from w").collect()) == [5, 5]
+
+
+def made(df) -> int:
+    """The most rows that a step of a finished query made."""
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        kind = p.getClass().getSimpleName()
+        todo += [p.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [p.plan()] if kind.endswith("QueryStageExec") else [p.children().apply(i) for i in range(p.children().size())]
+        if (found := p.metrics().get("numOutputRows")).isDefined():
+            most = max(most, found.get().value())
+    return most
+
+
+def test_cypher_counts_without_pairs(spark, rows):
+    """Patterns that meet at a node: the rows of the pairs, but not the pairs, be they asked for by number or by what one side has."""
+    rng = random.Random(5)
+    kinds = {"a": ("A", 60), "b": ("B", 70), "h": ("H", 3)}
+    props = {f"{k}{i}": {"v": rng.choice(["1", "2", "3.5", "x"]), **({"w": str(i % 4)} if i % 3 else {})} for k, (_, n) in kinds.items() for i in range(n)}
+    nodes = [(x, [kinds[x[0]][0]], p) for x, p in props.items()]
+    nodes.append(("a0", ["A"], {"v": "3.5"}))  # a key that two rows have
+    edges = [(x, f"h{rng.randrange(3)}", kinds[x[0]][0], {}) for x in props if x[0] != "h" for _ in range(rng.randrange(1, 3))]
+    g = Graph.from_frames(spark.createDataFrame(nodes, "key string, labels array<string>, props map<string,string>"), spark.createDataFrame(edges, "src string, dst string, kind string, props map<string,string>"))
+    both = [(a[2], b[2], props[h]) for s, h, _, _ in edges for a in nodes if a[0] == s and a[1] == ["A"] for t, k, _, _ in edges if k == h for b in nodes if b[0] == t and b[1] == ["B"]]
+    number = lambda x: float(x) if x not in (None, "x") else None
+    meet = "MATCH (a:A)-[:A]->(h:H), (b:B)-[:B]->(h)"
+
+    def told(cypher: str) -> list:
+        df = g.cypher(cypher)
+        got = rows(df)
+        assert made(df) < len(both) / 4
+        return sorted(got, key=str)
+
+    def grouped(key, fold) -> list:
+        return sorted(((k, *fold([x for x in both if key(x) == k])) for k in {key(x) for x in both}), key=str)
+
+    assert told(f"{meet} RETURN count(*) AS n") == [(len(both),)]
+    assert told(f"{meet} RETURN h.v AS v, count(*) AS n") == grouped(lambda x: x[2]["v"], lambda g: [len(g)])
+    assert told(f"{meet} RETURN a.w AS w, count(a.w) AS n, count(a) AS m, count(DISTINCT h.key) AS d, max(a.v) AS top") == grouped(
+        lambda x: x[0].get("w"), lambda g: [sum("w" in x[0] for x in g), len(g), 3, "3.5"])
+    values = [number(x[0]["v"]) for x in both if number(x[0]["v"]) is not None]
+    [(total, mean)] = told(f"{meet} RETURN sum(a.v) AS s, avg(a.v) AS m")
+    assert total == pytest.approx(sum(values)) and mean == pytest.approx(sum(values) / len(values))
+    assert told(f"{meet} WHERE b.v = 2 AND a.w <> '1' RETURN count(*) AS n") == [(sum(x[1]["v"] == "2" and x[0].get("w") not in (None, "1") for x in both),)]
+    assert told(f"{meet} WHERE a.v = 77 RETURN count(*) AS n, sum(a.v) AS s, avg(a.v) AS m") == [(0, 0.0, None)]
+    assert told(f"{meet} WHERE a.v = 77 RETURN h.key AS k, count(*) AS n") == []
+    assert told("MATCH (a:A), (b:B) RETURN count(*) AS n") == [(61 * 70,)] and told("MATCH (a:A), (b:Nobody) RETURN count(*) AS n") == [(0,)]
+    collected = rows(g.cypher(f"{meet} RETURN h.key AS k, collect(a.v) AS vs"))
+    assert sorted(v for _, vs in collected for v in vs) == sorted(x[0]["v"] for x in both)
+    pairs = sum(x[0]["v"] == x[1]["v"] for x in both)
+    assert rows(g.cypher(f"{meet} WHERE a.v = b.v RETURN count(*) AS n")) == [(pairs,)]
+    ends = [{(i, e[1]) for e in edges for i, x in enumerate(nodes) if x[0] == e[0] and x[1] == [k]} for k in "AB"]
+    assert told("MATCH (a:A)-[*1..1]->(h:H), (b:B)-[*1..1]->(h) RETURN count(*) AS n") == [(sum(h == k for _, h in ends[0] for _, k in ends[1]),)]

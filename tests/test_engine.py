@@ -518,3 +518,17 @@ def test_cypher_counts_without_pairs(spark, rows):
     assert rows(g.cypher(f"{meet} WHERE a.v = b.v RETURN count(*) AS n")) == [(pairs,)]
     ends = [{(i, e[1]) for e in edges for i, x in enumerate(nodes) if x[0] == e[0] and x[1] == [k]} for k in "AB"]
     assert told("MATCH (a:A)-[*1..1]->(h:H), (b:B)-[*1..1]->(h) RETURN count(*) AS n") == [(sum(h == k for _, h in ends[0] for _, k in ends[1]),)]
+
+
+def test_distinct_apart_from_large_aggregates(session, rows):
+    """Beside count(DISTINCT x), percentiles are not kept for each x; results and names stay."""
+    session.sql("CREATE TABLE t (k Int64, v Float64) ORDER BY k")
+    session.insert("t", session.spark.createDataFrame([(i % 7 if i % 5 else None, float(i)) for i in range(101)], "k bigint, v double"))
+    got = session.sql("SELECT percentile(v, 0.5) / count(DISTINCT k) AS a, count( distinct k, v ) + 1 AS b, approx_count_distinct(k) AS c, count(DISTINCT k) FROM t WHERE v >= 1")
+    assert rows(got) == [(50.5 / 7, 81, 7, 7)] and got.columns == ["a", "b", "c", "count(DISTINCT k)"]
+    got = session.sql("SELECT percentile(v, 0.5) AS a, count(DISTINCT k) AS n FROM t WHERE v >= 1")
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert rows(got) == [(50.5, 7)] and "partial_percentile" in plan and "merge_percentile" not in plan
+    assert rows(session.sql("SELECT percentile(v, 0.5) AS a, count(DISTINCT k) AS n FROM t WHERE v < 0")) == [(None, 0)]
+    for same in ("SELECT count(DISTINCT k) AS n FROM t", "SELECT k, median(v) AS m, count(DISTINCT v) AS n FROM t GROUP BY k"):
+        assert dialect.rewrite(same) == same
